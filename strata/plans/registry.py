@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.plans import eval_queries, sampling_queries
+from strata.plans import eval_queries, sampling_queries, text_queries
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [eval_queries, sampling_queries]
+_MODULES = [eval_queries, sampling_queries, text_queries]
 
 
 def queries() -> dict[str, QueryFn]:
