@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.hashing import keyed_uniform
-from strata.functions.text import WS_RUN_PATTERN
+from strata.functions.text import WS_CLASS, WS_RUN_PATTERN
 from strata.operators.distribution import cdf
 from strata.operators.sampling import DEFAULT_SEED, iid_points, lattice_points, renormalise
 from strata.operators.scan import inverse_cdf
 from strata.session import cut_lineage
+from strata.sources.tables import spread
 
 # End-of-sequence marker of the bigram table (a fixed value of our table format).
 END_TOKEN = "</s>"
@@ -39,7 +40,7 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(context, token, cnt) over every adjacent word pair of every document; the last word
     of a document is followed by the end marker. Pairs are generated inside each row (no window,
     no shuffle) and counted with a partially aggregated ``groupBy``."""
-    w = docs.select(words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    w = spread(docs.select(text)).select(words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     pairs = w.select(
         F.explode(
             F.transform(
@@ -69,6 +70,7 @@ def decode(
     seed: int = DEFAULT_SEED,
     eos: Sequence[str] = (END_TOKEN,),
     checkpoint_every: int = 1,
+    dist_ready: bool = False,
 ) -> DataFrame:
     """Decode ``num_samples`` sequences per prompt for up to ``max_steps`` steps.
 
@@ -77,13 +79,17 @@ def decode(
     ``method``: ``lattice`` (one shared shift per group, code point renormalised each step) or
     ``iid`` (a fresh keyed uniform per group, sample and step).
     Output: (group_id, g, out ARRAY<STRING> up to and including EOS, finished BOOLEAN, steps INT).
-    0 steps gives empty completions.
+    0 steps gives empty completions. The transition table is materialised once (reliable
+    checkpoint) unless ``dist_ready`` says the caller already did so; every step reads it.
     """
     if method not in ("lattice", "iid"):
         raise ValueError("method must be 'lattice' or 'iid'")
     if max_steps > MAX_STEPS:
         raise ValueError(f"max_steps above {MAX_STEPS} exceeds the precision of one double code point")
     G = int(num_samples)
+    dist = dist.select("context", "token", "lo", "hi")
+    if not dist_ready and max_steps > 0:
+        dist = cut_lineage(dist)
     if method == "lattice":
         state = lattice_points(prompts, "group_id", G, seed).drop("u")
     else:
@@ -120,11 +126,19 @@ def decode(
     return result.select("group_id", "g", "out", "finished", F.size("out").cast("int").alias("steps"))
 
 
+FIRST_WORD_PATTERN = "[^" + WS_CLASS[1:] + "+"
+
+
+def first_word(text) -> F.Column:
+    """The first element of ``words(text)`` without splitting the whole text ('' when none)."""
+    return F.regexp_extract(F.lower(text), FIRST_WORD_PATTERN, 0)
+
+
 def document_prompts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Prompts of the decode queries: every document with at least one word, prompted by its
     first word."""
-    return docs.select(F.col(id_col).alias("group_id"), F.try_element_at(words(F.col(text)), F.lit(1)).alias("context")).filter(
-        F.col("context").isNotNull()
+    return docs.select(F.col(id_col).alias("group_id"), first_word(F.col(text)).alias("context")).filter(
+        F.col("context") != F.lit("")
     )
 
 

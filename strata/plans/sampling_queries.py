@@ -9,6 +9,7 @@ from strata.operators import decode as dec
 from strata.operators import distribution as dist
 from strata.operators import sampling as smp
 from strata.plans import sql
+from strata.session import cut_lineage
 from strata.sources.tables import read_table
 
 # Parameters of the registered queries (the reference's generation defaults where it has them).
@@ -115,9 +116,11 @@ def decode_iid(spark, sf_dir):
 
 
 def sampler_diversity(spark, sf_dir):
-    prompts, bg = _doc_prompts(spark, sf_dir), _bigram(spark, sf_dir)
+    prompts = _doc_prompts(spark, sf_dir)
+    bg = cut_lineage(_bigram(spark, sf_dir).select("context", "token", "lo", "hi"))  # shared by both arms
     parts = [
-        dec.decode(prompts, bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED).withColumn("arm", F.lit(m))
+        dec.decode(prompts, bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, dist_ready=True)
+        .withColumn("arm", F.lit(m))
         for m in ("iid", "lattice")
     ]
     return dec.diversity(parts[0].unionByName(parts[1]), DECODE_G)

@@ -17,7 +17,7 @@ from strata.operators.evaluate import per_prompt_stats
 from strata.functions.scoring import score as score_df
 from strata.plans import sql
 from strata.sources import dataset as ds
-from strata.sources.tables import read_table
+from strata.sources.tables import read_table, spread
 
 # Parameters of the registered queries.
 SLICE_START, SLICE_COUNT = 100, 500
@@ -35,19 +35,25 @@ def _docs(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def _docs_spread(spark, sf_dir) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def token_ids(text) -> F.Column:
     """Toy tokenizer of the token-array queries: one id per word, the id is the word's length."""
     return F.transform(words(text), lambda w: F.length(w))
 
 
 def normalize_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("norm"))
+    return _docs_spread(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("norm"))
 
 
 def last_number_q(spark, sf_dir):
     n = normalize(F.col("text"))
-    return _docs(spark, sf_dir).select(
-        "doc_id", last_number(n).alias("last_num"), parse_number(last_number(n)).alias("value")
+    return (
+        _docs_spread(spark, sf_dir)
+        .select("doc_id", last_number(n).alias("last_num"))
+        .withColumn("value", parse_number(F.col("last_num")))
     )
 
 
@@ -92,21 +98,25 @@ def split_leakage(spark, sf_dir):
 
 
 def _ids(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", "lang", token_ids(F.col("text")).alias("ids"))
+    return _docs_spread(spark, sf_dir).select("doc_id", "lang", token_ids(F.col("text")).alias("ids"))
 
 
 def eos_truncate(spark, sf_dir):
-    d = _ids(spark, sf_dir).withColumn("comp", tk.drop_prefix("ids", PROMPT_LEN))
-    kept = tk.truncate_at_eos("comp", EOS_IDS)
+    d = (
+        _ids(spark, sf_dir)
+        .withColumn("comp", tk.drop_prefix("ids", PROMPT_LEN))
+        .withColumn("eos_pos", tk.first_eos("comp", EOS_IDS))
+        .withColumn("kept", tk.truncate_at_eos("comp", EOS_IDS))
+    )
     mask = tk.completion_mask("comp", EOS_IDS)
-    full = F.concat(F.slice("ids", 1, PROMPT_LEN), kept)
+    full = F.concat(F.slice("ids", 1, PROMPT_LEN), F.col("kept"))
     return d.select(
         "doc_id",
         F.size("ids").alias("n_ids"),
         tk.has_eos("comp", EOS_IDS).alias("has_eos"),
-        tk.first_eos("comp", EOS_IDS).alias("eos_pos"),
-        F.size(kept).alias("n_kept"),
-        tk.positional_checksum(kept).alias("kept_sum"),
+        "eos_pos",
+        F.size("kept").alias("n_kept"),
+        tk.positional_checksum("kept").alias("kept_sum"),
         F.aggregate(mask, F.lit(0), lambda a, b: a + b).alias("mask_sum"),
         F.size(full).alias("full_len"),
     )

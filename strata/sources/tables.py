@@ -26,3 +26,12 @@ def read_table(spark: SparkSession, base: str, name: str, split: str | None = No
         else:
             raise ValueError(f"table {name} has no 'split' column; pass the split's path instead")
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input with fewer partitions than task slots before CPU-heavy per-row work
+    (text splitting). Large inputs already have many file splits and pass through unchanged."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
