@@ -273,8 +273,9 @@ iid AS (SELECT lang, s, 'iid' AS method, {sql.keyed_uniform(f"concat_ws(':', '{S
 pts AS (SELECT * FROM lat UNION ALL SELECT * FROM iid),
 hits AS (SELECT s.lang, s.method, s.s, d.quality FROM pts s JOIN dist d ON d.lang = s.lang AND {_MATCH}),
 est AS (SELECT lang, method, s, avg(CAST(quality AS DOUBLE)) AS est FROM hits GROUP BY 1, 2, 3),
-per AS (SELECT lang, method, avg(est) AS mean_estimate, var_pop(est) AS var_estimate, CAST(count(*) AS BIGINT) AS num_seeds
-        FROM est GROUP BY 1, 2),
+per0 AS (SELECT lang, method, sum(est) AS s1, sum(est * est) AS s2, CAST(count(*) AS BIGINT) AS num_seeds FROM est GROUP BY 1, 2),
+per AS (SELECT lang, method, s1 / num_seeds AS mean_estimate,
+               greatest((s2 - s1 * s1 / num_seeds) / num_seeds, 0.0::DOUBLE) AS var_estimate, num_seeds FROM per0),
 exact AS (SELECT lang, CAST(sum(n_chars * quality) AS DOUBLE) / CAST(sum(n_chars) AS DOUBLE) AS exact_mean FROM pop GROUP BY 1)
 SELECT lang, method, round(mean_estimate, {ROUND}) AS mean_estimate, round(var_estimate, {ROUND}) AS var_estimate,
        num_seeds, round(exact_mean, {ROUND}) AS exact_mean
