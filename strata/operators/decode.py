@@ -29,6 +29,9 @@ END_TOKEN = "</s>"
 # A double carries about 52 bits of choices through repeated renormalisation; past this many
 # steps later tokens are set by rounding, so the lattice decode refuses longer runs.
 MAX_STEPS = 64
+# Largest (transition rows + active sequences) of one context that a single task may sort in a
+# step; above it the lookup runs on range slices (see strata.operators.scan).
+MAX_GROUP_ROWS = 1 << 21
 
 
 def words(text) -> F.Column:
@@ -71,6 +74,7 @@ def decode(
     eos: Sequence[str] = (END_TOKEN,),
     checkpoint_every: int = 1,
     dist_ready: bool = False,
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Decode ``num_samples`` sequences per prompt for up to ``max_steps`` steps.
 
@@ -81,6 +85,10 @@ def decode(
     Output: (group_id, g, out ARRAY<STRING> up to and including EOS, finished BOOLEAN, steps INT).
     0 steps gives empty completions. The transition table is materialised once (reliable
     checkpoint) unless ``dist_ready`` says the caller already did so; every step reads it.
+
+    Each step measures its largest context (rows of the table plus active sequences; the table's
+    share is measured once). Within ``max_group_rows`` one sort per context does the lookup;
+    beyond it the sliced lookup splits the context over many tasks.
     """
     if method not in ("lattice", "iid"):
         raise ValueError("method must be 'lattice' or 'iid'")
@@ -101,14 +109,20 @@ def decode(
     done: DataFrame | None = None
     eos_list = list(eos)
     active = state
+    dist_max = None
     for step in range(max_steps):
-        if step > 0 and active.isEmpty():  # A12: every sequence finished
+        # A12 + size check in one small job on the (checkpointed) active set
+        st = active.groupBy("cur").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
+        if not st or not st["n"]:
             break
+        if dist_max is None:
+            dist_max = dist.groupBy("context").count().agg(F.max("count")).first()[0] or 0
+        bounded = dist_max + st["m"] <= max_group_rows
         if method == "iid":
             active = active.withColumn("c", keyed_uniform(seed, "group_id", "g", F.lit(step)))
         ctx = dist.join(active.select(F.col("cur").alias("context")).distinct(), "context", "left_semi")
         pts = active.select(F.col("cur").alias("context"), "group_id", "g", "c", "out")
-        hit = inverse_cdf(pts, ctx, ["context"], c="c", take=("token",))
+        hit = inverse_cdf(pts, ctx, ["context"], c="c", take=("token",), bounded=bounded)
         nxt = hit.select(
             "group_id",
             "g",

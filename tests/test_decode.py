@@ -49,9 +49,10 @@ def test_decode_matches_brute_force(spark):
     prompts = dec.document_prompts(df)
     table = dec.bigram_table(df)
     for method in ("lattice", "iid"):
-        got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11).collect()
         want = _brute(docs, [(r.group_id, r.context) for r in prompts.collect()], 4, 5, method, 11)
-        assert {(r.group_id, r.g): list(r.out) for r in got} == want
+        for cap in (0, dec.MAX_GROUP_ROWS):  # 0 forces the sliced (hot-context) lookup
+            got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11, max_group_rows=cap)
+            assert {(r.group_id, r.g): list(r.out) for r in got.collect()} == want
 
 
 def test_bigram_counts(spark):
