@@ -102,27 +102,40 @@ def prefix_sum(
         d = d.withColumn(total, F.max(incl).over(Window.partitionBy(*by)))
         return d.drop(v)
 
-    ranged = _sliced(d, by, order, slices)
-    w = Window.partitionBy("_slice", *by).orderBy(*order)
+    ranged = _sliced(d, by, order, slices).withColumn("_gk", _group_key(by))
+    w = Window.partitionBy("_slice", "_gk").orderBy(*order)
     local = _pinned(
-        ranged.withColumn("_li", F.sum(v).over(w.rowsBetween(UNB, 0))).withColumn(
-            "_le", F.coalesce(F.sum(v).over(w.rowsBetween(UNB, -1)), zero)
-        )
+        ranged.withColumn("_li", F.sum(v).over(w.rowsBetween(UNB, 0)))
+        .withColumn("_le", F.coalesce(F.sum(v).over(w.rowsBetween(UNB, -1)), zero))
+        .withColumn("_st", F.max("_li").over(Window.partitionBy("_slice", "_gk")))
+    )
+    # Only the first and the last group of a slice can continue in a neighbouring slice, so the
+    # offsets table has at most 2 rows per slice: a proven bound, hence a broadcast join.
+    edge = F.struct("_gk", "_st")
+    per_slice = local.groupBy("_slice").agg(F.min_by(edge, "_gk").alias("f"), F.max_by(edge, "_gk").alias("l"))
+    edges = (
+        per_slice.select("_slice", "f._gk", "f._st")
+        .unionByName(per_slice.select("_slice", "l._gk", "l._st"))
+        .distinct()
     )
-    # one row per (slice, group): the slice total, then offsets in slice order (small table)
-    stot = local.groupBy("_slice", *by).agg(F.max("_li").alias("_st"))
-    ws = Window.partitionBy(*by).orderBy("_slice")
-    off = stot.withColumn("_off", F.coalesce(F.sum("_st").over(ws.rowsBetween(UNB, -1)), zero))
-    off = off.withColumn("_tot", F.max(F.col("_off") + F.col("_st")).over(Window.partitionBy(*by)))
-    out = _null_safe_join(local, off.select("_slice", *by, "_off", "_tot"), ["_slice", *by])
+    ws = Window.partitionBy("_gk").orderBy("_slice")
+    off = edges.withColumn("_off", F.coalesce(F.sum("_st").over(ws.rowsBetween(UNB, -1)), zero))
+    off = off.withColumn("_tot", F.max(F.col("_off") + F.col("_st")).over(Window.partitionBy("_gk")))
+    out = _null_safe_join(local, F.broadcast(off.select("_slice", "_gk", "_off", "_tot")), ["_slice", "_gk"], "left")
+    o = F.coalesce(F.col("_off"), zero)
     return (
-        out.withColumn(incl, F.col("_off") + F.col("_li"))
-        .withColumn(excl, F.col("_off") + F.col("_le"))
-        .withColumn(total, F.col("_tot"))
-        .drop(v, "_li", "_le", "_off", "_tot", "_slice")
+        out.withColumn(incl, o + F.col("_li"))
+        .withColumn(excl, o + F.col("_le"))
+        .withColumn(total, F.coalesce(F.col("_tot"), F.col("_st")))
+        .drop(v, "_li", "_le", "_st", "_off", "_tot", "_slice", "_gk")
     )
 
 
+def _group_key(by: Sequence[str]) -> Column:
+    """One orderable value per group (a struct of the group columns; a constant when global)."""
+    return F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+
+
 def with_ordinal(
     df: DataFrame,
     order: Sequence[Column],
@@ -187,22 +200,28 @@ def inverse_cdf(
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(UNB, 0)
         m = u.withColumn("_hit", F.last("_pay", ignorenulls=True).over(w))
     else:
-        s = _sliced(u, by, order, slices)
-        w = Window.partitionBy("_slice", *by).orderBy(*order).rowsBetween(UNB, 0)
+        s = _sliced(u, by, order, slices).withColumn("_gk", _group_key(by))
+        w = Window.partitionBy("_slice", "_gk").orderBy(*order).rowsBetween(UNB, 0)
         local = _pinned(s.withColumn("_loc", F.last("_pay", ignorenulls=True).over(w)))
-        # per (slice, group): the dist row with the smallest key in the slice (its last in order)
-        tail = local.filter(F.col("_kind") == 1).groupBy("_slice", *by).agg(F.min_by("_pay", "_key").alias("_tail"))
-        pts = local.filter(F.col("_kind") == 0)
-        # every (slice, group) that has points or dist rows; a point whose slice holds no later
-        # dist row of its group takes the tail of the nearest earlier slice of that group
-        keys = pts.select("_slice", *by).distinct().unionByName(tail.select("_slice", *by)).distinct()
-        ws = Window.partitionBy(*by).orderBy("_slice").rowsBetween(UNB, -1)
+        # A point can miss its row inside its slice only if its group started in an earlier
+        # slice, i.e. it is the slice's first group. Per slice: the first group, the last group
+        # and the last dist row seen at the slice's end (the tail). At most 2 rows per slice.
+        pos = F.struct("_gk", (-F.col("_key")).alias("k"), (-F.col("_kind")).alias("d"))
+        per_slice = local.groupBy("_slice").agg(
+            F.min("_gk").alias("first_gk"), F.max("_gk").alias("last_gk"), F.max_by("_loc", pos).alias("tail")
+        )
+        marks = per_slice.select("_slice", F.col("first_gk").alias("_gk"), F.lit(0).alias("_m"), F.lit(None).cast(
+            per_slice.schema["tail"].dataType).alias("tail"))
+        tails = per_slice.select("_slice", F.col("last_gk").alias("_gk"), F.lit(1).alias("_m"), "tail")
+        ws = Window.partitionBy("_gk").orderBy("_slice", "_m").rowsBetween(UNB, -1)
         carry = (
-            _null_safe_join(keys, tail, ["_slice", *by], "left")
-            .withColumn("_carry", F.last("_tail", ignorenulls=True).over(ws))
-            .select("_slice", *by, "_carry")
+            marks.unionByName(tails)
+            .withColumn("_carry", F.last("tail", ignorenulls=True).over(ws))
+            .filter(F.col("_m") == 0)
+            .select("_slice", "_gk", "_carry")
         )
-        m = _null_safe_join(pts, carry, ["_slice", *by], "left").withColumn(
+        pts = local.filter(F.col("_kind") == 0)
+        m = _null_safe_join(pts, F.broadcast(carry), ["_slice", "_gk"], "left").withColumn(
             "_hit", F.coalesce(F.col("_loc"), F.col("_carry"))
         )
     m = m.filter(F.col("_kind") == 0)

@@ -101,3 +101,18 @@ def test_softmax_top_p(spark):
     assert p[2] == pytest.approx(math.exp(3.0) / z)
     kept = sorted(r.token for r in dist.apply_top_p(d, ["context"], 0.5).collect())
     assert kept == [2]  # exclusive cumulative prob of token 1 is 0.665 > 0.5
+
+
+def test_inverse_cdf_global_many_slices(spark):
+    rnd = random.Random(3)
+    ws = [rnd.randint(1, 5) for _ in range(3000)]
+    tot, acc, drows = sum(ws), 0, []
+    for t, w in enumerate(ws):
+        drows.append((t, acc / tot, (acc + w) / tot))
+        acc += w
+    pts = [(i, rnd.random() ** 3) for i in range(400)] + [(400, 1.0), (401, 0.0)]
+    d = spark.createDataFrame(drows, "token int, lo double, hi double")
+    p = spark.createDataFrame(pts, "pid int, c double")
+    got = {r.pid: r.token for r in inverse_cdf(p, d, [], slices=13).collect()}
+    for pid, c in pts:
+        assert got[pid] == next(t for t, lo, hi in drows if (c > lo or lo == 0) and c <= hi)
