@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,36 +78,47 @@ def compare_arms(summary: DataFrame, base: str, other: str) -> DataFrame:
 
 def metric_log(summary: DataFrame, base: str, other: str) -> DataFrame:
     """S8 + T17 + U3: flat ``eval/{arm}/{field} -> value`` for every numeric field of both arms,
-    plus ``eval/delta/{field}`` for the seven logged deltas. Columns: metric, value."""
+    plus ``eval/delta/{field}`` for the seven logged deltas. Columns: metric, value.
+
+    One pass over the summary: each (arm, field, value) row emits its own key and, for logged
+    fields, a signed contribution to the delta key (+other, -base); one ``groupBy`` adds them.
+    """
     fields = numeric_fields(summary)
-    per_arm = (
+    long = (
         summary.filter(F.col("label").isin(base, other))
         .select("label", *[F.col(f).cast("double").alias(f) for f in fields])
         .unpivot("label", fields, "field", "value")
-        .select(F.concat_ws("/", F.lit(LOG_PREFIX), F.col("label"), F.col("field")).alias("metric"), "value")
     )
-    delta = (
-        compare_arms(summary, base, other)
-        .filter(F.col("metric").isin(*LOGGED_DELTA))
-        .select(
-            F.concat_ws("/", F.lit(LOG_PREFIX), F.lit(DELTA_KEY), F.col("metric")).alias("metric"),
-            F.col("delta").alias("value"),
-        )
+    own = F.struct(F.concat_ws("/", F.lit(LOG_PREFIX), F.col("label"), F.col("field")).alias("metric"), F.col("value"))
+    sign = F.when(F.col("label") == F.lit(other), F.lit(1.0)).otherwise(F.lit(-1.0))
+    delta = F.struct(
+        F.concat_ws("/", F.lit(LOG_PREFIX), F.lit(DELTA_KEY), F.col("field")).alias("metric"), (sign * F.col("value")).alias("value")
     )
-    return per_arm.unionByName(delta)
+    parts = F.when(F.col("field").isin(*LOGGED_DELTA), F.array(own, delta)).otherwise(F.array(own))
+    flat = long.select(F.explode(parts).alias("e")).select("e.metric", "e.value")
+    # per-arm keys get one term; a delta key gets other + (-base), which is exactly other - base
+    return flat.groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+def fixed6(x: Column) -> Column:
+    """``'%.6f' % x`` as a JVM expression: ``format_number`` rounds the exact binary value
+    half-even (like C and Python formatting; ``format_string`` rounds the shortest decimal text
+    half-up and differs on ties), then the grouping commas are removed. Equal to Python's output
+    for |x| <= 1e9 (property-tested); beyond, Java keeps only 17 significant digits."""
+    return F.regexp_replace(F.format_number(x, 6), ",", "")
 
 
-@F.pandas_udf(T.StringType())
-def _format_row(name: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
-    # Python's own %-formatting: rounds the binary value, as the reference's console does
-    # (Java's Formatter rounds the shortest decimal text half-up and differs on ties).
-    return pd.Series([f"{n} | {x:.6f} | {y:.6f} | {y - x:+.6f}" for n, x, y in zip(name, b, a)])
+def signed_fixed6(x: Column) -> Column:
+    """``'%+.6f' % x``."""
+    s = fixed6(x)
+    return F.when(s.startswith("-"), s).otherwise(F.concat(F.lit("+"), s))
 
 
 def summary_lines(compared: DataFrame) -> DataFrame:
-    """One console line per compared metric (pos, line). Nine rows; the formatting helper is
-    an Arrow-batched pandas UDF over those rows only."""
-    return compared.select("pos", _format_row("name", "baseline", "arithmetic").alias("line"))
+    """One console line per compared metric, ``name | base | other | delta`` (pos, line)."""
+    b, a = F.col("baseline"), F.col("arithmetic")
+    line = F.concat_ws(" | ", F.col("name"), fixed6(b), fixed6(a), signed_fixed6(a - b))
+    return compared.select("pos", line.alias("line"))
 
 
 SUMMARY_HEADER = ("metric", "baseline", "arithmetic", "delta (arith - base)")

@@ -60,8 +60,10 @@ def top_p_dist(spark, sf_dir):
 
 
 def cdf_dist(spark, sf_dir):
-    s = dist.shape(logit_rows(spark, sf_dir), ["context"], temperature=TEMPERATURE, top_k=TOP_K, top_p=TOP_P)
-    c = dist.cdf(s, ["context"], weight="prob", token="token")
+    s = dist.shape(
+        logit_rows(spark, sf_dir), ["context"], temperature=TEMPERATURE, top_k=TOP_K, top_p=TOP_P, normalize=False
+    )
+    c = dist.cdf(s, ["context"], weight="weight", token="token", bounded=True, prob="prob")  # <= k rows per context
     return c.select("context", "token", _r("prob"), _r("lo"), _r("hi"))
 
 
@@ -169,16 +171,17 @@ def _softmax(src: str, out: str = "prob") -> str:
 
 
 _TOPP = (
-    f"SELECT context, token, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY context ORDER BY p DESC, token "
-    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pe FROM ({_softmax(_TOPK, 'p')})) WHERE pe <= {TOP_P!r}"
+    f"SELECT context, token, logit, e FROM (SELECT *, coalesce(sum(e) OVER (PARTITION BY context ORDER BY logit DESC, token "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY context) AS pe "
+    f"FROM (SELECT *, exp(logit - max(logit) OVER (PARTITION BY context)) AS e FROM ({_TOPK}))) WHERE pe <= {TOP_P!r}"
 )
-_SHAPED = f"SELECT context, token, prob FROM ({_softmax(_TOPP)})"
+_SHAPED = f"SELECT context, token, e, e / sum(e) OVER (PARTITION BY context) AS prob FROM ({_TOPP})"
 _CDF = (
-    f"SELECT context, token, prob, "
-    f"coalesce(sum(prob) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
-    f"/ sum(prob) OVER (PARTITION BY context) AS lo, "
-    f"sum(prob) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
-    f"/ sum(prob) OVER (PARTITION BY context) AS hi FROM ({_SHAPED})"
+    f"SELECT context, token, e / sum(e) OVER (PARTITION BY context) AS prob, "
+    f"coalesce(sum(e) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    f"/ sum(e) OVER (PARTITION BY context) AS lo, "
+    f"sum(e) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+    f"/ sum(e) OVER (PARTITION BY context) AS hi FROM ({_TOPP})"
 )
 
 _WORDS = sql.words("text")

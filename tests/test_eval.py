@@ -85,3 +85,25 @@ def test_custom_scorer_fallback(spark):
 
     out, name = score(df, scorer=plug)
     assert [r.score for r in out.collect()] == [0.25, 0.0] and name == "plug"
+
+
+def test_fixed6_matches_python_formatting(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    vals = st.one_of(
+        st.floats(min_value=-1e9, max_value=1e9, allow_nan=False),
+        st.integers(min_value=-10**9, max_value=10**9).map(lambda i: i / 10**7),  # ties at the 7th digit
+    )
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.lists(vals, min_size=1, max_size=200))
+    def check(xs):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        got = df.select(report.fixed6(F.col("x")).alias("a"), report.signed_fixed6(F.col("x")).alias("b")).collect()
+        for x, r in zip(xs, got):
+            assert r.a == "%.6f" % x
+            if x != 0 or str(x)[0] != "-":
+                assert r.b == "%+.6f" % x
+
+    check()
