@@ -75,3 +75,24 @@ def positional_checksum(ids) -> Column:
     return F.aggregate(
         F.transform(_c(ids), lambda x, i: x.cast("long") * (i + 1).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b
     )
+
+
+def right_pad(ids, length, pad: int) -> Column:
+    """P13 (right padding, the evaluation side): pad ids on the right to ``length``."""
+    n = F.greatest(length - F.size(_c(ids)), F.lit(0))
+    return F.concat(_c(ids), F.array_repeat(F.lit(int(pad)), n))
+
+
+def right_pad_mask(ids, length) -> Column:
+    """1 for real ids, then 0 for padding."""
+    n = F.greatest(length - F.size(_c(ids)), F.lit(0))
+    return F.concat(F.array_repeat(F.lit(1), F.size(_c(ids))), F.array_repeat(F.lit(0), n))
+
+
+def pad_id(pad: int | None, eos: int | None) -> int:
+    """The pad id falls back to the EOS id when the vocabulary has none."""
+    if pad is not None:
+        return int(pad)
+    if eos is None:
+        raise ValueError("neither a pad id nor an EOS id is defined")
+    return int(eos)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.tokens import left_pad, left_pad_mask
+from strata.functions.tokens import left_pad, left_pad_mask, pad_id, right_pad, right_pad_mask
 from strata.operators.evaluate import MIN_WALL_SEC
 from strata.operators.scan import with_ordinal
 
@@ -18,14 +18,23 @@ def batch_ids(df: DataFrame, order: Sequence[Column], batch_size: int, by: Seque
     return d.withColumn(out, F.floor(F.col("_bord") / F.lit(int(batch_size))).cast("long")).drop("_bord")
 
 
-def pad_batches(df: DataFrame, ids: str, batch: Sequence[str], pad: int = 0) -> DataFrame:
-    """P13 + A15: left-pad every row to the longest row of its batch; add ``padded``, ``mask`` and
-    ``padded_len``. A batch holds at most ``batch_size`` rows, so its window is small."""
+def pad_batches(
+    df: DataFrame, ids: str, batch: Sequence[str], pad: int | None = 0, *, side: str = "left", eos: int | None = None
+) -> DataFrame:
+    """P13 + A15: pad every row to the longest row of its batch; add ``padded``, ``mask`` and
+    ``padded_len``. Left padding is the generation side, right padding the evaluation side; the
+    pad id falls back to ``eos`` when ``pad`` is None. A batch holds at most ``batch_size`` rows,
+    so its window is small."""
+    p = pad_id(pad, eos)
     m = F.max(F.size(ids)).over(Window.partitionBy(*batch))
     d = df.withColumn("padded_len", m.cast("int"))
-    return d.withColumn("padded", left_pad(F.col(ids), F.col("padded_len"), pad)).withColumn(
-        "mask", left_pad_mask(F.col(ids), F.col("padded_len"))
-    )
+    if side == "left":
+        padded, mask = left_pad(F.col(ids), F.col("padded_len"), p), left_pad_mask(F.col(ids), F.col("padded_len"))
+    elif side == "right":
+        padded, mask = right_pad(F.col(ids), F.col("padded_len"), p), right_pad_mask(F.col(ids), F.col("padded_len"))
+    else:
+        raise ValueError("side must be 'left' or 'right'")
+    return d.withColumn("padded", padded).withColumn("mask", mask)
 
 
 def batch_token_counts(df: DataFrame, arm: str, ids: str, order: Sequence[Column], batch_size: int) -> DataFrame:

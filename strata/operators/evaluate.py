@@ -244,3 +244,14 @@ def alignment_violations(prompts: DataFrame, completions: DataFrame, k: int, arm
         "arm", "prompt_id", F.lit("orphan").alias("kind"), F.col("n").cast("long").alias("n_samples")
     )
     return inside.unionByName(orphans)
+
+
+def group_samples(completions: DataFrame, by: Sequence[str] = ("arm", "prompt_id"), value: str = "completion") -> DataFrame:
+    """T18 / D5 nested form: the k samples of each group as one array in sample order.
+
+    A group holds the k samples of one prompt (bounded by k), so the collect stays small; the
+    flat form is recovered with ``posexplode``.
+    """
+    return completions.groupBy(*by).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", value))), lambda x: x[value]).alias("samples")
+    )

@@ -122,6 +122,17 @@ def summary_lines(compared: DataFrame) -> DataFrame:
 
 
 SUMMARY_HEADER = ("metric", "baseline", "arithmetic", "delta (arith - base)")
+SUMMARY_TITLE = "=== Evaluation Summary ==="
+SUMMARY_RULE = "-" * 92
+
+
+def console_text(compared: DataFrame, backend: str = BUILTIN_BACKEND) -> DataFrame:
+    """S9 in full: title, backend, header, rule and the nine metric lines as one text (one row).
+    The nine lines are ordered by their fixed position inside the aggregate."""
+    lines = summary_lines(compared)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    head = "\n".join([SUMMARY_TITLE, f"Reward backend: {backend}", " | ".join(SUMMARY_HEADER), SUMMARY_RULE])
+    return lines.agg(F.concat_ws("\n", F.lit(head), body).alias("text"))
 
 
 @dataclass(frozen=True)
@@ -187,12 +198,34 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_metric_log(log: DataFrame, path: str, run_name: str) -> bool:
-    """S8 + S12: append the flat metrics with the run name; a failing sink only warns."""
+@dataclass(frozen=True)
+class RunConfig:
+    """The logged run configuration (requested count and model paths; unlike ``RunMeta`` it
+    has no dataset config or column names)."""
+
+    dataset: str
+    split: str
+    start: int
+    count: int
+    num_samples: int
+    max_new_tokens: int
+    temperature: float
+    top_p: float
+    top_k: int
+    reward_backend: str
+    baseline_model: str
+    arithmetic_model: str
+
+
+def write_metric_log(log: DataFrame, path: str, run_name: str, config: RunConfig | None = None) -> bool:
+    """S8 + S11 + S12: append the flat metrics with the run name (and the run configuration as
+    columns); a failing sink only warns."""
     try:
-        log.withColumn("run", F.lit(run_name)).withColumn("logged_at", F.current_timestamp()).write.mode(
-            "append"
-        ).parquet(path)
+        out = log.withColumn("run", F.lit(run_name)).withColumn("logged_at", F.current_timestamp())
+        if config is not None:
+            for k, v in config.__dict__.items():
+                out = out.withColumn(f"config_{k}", F.lit(v))
+        out.write.mode("append").parquet(path)
         return True
     except Exception as exc:  # noqa: BLE001 - logging must never fail the run
         print(f"[warn] metric log failed: {type(exc).__name__}: {exc}")

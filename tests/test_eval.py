@@ -107,3 +107,26 @@ def test_fixed6_matches_python_formatting(spark):
                 assert r.b == "%+.6f" % x
 
     check()
+
+
+def test_sinks_and_console(spark, data, tmp_path):
+    prompts, comps = data
+    s = evaluate(prompts, comps, 2, ARMS, batch_size=None)
+    cmp = report.compare_arms(s, "baseline", "arithmetic")
+    text = report.console_text(cmp).first().text.split("\n")
+    assert text[0] == report.SUMMARY_TITLE and text[2].startswith("metric | baseline") and len(text) == 4 + 9
+    meta = report.RunMeta("d", "train", 0, "prompt", "answer", 2)
+    report.write_report(report.report_json(s, prompts, meta, "baseline", "arithmetic"), str(tmp_path / "rep"))
+    assert '"meta"' in "".join(spark.read.text(str(tmp_path / "rep")).toPandas()["value"])
+    cfg = report.RunConfig("d", "train", 0, 3, 2, 256, 0.8, 1.0, 0, "b", "m0", "m1")
+    assert report.write_metric_log(report.metric_log(s, "baseline", "arithmetic"), str(tmp_path / "log"), "r1", cfg)
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 31 and "config_top_p" in back.columns
+
+
+def test_group_samples(spark, data):
+    from strata.operators.evaluate import group_samples
+
+    _, comps = data
+    g = {(r.arm, r.prompt_id): r.samples for r in group_samples(comps).collect()}
+    assert g[("baseline", 1)] == ["no", "7"]

@@ -23,3 +23,11 @@ def test_pad_prefix_special(spark):
         tk.strip_special("ids", [3]).alias("s"), tk.positional_checksum("ids").alias("k"),
     ).first()
     assert r.p == [0, 0, 3, 4] and r.m == [0, 0, 1, 1] and r.d == [4] and r.c == [3] and r.s == [4] and r.k == 3 + 8
+
+
+def test_right_padding_and_pad_fallback(spark):
+    from strata.operators.batching import pad_batches
+
+    df = spark.createDataFrame([(0, [3, 4]), (0, [5])], "b long, ids array<int>")
+    r = pad_batches(df, "ids", ["b"], pad=None, side="right", eos=2).orderBy(F.size("ids")).collect()
+    assert r[0].padded == [5, 2] and r[0].mask == [1, 0] and r[1].padded == [3, 4]
