@@ -75,8 +75,28 @@ def chat_messages(spark, sf_dir) -> DataFrame:
 
 
 def chat_as_text(spark, sf_dir):
-    m = chat_messages(spark, sf_dir)
-    return m.select("conv_id", "n_turns", as_text_expr(F.col("messages"), m.schema["messages"].dataType).alias("text"))
+    """T8 + T9 + P11 on chat cells, concatenated in two levels: blocks of ``CHAT_BLOCK`` turns
+    are joined in parallel, then the block texts of each conversation in block order. Each
+    collect holds at most one block of turns or one conversation's block texts."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return chat_text(conv)
+
+
+CHAT_BLOCK = 64
+
+
+def chat_text(conv: DataFrame, block: int = CHAT_BLOCK) -> DataFrame:
+    """(conv_id, n_turns, text): non-empty turn texts joined by newline in turn order."""
+    keep = F.when(F.coalesce(F.col("text"), F.lit("")) != F.lit(""), F.struct("turn", "text"))
+    blocks = conv.groupBy("conv_id", F.floor(F.col("turn") / F.lit(block)).alias("blk")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(keep)), lambda x: x["text"]), "\n").alias("bt"),
+    )
+    nonempty = F.when(F.col("bt") != F.lit(""), F.struct("blk", "bt"))
+    return blocks.groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(nonempty)), lambda x: x["bt"]), "\n").alias("text"),
+    )
 
 
 def ordinal_slice_q(spark, sf_dir):
@@ -183,14 +203,16 @@ def echo_generator(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def chat_prompts(spark, sf_dir) -> DataFrame:
-    """(prompt_id, prompt, answer): the conversation without its last turn, and that last turn."""
-    m = chat_messages(spark, sf_dir)
-    head = F.slice("messages", 1, F.greatest(F.size("messages") - 1, F.lit(1)))
-    dt = m.schema["messages"].dataType
-    return m.select(
-        F.col("conv_id").alias("prompt_id"),
-        as_text_expr(head, dt).alias("prompt"),
-        F.coalesce(F.try_element_at("messages", F.lit(-1)).getField("content"), F.lit("")).alias("answer"),
+    """(prompt_id, prompt, answer): the conversation without its last turn (the whole of a
+    one-turn conversation) flattened in two levels, and the last turn's text."""
+    conv = read_table(spark, sf_dir, "conversations")
+    last = conv.groupBy("conv_id").agg(
+        F.max("turn").alias("_last"), F.count(F.lit(1)).alias("_n"), F.max_by("text", "turn").alias("answer")
+    )
+    j = conv.join(last, "conv_id", "inner")
+    head = chat_text(j.filter((F.col("turn") < F.col("_last")) | (F.col("_n") == 1)).select("conv_id", "turn", "text"))
+    return head.join(last.select("conv_id", "answer"), "conv_id", "inner").select(
+        F.col("conv_id").alias("prompt_id"), F.col("text").alias("prompt"), F.coalesce("answer", F.lit("")).alias("answer")
     )
 
 

@@ -84,3 +84,13 @@ def test_resolver():
         resolve_column(["a", "b"], None, PROMPT_CANDIDATES, "prompt")
     with pytest.raises(ValueError):
         resolve_column(["prompt"], "Prompt", PROMPT_CANDIDATES, "prompt")
+
+
+def test_chat_text_blocks(spark):
+    from strata.plans.text_queries import chat_text
+
+    rows = [(1, t, "u", ("" if t % 5 == 0 else f"m{t}")) for t in range(150)] + [(2, 0, "u", None), (2, 1, "a", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.text) for r in chat_text(df, block=7).collect()}
+    assert got[1] == (150, "\n".join(f"m{t}" for t in range(150) if t % 5))
+    assert got[2] == (2, "x")
