@@ -116,3 +116,11 @@ def test_inverse_cdf_global_many_slices(spark):
     got = {r.pid: r.token for r in inverse_cdf(p, d, [], slices=13).collect()}
     for pid, c in pts:
         assert got[pid] == next(t for t, lo, hi in drows if (c > lo or lo == 0) and c <= hi)
+
+
+def test_global_softmax_and_cdf(spark):
+    d = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0)], "token int, logit double")
+    p = {r.token: r.prob for r in dist.softmax(d, []).collect()}
+    assert sum(p.values()) == pytest.approx(1.0)
+    c = dist.cdf(d.withColumn("w", F.lit(1)), [], weight="w").orderBy("token").collect()
+    assert [r.hi for r in c] == [1 / 3, 2 / 3, 1.0]
