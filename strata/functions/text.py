@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values (must equal the reference's behaviour) ---------------------------------
-# Python's whitespace set for str.strip() and the \s class of str patterns, as one explicit
-# character class (Java's (?U)\s lacks U+001C..U+001F; RE2's \s is ASCII only).
-WS_CLASS = (
-    "[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+# Python's whitespace set (str.strip() and the \s class of str patterns): U+0009..U+000D,
+# U+001C..U+001F, U+0020, U+0085, U+00A0, U+1680, U+2000..U+200A, U+2028, U+2029, U+202F,
+# U+205F, U+3000. Java's (?U)\s lacks U+001C..U+001F and RE2's \s is ASCII only, so the set
+# is spelled out.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same set as a regex character class (Java and RE2 both read \x{...}).
+WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in WS_CHARS) + "]"
 # Literal removed from normalised text, then every closing brace.
 BOXED_OPEN = "\\boxed{"
 CLOSE_BRACE = "}"
@@ -40,8 +45,8 @@ def _c(x: Column | str) -> Column:
 
 
 def strip(s: Column | str) -> Column:
-    """Strip Python whitespace from both ends."""
-    return F.regexp_replace(_c(s), STRIP_PATTERN, "")
+    """Strip Python whitespace from both ends (works from the ends; no scan of the middle)."""
+    return F.btrim(_c(s), F.lit(WS_CHARS))
 
 
 def collapse_ws(s: Column | str) -> Column:

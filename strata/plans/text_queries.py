@@ -59,7 +59,7 @@ def last_number_q(spark, sf_dir):
 
 def score_ladder(spark, sf_dir):
     """Each document scored as a completion against the next document's text as the answer."""
-    d = _docs(spark, sf_dir).select("doc_id", "text")
+    d = _docs_spread(spark, sf_dir).select("doc_id", "text")
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("answer"))
     j = d.join(nxt, "doc_id", "left")
     return j.select("doc_id", score_expr(F.col("text"), F.coalesce(F.col("answer"), F.lit(""))).alias("score"))
