@@ -82,7 +82,8 @@ def per_prompt_stats(scored: DataFrame) -> DataFrame:
     aggs = [
         F.max(F.when((F.col("sample_idx") == 0) & hit, 1).otherwise(0)).alias("first_hit"),
         F.max(F.when(hit, 1).otherwise(0)).alias("any_hit"),
-        F.count_distinct(normalize(F.col("completion"))).alias("n_unique"),
+        # a group holds at most k samples (sample_idx < k), so the distinct set is built in place
+        F.size(F.array_distinct(F.collect_list(normalize(F.col("completion"))))).alias("n_unique"),
         F.sum("score").alias("score_sum"),
         F.sum(F.col("score") * F.col("score")).alias("score_sq"),
         F.count(F.lit(1)).alias("n_scores"),
@@ -114,41 +115,49 @@ def evaluate(
     """
     scored, _backend = score_completions(prompts, completions, k, scorer)
     pp = per_prompt_stats(scored)
-    grid = arm_grid(prompts, arms)
-    joined = grid.join(pp, ["arm", "prompt_id"], "left")
 
     has_tokens = "max_new_tokens" in pp.columns and bool(batch_size)
     has_ts = "ts_min" in pp.columns
-    # One chain: (arm, prompt) -> (arm, batch) -> arm. The batch level carries the padded token
-    # count (longest completion x completions); the other sums just pass through it.
+    # One chain over prompts that have completions: (arm, prompt) -> (arm, batch) -> arm. The
+    # batch level carries the padded token count (longest completion x completions). Prompts
+    # without completions only add to the denominator, which comes from the prompt count.
+    names = ["_h1", "_hk", "_uniq", "_ssum", "_ssq", "_n"]
     sums = [
-        F.count(F.lit(1)).alias("num_prompts"),
-        F.sum(F.coalesce("first_hit", F.lit(0))).alias("_h1"),
-        F.sum(F.coalesce("any_hit", F.lit(0))).alias("_hk"),
-        F.sum(F.coalesce("n_unique", F.lit(0))).alias("_uniq"),
+        F.sum("first_hit").alias("_h1"),
+        F.sum("any_hit").alias("_hk"),
+        F.sum("n_unique").alias("_uniq"),
         F.sum("score_sum").alias("_ssum"),
         F.sum("score_sq").alias("_ssq"),
-        F.sum(F.coalesce("n_scores", F.lit(0))).alias("_n"),
+        F.sum("n_scores").alias("_n"),
     ]
     extra_b, extra_a = [], []
     if has_tokens:
-        extra_b.append(F.coalesce(F.max("max_new_tokens") * F.sum("n_scores"), F.lit(0)).alias("_bt"))
+        extra_b.append((F.max("max_new_tokens") * F.sum("n_scores")).alias("_bt"))
         extra_a.append(F.sum("_bt").cast("long").alias("total_new_tokens"))
     if has_ts:
         extra_b += [F.min("ts_min").alias("_t0"), F.max("ts_max").alias("_t1")]
         extra_a += [F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1")]
     if batch_size:
         # Consecutive prompts form a generation batch; the prompt id is the slice ordinal.
-        per_batch = joined.withColumn(
-            "batch_id", F.floor(F.col("prompt_id") / F.lit(batch_size)).cast("long")
-        ).groupBy("arm", "batch_id").agg(*sums, *extra_b)
-        per_arm = per_batch.groupBy("arm").agg(
-            *[F.sum(c).alias(c) for c in ("num_prompts", "_h1", "_hk", "_uniq", "_ssum", "_ssq", "_n")], *extra_a
-        )
+        per_batch = pp.withColumn("batch_id", F.floor(F.col("prompt_id") / F.lit(batch_size)).cast("long")).groupBy(
+            "arm", "batch_id"
+        ).agg(*sums, *extra_b)
+        per_arm = per_batch.groupBy("arm").agg(*[F.sum(c).alias(c) for c in names], *extra_a)
     else:
-        per_arm = joined.groupBy("arm").agg(*sums, *extra_b)
+        per_arm = pp.groupBy("arm").agg(*sums, *extra_b)
+    # |arms| rows: the slice size once per arm (prompts without completions count as misses)
+    counts = prompts.agg(F.count(F.lit(1)).alias("num_prompts")).withColumn(
+        "arm", F.explode(F.array(*[F.lit(a) for a in arms]))
+    )
+    per_arm = counts.join(per_arm, "arm", "left")
+    per_arm = per_arm.select(
+        "arm", "num_prompts", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names],
+        *[c for c in per_arm.columns if c not in ("arm", "num_prompts", *names)],
+    )
     if not has_tokens:
         per_arm = per_arm.withColumn("total_new_tokens", F.lit(None).cast("long"))
+    elif "total_new_tokens" in per_arm.columns:
+        per_arm = per_arm.withColumn("total_new_tokens", F.coalesce("total_new_tokens", F.lit(0).cast("long")))
 
     n = F.col("_n")
     mean = F.col("_ssum") / n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.evaluate import first_k_samples
-from strata.sources.tables import read_table
+from strata.sources.tables import read_table, spread
 
 # Arms of the comparison, baseline first.
 ARMS = ("baseline", "arithmetic")
@@ -43,7 +43,7 @@ def eval_completions(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     whitespace-separated words; ``ts`` is the ship date. The first k lines per (arm, part) in
     ``SAMPLE_ORDER`` are the samples.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread(read_table(spark, sf_dir, "lineitem")).select(
         arm_of(F.col("l_linestatus")).alias("arm"),
         F.col("l_partkey").alias("prompt_id"),
         *SAMPLE_ORDER,
