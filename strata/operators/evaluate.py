@@ -264,3 +264,12 @@ def group_samples(completions: DataFrame, by: Sequence[str] = ("arm", "prompt_id
     return completions.groupBy(*by).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", value))), lambda x: x[value]).alias("samples")
     )
+
+
+def assert_aligned(prompts: DataFrame, completions: DataFrame, k: int, arms: Sequence[str]) -> None:
+    """J2, strict form: raise when any group is misaligned (the reference's strict zips).
+    One small job; the message carries the count per kind."""
+    v = alignment_violations(prompts, completions, k, arms).groupBy("kind").count().collect()
+    if v:
+        detail = ", ".join(f"{r['kind']}={r['count']}" for r in sorted(v, key=lambda r: r["kind"]))
+        raise ValueError(f"completions are not aligned with prompts: {detail}")

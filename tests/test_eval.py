@@ -130,3 +130,12 @@ def test_group_samples(spark, data):
     _, comps = data
     g = {(r.arm, r.prompt_id): r.samples for r in group_samples(comps).collect()}
     assert g[("baseline", 1)] == ["no", "7"]
+
+
+def test_assert_aligned(spark, data):
+    from strata.operators.evaluate import assert_aligned
+
+    prompts, comps = data
+    with pytest.raises(ValueError, match="missing=2"):
+        assert_aligned(prompts, comps, 2, ARMS)
+    assert_aligned(prompts.filter("prompt_id < 2"), comps, 2, ARMS)
