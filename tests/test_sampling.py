@@ -124,3 +124,37 @@ def test_global_softmax_and_cdf(spark):
     assert sum(p.values()) == pytest.approx(1.0)
     c = dist.cdf(d.withColumn("w", F.lit(1)), [], weight="w").orderBy("token").collect()
     assert [r.hi for r in c] == [1 / 3, 2 / 3, 1.0]
+
+
+def test_estimator_variance_matches_python_and_lattice_is_unbiased(spark):
+    import hashlib
+    import statistics
+
+    rnd = random.Random(11)
+    rows = [("g", i, rnd.randint(1, 20), rnd.randint(0, 1)) for i in range(300)]
+    pop = spark.createDataFrame(rows, "grp string, rid long, w long, q int")
+    G, S, seed = 8, 64, 5
+    res = {r.method: r for r in smp.estimator_variance(pop, ["grp"], "w", "q", "rid", G, S, seed=seed).collect()}
+
+    W = sum(r[2] for r in rows)
+    cum, acc = [], 0
+    for r in rows:
+        cum.append((acc / W, (acc + r[2]) / W, r[3]))
+        acc += r[2]
+
+    def pick(c):
+        return next(q for lo, hi, q in cum if (c > lo or lo == 0) and c <= hi)
+
+    def ku(*parts):
+        return int(hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()[:13], 16) / 2**52
+
+    lat = [sum(pick((g + ku(seed, s, "g")) / G) for g in range(G)) / G for s in range(S)]
+    iid = [sum(pick(ku(seed, s, "g", g, "iid")) for g in range(G)) / G for s in range(S)]
+    for m, v in (("lattice", lat), ("iid", iid)):
+        assert res[m].mean_estimate == pytest.approx(statistics.mean(v), abs=1e-12)
+        assert res[m].var_estimate == pytest.approx(statistics.pvariance(v), abs=1e-12)
+    exact = sum(r[2] * r[3] for r in rows) / W
+    assert res["lattice"].exact_mean == pytest.approx(exact)
+    # unbiased: averaged over the random shift, the lattice estimate is the weighted mean
+    grid = [sum(pick((g + (i + 0.5) / 4000) / G) for g in range(G)) / G for i in range(4000)]
+    assert statistics.mean(grid) == pytest.approx(exact, abs=1e-3)
