@@ -273,7 +273,7 @@ _IDS_CTE = f"WITH t AS (SELECT doc_id, lang, {_IDS} AS ids FROM documents)"
 
 
 def _cks(lst: str) -> str:
-    return f"coalesce(list_sum(list_transform({lst}, lambda x, i: CAST(x AS BIGINT) * i)), 0)"
+    return f"CAST(coalesce(list_sum(list_transform({lst}, lambda x, i: CAST(x AS BIGINT) * i)), 0) AS BIGINT)"
 
 
 def _in_set(x: str, ids) -> str:
@@ -297,7 +297,7 @@ q AS (SELECT *, padded_len - CAST(len(ids) AS INTEGER) AS n_pad FROM m)"""
 
 _PAD = f"""{_PAD_CTE}
 SELECT doc_id, batch_id, padded_len, n_pad,
-       coalesce(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * (n_pad + i))), 0) AS padded_sum,
+       CAST(coalesce(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * (n_pad + i))), 0) AS BIGINT) AS padded_sum,
        CAST(len(ids) AS INTEGER) AS mask_sum
 FROM q"""
 
