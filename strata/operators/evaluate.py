@@ -1,6 +1,6 @@
 """Evaluation of k sampled completions per prompt for several arms.
 
-Shape of the computation (two shuffles of real data, both on bounded keys):
+Shape of the flagship computation (``evaluate``):
 
 1. ``first_k_samples`` keeps the first k completions of each (arm, prompt). ``row_number() <= k``
    plans a ``WindowGroupLimit`` that cuts every map partition to k rows per key *before* the
@@ -8,9 +8,11 @@ Shape of the computation (two shuffles of real data, both on bounded keys):
 2. completions are joined with the prompts' answers (one row per prompt; AQE broadcasts it when the
    measured size is small, otherwise a sort-merge join) and scored with JVM expressions.
 3. ``groupBy(arm, prompt_id)`` — at most k rows per key after step 1 — gives per-prompt hits,
-   unique normalised completions, score sums and token statistics.
-4. the (arm x prompt) grid is left-joined so prompts without completions count as misses,
-   then ``groupBy(arm)`` reduces algebraic sums (partial aggregation, one row per arm per task).
+   distinct normalised completions (built in place from the k values), score sums and tokens.
+4. ``groupBy(arm, batch)`` then ``groupBy(arm)`` reduce algebraic sums (partial aggregation).
+   Prompts without completions only enter the denominators, which come from one prompt count per
+   arm — no (arm x prompt) grid is materialised. Per-prompt outputs (``per_prompt_outcomes``,
+   ``alignment_violations``) do use the grid, since prompts without completions are rows there.
 """
 
 from __future__ import annotations
