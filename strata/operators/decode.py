@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +111,8 @@ def decode(
     eos_list = list(eos)
     active = state
     dist_max = None
+    placed: DataFrame | None = None
+    n_parts = int(dist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for step in range(max_steps):
         # A12 + size check in one small job on the (checkpointed) active set
         st = active.groupBy("cur").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
@@ -120,9 +123,17 @@ def decode(
         bounded = dist_max + st["m"] <= max_group_rows
         if method == "iid":
             active = active.withColumn("c", keyed_uniform(seed, "group_id", "g", F.lit(step)))
-        ctx = dist.join(active.select(F.col("cur").alias("context")).distinct(), "context", "left_semi")
         pts = active.select(F.col("cur").alias("context"), "group_id", "g", "c", "out")
-        hit = inverse_cdf(pts, ctx, ["context"], c="c", take=("token",), bounded=bounded)
+        if bounded:
+            if placed is None:
+                # the table hash-partitioned by context once and kept on the executors (rebuilt
+                # from the reliable checkpoint if an executor is lost); a step then moves only its
+                # points, hashed the same way, and sorts each context where the table sits
+                placed = dist.repartition(n_parts, "context").persist(StorageLevel.MEMORY_AND_DISK)
+            hit = inverse_cdf(pts.repartition(n_parts, "context"), placed, ["context"], c="c", take=("token",), bounded=True)
+        else:
+            ctx = dist.join(active.select(F.col("cur").alias("context")).distinct(), "context", "left_semi")
+            hit = inverse_cdf(pts, ctx, ["context"], c="c", take=("token",))
         nxt = hit.select(
             "group_id",
             "g",
@@ -136,6 +147,8 @@ def decode(
         fin = nxt.filter("finished")
         done = fin if done is None else done.unionByName(fin)
         active = nxt.filter(~F.col("finished"))
+    if placed is not None:
+        placed.unpersist(blocking=False)  # every later read goes through checkpointed states
     result = active if done is None else done.unionByName(active)
     return result.select("group_id", "g", "out", "finished", F.size("out").cast("int").alias("steps"))
 
