@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.operators import decode as dec
 from strata.operators import distribution as dist
 from strata.operators import sampling as smp
+from strata.operators.evaluate import evaluate
 from strata.plans import sql
 from strata.session import cut_lineage
 from strata.sources.tables import read_table
@@ -128,6 +129,33 @@ def sampler_diversity(spark, sf_dir):
     return dec.diversity(parts[0].unionByName(parts[1]), DECODE_G)
 
 
+EVAL_BATCH = 8
+
+
+def decode_eval(spark, sf_dir):
+    """The A/B the reference runs, end to end: decode DECODE_G completions per document prompt
+    with i.i.d. and with lattice sampling, score each against the document's true continuation
+    (the next DECODE_STEPS - 1 words, end marker included) and reduce to the per-arm record."""
+    docs = read_table(spark, sf_dir, "documents")
+    w = docs.select("doc_id", dec.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    truth = F.slice(F.concat("w", F.array(F.lit(dec.END_TOKEN))), 2, DECODE_STEPS - 1)
+    prompts = w.select(
+        F.col("doc_id").alias("prompt_id"), F.element_at("w", 1).alias("prompt"), F.array_join(truth, " ").alias("answer")
+    )
+    bg = cut_lineage(_bigram(spark, sf_dir).select("context", "token", "lo", "hi"))  # shared by both arms
+    arms = ("iid", "lattice")
+    comps = None
+    for m in arms:
+        out = dec.decode(_doc_prompts(spark, sf_dir), bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED,
+                         dist_ready=True)
+        c = out.select(
+            F.lit(m).alias("arm"), F.col("group_id").alias("prompt_id"), F.col("g").alias("sample_idx"),
+            F.array_join("out", " ").alias("completion"), F.size("out").cast("long").alias("new_tokens"),
+        )
+        comps = c if comps is None else comps.unionByName(c)
+    return evaluate(prompts, comps, DECODE_G, arms, batch_size=EVAL_BATCH)
+
+
 def sampler_variance(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -151,6 +179,7 @@ QUERIES = {
     "decode_iid": decode_iid,
     "sampler_diversity": sampler_diversity,
     "sampler_variance": sampler_variance,
+    "decode_eval": decode_eval,
 }
 
 # --- DuckDB oracle -------------------------------------------------------------------------
@@ -310,7 +339,9 @@ SELECT s.group_id, s.g, s.c, d.token FROM pts s JOIN dist d ON d.context = s.con
     "sampler_variance": _VAR,
 }
 
-def _diversity_sql() -> str:
+def _two_decodes() -> str:
+    """Both unrolled decodes in one WITH list (lattice steps l0.., i.i.d. steps r0..) plus
+    ``dec(arm, group_id, g, out)``."""
     lat = _decode_sql("lattice")
     iid = _decode_sql("iid")
     # rename the step CTEs of each decode so both can live in one statement
@@ -326,13 +357,52 @@ def _diversity_sql() -> str:
         + ",\n"
         + iid_steps.strip()
         + f""",
-dec AS (SELECT 'lattice' AS arm, group_id, array_to_string(out, ' ') AS completion FROM l{DECODE_STEPS}
-        UNION ALL SELECT 'iid' AS arm, group_id, array_to_string(out, ' ') AS completion FROM r{DECODE_STEPS}),
-per AS (SELECT arm, group_id, count(DISTINCT completion) AS n_unique FROM dec GROUP BY 1, 2)
+dec AS (SELECT 'lattice' AS arm, group_id, g, out FROM l{DECODE_STEPS}
+        UNION ALL SELECT 'iid' AS arm, group_id, g, out FROM r{DECODE_STEPS})
+"""
+    )
+
+
+def _diversity_sql() -> str:
+    return _two_decodes() + f"""
+, per AS (SELECT arm, group_id, count(DISTINCT array_to_string(out, ' ')) AS n_unique FROM dec GROUP BY 1, 2)
 SELECT arm, CAST(count(*) AS BIGINT) AS num_prompts, sum(n_unique) / count(*) AS avg_unique_completions,
        1.0::DOUBLE - (sum(n_unique) / count(*)) / {float(DECODE_G)!r} AS duplicate_rate
 FROM per GROUP BY arm"""
-    )
+
+
+def _decode_eval_sql() -> str:
+    return _two_decodes() + f"""
+, comp AS (SELECT arm, group_id AS prompt_id, g AS sample_idx, array_to_string(out, ' ') AS completion,
+                  CAST(len(out) AS BIGINT) AS new_tokens FROM dec),
+ans AS (SELECT doc_id AS prompt_id, array_to_string(list_concat(w, ['{dec.END_TOKEN}'])[2:{DECODE_STEPS}], ' ') AS answer
+        FROM docs WHERE len(w) > 0),
+scored AS (SELECT c.*, {sql.score("c.completion", "a.answer")} AS score, {sql.normalize("c.completion")} AS norm
+           FROM comp c JOIN ans a USING (prompt_id)),
+pp AS (SELECT arm, prompt_id,
+              max(CASE WHEN sample_idx = 0 AND score > 0.5::DOUBLE THEN 1 ELSE 0 END) AS first_hit,
+              max(CASE WHEN score > 0.5::DOUBLE THEN 1 ELSE 0 END) AS any_hit, count(DISTINCT norm) AS n_unique,
+              sum(score) AS ssum, sum(score * score) AS ssq, count(*) AS n, max(new_tokens) AS mt
+       FROM scored GROUP BY 1, 2),
+pb AS (SELECT arm, sum(first_hit) AS h1, sum(any_hit) AS hk, sum(n_unique) AS uniq, sum(ssum) AS ssum,
+              sum(ssq) AS ssq, sum(n) AS n, max(mt) * sum(n) AS bt
+       FROM pp GROUP BY arm, floor(prompt_id / {EVAL_BATCH})),
+pa AS (SELECT arm, sum(h1) AS h1, sum(hk) AS hk, sum(uniq) AS uniq, sum(ssum) AS ssum, sum(ssq) AS ssq, sum(n) AS n,
+              CAST(sum(bt) AS BIGINT) AS bt FROM pb GROUP BY arm),
+cnt AS (SELECT count(*) AS num_prompts FROM ans),
+x AS (SELECT a.arm, c.num_prompts, coalesce(h1, 0) AS h1, coalesce(hk, 0) AS hk, coalesce(uniq, 0) AS uniq,
+             coalesce(ssum, 0) AS ssum, coalesce(ssq, 0) AS ssq, coalesce(n, 0) AS n, coalesce(bt, 0) AS bt
+      FROM (VALUES ('iid'), ('lattice')) a(arm) CROSS JOIN cnt c LEFT JOIN pa USING (arm))
+SELECT arm AS label, arm AS model_path, CAST(num_prompts AS BIGINT) AS num_prompts, CAST({DECODE_G} AS INTEGER) AS num_samples,
+       h1 / num_prompts AS pass_at_1, hk / num_prompts AS pass_at_k,
+       CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END AS reward_mean,
+       CASE WHEN n > 1 THEN sqrt(greatest((ssq - ssum * ssum / n) / n, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END AS reward_std,
+       uniq / num_prompts AS avg_unique_completions,
+       1.0::DOUBLE - (uniq / num_prompts) / {float(DECODE_G)!r} AS duplicate_rate,
+       bt AS total_new_tokens, NULL::DOUBLE AS wall_time_sec, NULL::DOUBLE AS new_tokens_per_sec,
+       NULL::DOUBLE AS prompts_per_sec
+FROM x"""
 
 
 ORACLE["sampler_diversity"] = _diversity_sql()
+ORACLE["decode_eval"] = _decode_eval_sql()
