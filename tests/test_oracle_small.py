@@ -15,7 +15,7 @@ FAST = [
     "eval_summary", "ab_delta", "metric_log", "summary_text", "paired_outcome", "alignment_check",
     "score_ladder", "chat_as_text", "ordinal_slice", "split_leakage", "eos_truncate", "pad_strip",
     "batch_token_count", "throughput", "top_p_dist", "cdf_dist", "systematic_sample",
-    "inverse_cdf_join", "sampler_variance", "decode_lattice",
+    "inverse_cdf_join", "sampler_variance", "decode_lattice", "decode_eval",
 ]
 
 
