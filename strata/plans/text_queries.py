@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions import tokens as tk
 from strata.functions.scoring import score_expr
-from strata.functions.text import as_text_expr, last_number, normalize, parse_number
+from strata.functions.text import last_number, normalize, parse_number
 from strata.operators import batching
 from strata.operators.decode import generate_batch as run_generator
 from strata.operators.decode import words
@@ -65,15 +65,6 @@ def score_ladder(spark, sf_dir):
     return j.select("doc_id", score_expr(F.col("text"), F.coalesce(F.col("answer"), F.lit(""))).alias("score"))
 
 
-def chat_messages(spark, sf_dir) -> DataFrame:
-    """Chat cell per conversation: messages in turn order as ARRAY<STRUCT<turn, role, content>>."""
-    conv = read_table(spark, sf_dir, "conversations")
-    return conv.groupBy("conv_id").agg(
-        F.count(F.lit(1)).cast("long").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"),
-    )
-
-
 def chat_as_text(spark, sf_dir):
     """T8 + T9 + P11 on chat cells, concatenated in two levels: blocks of ``CHAT_BLOCK`` turns
     are joined in parallel, then the block texts of each conversation in block order. Each
