@@ -31,7 +31,11 @@ def read_table(spark: SparkSession, base: str, name: str, split: str | None = No
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin an input with fewer partitions than task slots before CPU-heavy per-row work
     (text splitting). Large inputs already have many file splits and pass through unchanged."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without the RDD API (Spark Connect): leave as is
+        return df
+    if parts < slots:
         return df.repartition(slots)
     return df
