@@ -45,17 +45,10 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     of a document is followed by the end marker. Pairs are generated inside each row (no window,
     no shuffle) and counted with a partially aggregated ``groupBy``."""
     w = spread(docs.select(text)).select(words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    pairs = w.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("w")),
-                lambda i: F.struct(
-                    F.element_at("w", i).alias("context"),
-                    F.coalesce(F.try_element_at("w", i + 1), F.lit(END_TOKEN)).alias("token"),
-                ),
-            )
-        ).alias("p")
-    ).select("p.context", "p.token")
+    nxt = F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit(END_TOKEN)))
+    pairs = w.select(F.explode(F.arrays_zip(F.col("w").alias("context"), nxt.alias("token"))).alias("p")).select(
+        "p.context", "p.token"
+    )
     return pairs.groupBy("context", "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
