@@ -127,13 +127,15 @@ def decode(
         else:
             ctx = dist.join(active.select(F.col("cur").alias("context")).distinct(), "context", "left_semi")
             hit = inverse_cdf(pts, ctx, ["context"], c="c", take=("token",))
+        # a context absent from the table has no continuation: the sequence ends as it is
+        none = F.col("token").isNull()
         nxt = hit.select(
             "group_id",
             "g",
-            renormalise(F.col("c"), F.col("lo"), F.col("hi")).alias("c"),
-            F.col("token").alias("cur"),
-            F.array_append("out", F.col("token")).alias("out"),
-            F.col("token").isin(*eos_list).alias("finished"),
+            F.coalesce(renormalise(F.col("c"), F.col("lo"), F.col("hi")), F.col("c")).alias("c"),
+            F.coalesce(F.col("token"), F.col("context")).alias("cur"),
+            F.when(none, F.col("out")).otherwise(F.array_append("out", F.col("token"))).alias("out"),
+            (none | F.col("token").isin(*eos_list)).alias("finished"),
         )
         if (step + 1) % checkpoint_every == 0:
             nxt = cut_lineage(nxt)

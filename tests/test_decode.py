@@ -67,3 +67,13 @@ def test_zero_steps_and_diversity(spark):
     assert [r.steps for r in out.collect()] == [0, 0]
     d = dec.diversity(out.withColumn("arm", F.lit("a")), 2).first()
     assert d.avg_unique_completions == 1.0 and d.duplicate_rate == 0.5
+
+
+def test_context_missing_from_table_ends_sequence(spark):
+    df = spark.createDataFrame([(0, "a b"), (1, "zzz")], "doc_id long, text string")
+    table = dec.bigram_table(df.filter("doc_id = 0"))  # no row for context 'zzz'
+    for cap in (0, dec.MAX_GROUP_ROWS):
+        out = dec.decode(dec.document_prompts(df), table, num_samples=2, max_steps=3, max_group_rows=cap)
+        got = {(r.group_id, r.g): (list(r.out), r.finished) for r in out.collect()}
+        assert got[(1, 0)] == ([], True) and got[(1, 1)] == ([], True)
+        assert got[(0, 0)][0] == ["b", dec.END_TOKEN]
