@@ -117,6 +117,8 @@ def as_text_expr(col: Column, dt: T.DataType) -> Column:
                 sub = dt[key].dataType
                 return F.when(col.isNull(), F.lit("")).otherwise(as_text_expr(col.getField(key), sub))
         return F.coalesce(F.to_json(col), F.lit(""))
+    if isinstance(dt, T.MapType) and not isinstance(dt.keyType, T.StringType):
+        return F.coalesce(F.to_json(col), F.lit(""))  # no text keys to look up
     if isinstance(dt, T.MapType):
         vt = dt.valueType
         expr = None

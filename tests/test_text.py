@@ -94,3 +94,8 @@ def test_chat_text_blocks(spark):
     got = {r.conv_id: (r.n_turns, r.text) for r in chat_text(df, block=7).collect()}
     assert got[1] == (150, "\n".join(f"m{t}" for t in range(150) if t % 5))
     assert got[2] == (2, "x")
+
+
+def test_as_text_map_with_int_keys(spark):
+    df = spark.createDataFrame([({1: "a"},)], "m map<int,string>")
+    assert _one_col(df, "m") == ['{"1":"a"}']
