@@ -36,9 +36,10 @@ def _pinned(df: DataFrame) -> DataFrame:
     the same exchange (e.g. pruned to different columns) may sample differently and number the
     slices differently. Persisting fixes one physical computation for both branches; after an
     executor loss the lost blocks are recomputed through the same shuffle dependency, whose
-    partitioner (and so every slice id) is fixed.
+    partitioner (and so every slice id) is fixed. Disk only: the frame is as large as its
+    input, behaves like a shuffle write, and takes no executor memory from the scans that follow.
     """
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.persist(StorageLevel.DISK_ONLY)
     _PERSISTED.append(out)
     return out
 
