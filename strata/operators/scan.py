@@ -2,9 +2,10 @@
 
 A plain ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task. Here the
 rows are range-partitioned on ``(g, o)`` instead, so a hot group is cut into consecutive slices
-that run in different tasks; each slice scans locally, a small per-(slice, group) table carries
-the boundary state across slices, and one join (broadcast by AQE when it is measured small)
-applies it. Work per task is bounded by the slice size, never by the group size.
+that run in different tasks; each slice scans locally. Only the first and the last group of a
+slice can continue into a neighbouring slice, so the state carried across slices fits in an edge
+table of at most 2 rows per slice — a proven bound, joined back by broadcast. Work per task is
+bounded by the slice size, never by the group size.
 
 * ``prefix_sum``   — inclusive/exclusive running sums and group totals (CDFs, ordinals).
 * ``with_ordinal`` — dense 0-based row ordinal in a total order (slices, splits).
