@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -19,13 +20,15 @@ def read_table(spark: SparkSession, base: str, name: str, split: str | None = No
     path = os.path.join(base, f"{name}.{fmt}") if not name.endswith(f".{fmt}") else os.path.join(base, name)
     if not os.path.exists(path) and os.path.exists(os.path.join(base, name)):
         path = os.path.join(base, name)
-    df = spark.read.format(fmt).load(path)
-    if split is not None:
-        if "split" in df.columns:  # partition column: pruned at the scan
-            df = df.filter(F.col("split") == split)
-        else:
-            raise ValueError(f"table {name} has no 'split' column; pass the split's path instead")
-    return df
+    if split is None:
+        return spark.read.format(fmt).load(path)
+    try:
+        df = spark.read.format(fmt).load(path)
+    except AnalysisException:  # only split sub-folders below the table folder
+        df = None
+    if df is not None and "split" in df.columns:  # partition column: pruned at the scan
+        return df.filter(F.col("split") == split)
+    return spark.read.format(fmt).load(f"{path.rstrip('/')}/{split}")  # one sub-folder per split
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -63,3 +63,13 @@ def test_batch_token_counts_and_throughput(spark):
     th = {r.arm: r for r in batching.throughput(ev, "arm", "ts", F.floor("v")).collect()}
     assert th["x"].wall_time_sec == 2.0 and th["x"].new_tokens_per_sec == 2.0 and th["x"].prompts_per_sec == 1.0
     assert th["y"].wall_time_sec == 1e-9
+
+
+def test_read_table_split_column_and_folder(spark, tmp_path):
+    from strata.sources.tables import read_table
+
+    df = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train")], "x long, split string")
+    df.write.partitionBy("split").parquet(str(tmp_path / "t1.parquet"))
+    assert sorted(r.x for r in read_table(spark, str(tmp_path), "t1", split="train").collect()) == [1, 3]
+    spark.createDataFrame([(7,)], "x long").write.parquet(str(tmp_path / "t2.parquet" / "dev"))
+    assert [r.x for r in read_table(spark, str(tmp_path), "t2", split="dev").collect()] == [7]
