@@ -28,7 +28,7 @@ from strata.sources.tables import spread
 # End-of-sequence marker of the bigram table (a fixed value of our table format).
 END_TOKEN = "</s>"
 # A double carries about 52 bits of choices through repeated renormalisation; past this many
-# steps later tokens are set by rounding, so the lattice decode refuses longer runs.
+# steps later lattice tokens are set by rounding, so the lattice decode refuses longer runs.
 MAX_STEPS = 64
 # Largest (transition rows + active sequences) of one context that a single task may sort in a
 # step; above it the lookup runs on range slices (see strata.operators.scan).
@@ -86,7 +86,8 @@ def decode(
     """
     if method not in ("lattice", "iid"):
         raise ValueError("method must be 'lattice' or 'iid'")
-    if max_steps > MAX_STEPS:
+    if method == "lattice" and max_steps > MAX_STEPS:
+        # i.i.d. draws a fresh uniform per step and has no such limit
         raise ValueError(f"max_steps above {MAX_STEPS} exceeds the precision of one double code point")
     G = int(num_samples)
     dist = dist.select("context", "token", "lo", "hi")

@@ -77,3 +77,13 @@ def test_context_missing_from_table_ends_sequence(spark):
         got = {(r.group_id, r.g): (list(r.out), r.finished) for r in out.collect()}
         assert got[(1, 0)] == ([], True) and got[(1, 1)] == ([], True)
         assert got[(0, 0)][0] == ["b", dec.END_TOKEN]
+
+
+def test_step_limit_applies_to_lattice_only(spark):
+    import pytest
+
+    df = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        dec.decode(dec.document_prompts(df), dec.bigram_table(df), num_samples=1, max_steps=dec.MAX_STEPS + 1)
+    out = dec.decode(dec.document_prompts(df), dec.bigram_table(df), num_samples=1, max_steps=dec.MAX_STEPS + 1, method="iid")
+    assert [list(r.out) for r in out.collect()] == [["b", dec.END_TOKEN]]
