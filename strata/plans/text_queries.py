@@ -21,7 +21,7 @@ from strata.sources.tables import read_table, spread
 
 # Parameters of the registered queries.
 SLICE_START, SLICE_COUNT = 100, 500
-SPLITS = {"train": (0, 500), "eval": (500, 1000)}
+SPLIT_FRACTIONS = {"train": (0.0, 0.5), "eval": (0.5, 1.0)}  # halves of the whole table
 PROMPT_LEN = 4
 EOS_IDS = (1,)
 PAD_ID = 0
@@ -97,7 +97,10 @@ def ordinal_slice_q(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    return ds.holdout_split(_docs(spark, sf_dir), ["doc_id"], SPLITS)
+    d = _docs(spark, sf_dir)
+    n = d.count()  # parquet footers
+    ranges = {k: (int(a * n) if a < 1 else n, int(b * n) if b < 1 else n) for k, (a, b) in SPLIT_FRACTIONS.items()}
+    return ds.holdout_split(d, ["doc_id"], ranges)
 
 
 def holdout_split_q(spark, sf_dir):
@@ -298,8 +301,14 @@ r AS (SELECT *, list_concat(list_transform(range(n_pad), lambda x: {PAD_ID}), id
 s AS (SELECT *, list_transform(list_filter(range(1, len(padded) + 1), lambda i: mask[i] = 1), lambda i: padded[i]) AS stripped FROM r)
 SELECT doc_id, CAST(len(stripped) AS INTEGER) AS n_stripped, {_cks('stripped')} AS stripped_sum, stripped = ids AS same FROM s"""
 
+_N_DOCS = "(SELECT count(*) FROM documents)"
+_SPLIT_CASES = " ".join(
+    f"WHEN ordinal >= CAST(floor({a!r} * {_N_DOCS}) AS BIGINT) AND ordinal < CAST(floor({b!r} * {_N_DOCS}) AS BIGINT) "
+    f"THEN '{n}'"
+    for n, (a, b) in sorted(SPLIT_FRACTIONS.items(), key=lambda kv: kv[1][0])
+)
 _SPLIT_CTE = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents),
-s AS (SELECT *, CASE {' '.join(f"WHEN ordinal >= {a} AND ordinal < {b} THEN '{n}'" for n, (a, b) in sorted(SPLITS.items(), key=lambda kv: kv[1][0]))} END AS split FROM o)"""
+s AS (SELECT *, CASE {_SPLIT_CASES} END AS split FROM o)"""
 
 ORACLE = {
     "normalize_text": f"SELECT doc_id, {_N} AS norm FROM documents",
