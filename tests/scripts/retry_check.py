@@ -11,10 +11,13 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from strata.operators import decode as dec  # noqa: E402
+from strata.operators.evaluate import evaluate  # noqa: E402
+from strata.plans.fixtures import ARMS, BATCH_SIZE, K, eval_completions, eval_prompts  # noqa: E402
 from strata.operators.scan import inverse_cdf, prefix_sum  # noqa: E402
 from strata.session import DEFAULT_CONF, ensure_checkpoint_dir  # noqa: E402
 
 
+SMALL = "/root/testdata/sf0.001"
 MARKS = tempfile.mkdtemp(prefix="strata-retry-")  # test-local folder for failure markers
 
 
@@ -54,7 +57,10 @@ def main():
         d = docs.mapInPandas(flaky, docs.schema) if make_flaky else docs
         out = dec.decode(dec.document_prompts(d), dec.bigram_table(d), num_samples=3, max_steps=5, max_group_rows=0)
         dd = sorted((r.group_id, r.g, tuple(r.out)) for r in out.collect())
-        return ps, look, dd
+        li = eval_completions(spark, SMALL)
+        li = li.mapInPandas(flaky, li.schema) if make_flaky else li
+        ev = sorted(tuple(r) for r in evaluate(eval_prompts(spark, SMALL), li, K, ARMS, batch_size=BATCH_SIZE).collect())
+        return ps, look, dd, ev
 
     clean, retried = run(False), run(True)
     failures = len(os.listdir(MARKS))
