@@ -71,7 +71,9 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``strata`` importable in the Python workers (pandas UDFs, ``mapInPandas``), the way
     ``spark-submit --py-files`` does: zip the package once and add it to the context. Idempotent
-    per application; sessions without a SparkContext (Spark Connect) are left alone."""
+    per application; sessions without a SparkContext (Spark Connect) are left alone. The zip is
+    written on the driver and served to executors by Spark itself (as ``--py-files`` is); no
+    executor reads the driver's disk, and no job data goes there."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001
