@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from strata.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, mixing, secret_scan, simhash, toxicity
 from strata.llm.common import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.secret_scan(read_table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_near_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +31,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read_table(spark, sf_dir, "documents")
@@ -34,9 +50,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op4_exact_dedup, op5_simhash_near_dedup, op9_byte_bpe, op10_mixing]
+    found = [
+        op1_secret_scan,
+        op2_toxicity,
+        op3_embedding_near_dedup,
+        op4_exact_dedup,
+        op5_simhash_near_dedup,
+        op6_language_id,
+        op8_license_scan,
+        op9_byte_bpe,
+        op10_mixing,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.oracle_sql()}
+    return {
+        "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op8_license_scan": license_scan.oracle_sql(),
+        "op10_mixing": mixing.oracle_sql(),
+    }
