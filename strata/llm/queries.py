@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import byte_bpe, embedding_dedup, exact_dedup, language_id, license_scan, mixing, secret_scan, simhash, toxicity
+from strata.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan, simhash, toxicity
 from strata.llm.common import read_table
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_exact_dedup,
         op5_simhash_near_dedup,
         op6_language_id,
+        op7_html_main_text,
         op8_license_scan,
         op9_byte_bpe,
         op10_mixing,
