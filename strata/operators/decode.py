@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,19 +19,13 @@ from pyspark.sql import types as T
 from strata.functions.hashing import keyed_uniform
 from strata.functions.text import WS_CLASS, WS_RUN_PATTERN
 from strata.operators.distribution import cdf
+from strata.operators.lookup import IntervalTable, interval_table, lookup_intervals
 from strata.operators.sampling import DEFAULT_SEED, iid_points, lattice_points, renormalise
-from strata.operators.scan import inverse_cdf
 from strata.session import cut_lineage
 from strata.sources.tables import spread
 
 # End-of-sequence marker of the bigram table (a fixed value of our table format).
 END_TOKEN = "</s>"
-# A double carries about 52 bits of choices through repeated renormalisation; past this many
-# steps later lattice tokens are set by rounding, so the lattice decode refuses longer runs.
-MAX_STEPS = 64
-# Largest (transition rows + active sequences) of one context that a single task may sort in a
-# step; above it the lookup runs on range slices (see strata.operators.scan).
-MAX_GROUP_ROWS = 1 << 21
 
 
 def words(text) -> F.Column:
@@ -67,32 +60,25 @@ def decode(
     seed: int = DEFAULT_SEED,
     eos: Sequence[str] = (END_TOKEN,),
     checkpoint_every: int = 1,
-    dist_ready: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    table: IntervalTable | None = None,
 ) -> DataFrame:
     """Decode ``num_samples`` sequences per prompt for up to ``max_steps`` steps.
 
     ``prompts``: (group_id, context) — the context is the prompt's last token.
-    ``dist``: (context, token, lo, hi).
+    ``dist``: (context, token, lo, hi); not read if ``table`` is given.
     ``method``: ``lattice`` (one shared shift per group, code point renormalised each step) or
     ``iid`` (a fresh keyed uniform per group, sample and step).
     Output: (group_id, g, out ARRAY<STRING> up to and including EOS, finished BOOLEAN, steps INT).
-    0 steps gives empty completions. The transition table is materialised once (reliable
-    checkpoint) unless ``dist_ready`` says the caller already did so; every step reads it.
-
-    Each step measures its largest context (rows of the table plus active sequences; the table's
-    share is measured once). Within ``max_group_rows`` one sort per context does the lookup;
-    beyond it the sliced lookup splits the context over many tasks.
+    0 steps gives empty completions. The transitions are placed once as an interval table (pass
+    ``table`` to share one between arms); a step joins its points with it on (context, cell), the
+    same plan for contexts of any size. There is no limit on the steps: a lattice point that has
+    used up the bits of its double goes on with what renormalisation leaves.
     """
     if method not in ("lattice", "iid"):
         raise ValueError("method must be 'lattice' or 'iid'")
-    if method == "lattice" and max_steps > MAX_STEPS:
-        # i.i.d. draws a fresh uniform per step and has no such limit
-        raise ValueError(f"max_steps above {MAX_STEPS} exceeds the precision of one double code point")
     G = int(num_samples)
-    dist = dist.select("context", "token", "lo", "hi")
-    if not dist_ready and max_steps > 0:
-        dist = cut_lineage(dist)
+    if table is None and max_steps > 0:
+        table = interval_table(dist)
     if method == "lattice":
         state = lattice_points(prompts, "group_id", G, seed).drop("u")
     else:
@@ -104,30 +90,13 @@ def decode(
     done: DataFrame | None = None
     eos_list = list(eos)
     active = state
-    dist_max = None
-    placed: DataFrame | None = None
-    n_parts = int(dist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for step in range(max_steps):
-        # A12 + size check in one small job on the (checkpointed) active set
-        st = active.groupBy("cur").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
-        if not st or not st["n"]:
+        if active.isEmpty():  # A12: every sequence has finished
             break
-        if dist_max is None:
-            dist_max = dist.groupBy("context").count().agg(F.max("count")).first()[0] or 0
-        bounded = dist_max + st["m"] <= max_group_rows
         if method == "iid":
             active = active.withColumn("c", keyed_uniform(seed, "group_id", "g", F.lit(step)))
         pts = active.select(F.col("cur").alias("context"), "group_id", "g", "c", "out")
-        if bounded:
-            if placed is None:
-                # the table hash-partitioned by context once and kept on the executors (rebuilt
-                # from the reliable checkpoint if an executor is lost); a step then moves only its
-                # points, hashed the same way, and sorts each context where the table sits
-                placed = dist.repartition(n_parts, "context").persist(StorageLevel.MEMORY_AND_DISK)
-            hit = inverse_cdf(pts.repartition(n_parts, "context"), placed, ["context"], c="c", take=("token",), bounded=True)
-        else:
-            ctx = dist.join(active.select(F.col("cur").alias("context")).distinct(), "context", "left_semi")
-            hit = inverse_cdf(pts, ctx, ["context"], c="c", take=("token",))
+        hit = lookup_intervals(pts, table)
         # a context absent from the table has no continuation: the sequence ends as it is
         none = F.col("token").isNull()
         nxt = hit.select(
@@ -143,8 +112,6 @@ def decode(
         fin = nxt.filter("finished")
         done = fin if done is None else done.unionByName(fin)
         active = nxt.filter(~F.col("finished"))
-    if placed is not None:
-        placed.unpersist(blocking=False)  # every later read goes through checkpointed states
     result = active if done is None else done.unionByName(active)
     return result.select("group_id", "g", "out", "finished", F.size("out").cast("int").alias("steps"))
 

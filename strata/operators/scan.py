@@ -20,35 +20,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNB = Window.unboundedPreceding
-
-# Frames persisted by the scans (see ``_pinned``); ``release_cached`` drops them.
-_PERSISTED: list[DataFrame] = []
+from strata.session import cut_lineage
 
+UNB = Window.unboundedPreceding
 
 def _pinned(df: DataFrame) -> DataFrame:
-    """Persist the sliced frame that both branches of a scan read.
+    """Write the sliced frame that both branches of a scan read to the checkpoint folder.
 
     The range partitioner samples its input to pick bounds; two independently planned copies of
     the same exchange (e.g. pruned to different columns) may sample differently and number the
-    slices differently. Persisting fixes one physical computation for both branches; after an
-    executor loss the lost blocks are recomputed through the same shuffle dependency, whose
-    partitioner (and so every slice id) is fixed. Disk only: the frame is as large as its
-    input, behaves like a shuffle write, and takes no executor memory from the scans that follow.
+    slices differently. A reliable checkpoint fixes one physical result for both branches: it does
+    not depend on a cache being held, and a lost executor does not change a slice id.
     """
-    out = df.persist(StorageLevel.DISK_ONLY)
-    _PERSISTED.append(out)
-    return out
-
-
-def release_cached() -> None:
-    """Unpersist every frame pinned by the scans (call after the results are materialised)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist(blocking=False)
+    return cut_lineage(df)
 
 
 def _slices(df: DataFrame, slices: int | None) -> int:
@@ -176,8 +163,9 @@ def inverse_cdf(
     Intervals are ``(lo, hi]`` per group, tiling ``[0, 1]`` in the group's order with the last
     ``hi`` equal to 1; the first interval is closed at 0. ``take`` names the ``dist`` columns to
     copy (``lo`` and ``hi`` are always copied). Implementation: points and dist rows are merged
-    and ordered by (key desc, dist-before-point); the answer of a point is the last dist row seen,
-    i.e. the row with the smallest ``hi >= c``. Linear after the sort; no pairs are formed.
+    and ordered by (key desc, dist-before-point, lo desc); the answer of a point is the last dist row
+    seen, i.e. the row with the smallest ``hi >= c`` and of these the one with the smallest ``lo``, so
+    an interval of width zero is never chosen. Linear after the sort; no pairs are formed.
     """
     carry_cols = list(dict.fromkeys([*take, lo, hi]))
     pay = F.struct(*[F.col(x) for x in carry_cols])
@@ -186,6 +174,7 @@ def inverse_cdf(
         *by,
         F.col(hi).cast("double").alias("_key"),
         F.lit(1).alias("_kind"),
+        F.col(lo).cast("double").alias("_lo"),
         pay.alias("_pay"),
         F.lit(None).cast(points.select(F.struct(*pcols)).schema[0].dataType).alias("_pt"),
     )
@@ -193,11 +182,12 @@ def inverse_cdf(
         *by,
         F.col(c).cast("double").alias("_key"),
         F.lit(0).alias("_kind"),
+        F.lit(0.0).alias("_lo"),
         F.lit(None).cast(dist.select(pay).schema[0].dataType).alias("_pay"),
         F.struct(*pcols).alias("_pt"),
     )
     u = d.unionByName(p)
-    order = [F.col("_key").desc(), F.col("_kind").desc()]
+    order = [F.col("_key").desc(), F.col("_kind").desc(), F.col("_lo").desc()]
     if bounded:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(UNB, 0)
         m = u.withColumn("_hit", F.last("_pay", ignorenulls=True).over(w))
@@ -208,7 +198,7 @@ def inverse_cdf(
         # A point can miss its row inside its slice only if its group started in an earlier
         # slice, i.e. it is the slice's first group. Per slice: the first group, the last group
         # and the last dist row seen at the slice's end (the tail). At most 2 rows per slice.
-        pos = F.struct("_gk", (-F.col("_key")).alias("k"), (-F.col("_kind")).alias("d"))
+        pos = F.struct("_gk", (-F.col("_key")).alias("k"), (-F.col("_kind")).alias("d"), (-F.col("_lo")).alias("l"))
         per_slice = local.groupBy("_slice").agg(
             F.min("_gk").alias("first_gk"), F.max("_gk").alias("last_gk"), F.max_by("_loc", pos).alias("tail")
         )

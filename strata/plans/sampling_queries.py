@@ -9,8 +9,8 @@ from strata.operators import decode as dec
 from strata.operators import distribution as dist
 from strata.operators import sampling as smp
 from strata.operators.evaluate import evaluate
+from strata.operators.lookup import interval_table, lookup_intervals
 from strata.plans import sql
-from strata.session import cut_lineage
 from strata.sources.tables import read_table
 
 # Parameters of the registered queries (the reference's generation defaults where it has them).
@@ -93,13 +93,14 @@ def bigram_table_q(spark, sf_dir):
 
 def inverse_cdf_join(spark, sf_dir):
     pts = smp.lattice_points(_doc_prompts(spark, sf_dir), "group_id", DECODE_G, SEED).select("group_id", "context", "g", "c")
-    hit = smp.lookup(pts, _bigram(spark, sf_dir), ["context"])
+    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir)))
+    hit = hit.withColumn("c_next", smp.renormalise(F.col("c"), F.col("lo"), F.col("hi")))
     return hit.select("group_id", "g", "c", "token", "c_next")
 
 
 def iid_sample(spark, sf_dir):
     pts = smp.iid_points(_doc_prompts(spark, sf_dir), "group_id", DECODE_G, SEED, 0).select("group_id", "context", "g", "c")
-    hit = smp.lookup(pts, _bigram(spark, sf_dir), ["context"])
+    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir)))
     return hit.select("group_id", "g", "c", "token")
 
 
@@ -120,9 +121,10 @@ def decode_iid(spark, sf_dir):
 
 def sampler_diversity(spark, sf_dir):
     prompts = _doc_prompts(spark, sf_dir)
-    bg = cut_lineage(_bigram(spark, sf_dir).select("context", "token", "lo", "hi"))  # shared by both arms
+    bg = _bigram(spark, sf_dir)
+    table = interval_table(bg)  # shared by both arms
     parts = [
-        dec.decode(prompts, bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, dist_ready=True)
+        dec.decode(prompts, bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
         .withColumn("arm", F.lit(m))
         for m in ("iid", "lattice")
     ]
@@ -142,12 +144,12 @@ def decode_eval(spark, sf_dir):
     prompts = w.select(
         F.col("doc_id").alias("prompt_id"), F.element_at("w", 1).alias("prompt"), F.array_join(truth, " ").alias("answer")
     )
-    bg = cut_lineage(_bigram(spark, sf_dir).select("context", "token", "lo", "hi"))  # shared by both arms
+    bg = _bigram(spark, sf_dir)
+    table = interval_table(bg)  # shared by both arms
     arms = ("iid", "lattice")
     comps = None
     for m in arms:
-        out = dec.decode(_doc_prompts(spark, sf_dir), bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED,
-                         dist_ready=True)
+        out = dec.decode(_doc_prompts(spark, sf_dir), bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
         c = out.select(
             F.lit(m).alias("arm"), F.col("group_id").alias("prompt_id"), F.col("g").alias("sample_idx"),
             F.array_join("out", " ").alias("completion"), F.size("out").cast("long").alias("new_tokens"),

@@ -3,8 +3,6 @@ sub-folder or a partition value so the filter reaches the scan."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -15,11 +13,23 @@ TABLES = (
 ).split()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        jvm = spark._jvm
+    except Exception:  # noqa: BLE001 - Spark Connect has no JVM gateway: take the usual name
+        return True
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def read_table(spark: SparkSession, base: str, name: str, split: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Read one table. Column pruning and filter pushdown happen in the scan."""
-    path = os.path.join(base, f"{name}.{fmt}") if not name.endswith(f".{fmt}") else os.path.join(base, name)
-    if not os.path.exists(path) and os.path.exists(os.path.join(base, name)):
-        path = os.path.join(base, name)
+    """Read one table. Column pruning and filter pushdown happen in the scan. The file or folder is
+    ``name`` with or without the format's ending; Spark's file system decides which exists, so any
+    store that Spark can read will do."""
+    ending = f".{fmt}"
+    path = f"{base.rstrip('/')}/{name.removesuffix(ending)}{ending}"
+    if not _exists(spark, path):
+        path = path.removesuffix(ending)
     if split is None:
         return spark.read.format(fmt).load(path)
     try:

@@ -55,7 +55,7 @@ def main():
                                       F.col("id").alias("pid"), ((F.col("id") * 37 % 200) / 200.0).alias("c"))
         look = sorted(tuple(r) for r in inverse_cdf(pts, cdf, ["g"], take=("token",), slices=5).collect())
         d = docs.mapInPandas(flaky, docs.schema) if make_flaky else docs
-        out = dec.decode(dec.document_prompts(d), dec.bigram_table(d), num_samples=3, max_steps=5, max_group_rows=0)
+        out = dec.decode(dec.document_prompts(d), dec.bigram_table(d), num_samples=3, max_steps=5)
         dd = sorted((r.group_id, r.g, tuple(r.out)) for r in out.collect())
         li = eval_completions(spark, SMALL)
         li = li.mapInPandas(flaky, li.schema) if make_flaky else li

@@ -25,7 +25,7 @@ def test_slice_paths_agree(docs):
 
 
 def test_slice_validation(docs):
-    with pytest.raises(ValueError, match="Empty eval slice"):
+    with pytest.raises(ValueError, match="no rows from 40"):
         ds.ordinal_slice(docs, ["doc_id"], 40, 5)
     with pytest.raises(ValueError):
         ds.ordinal_slice(docs, ["doc_id"], -1, 5)

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from strata.operators import decode as dec
+from strata.operators import lookup
+from strata.operators.scan import inverse_cdf
 
 
 def _brute(docs, prompts, G, steps, method, seed):
@@ -43,15 +45,16 @@ def _brute(docs, prompts, G, steps, method, seed):
     return out
 
 
-def test_decode_matches_brute_force(spark):
+def test_decode_matches_brute_force(spark, monkeypatch):
     docs = ["the cat sat on the mat", "the dog sat", "a cat and the dog", "the the the cat"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     prompts = dec.document_prompts(df)
     table = dec.bigram_table(df)
     for method in ("lattice", "iid"):
         want = _brute(docs, [(r.group_id, r.context) for r in prompts.collect()], 4, 5, method, 11)
-        for cap in (0, dec.MAX_GROUP_ROWS):  # 0 forces the sliced (hot-context) lookup
-            got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11, max_group_rows=cap)
+        for per_cell in (1, 32):  # rows per cell of the interval table
+            monkeypatch.setattr(lookup, "ROWS_PER_CELL", per_cell)
+            got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11)
             assert {(r.group_id, r.g): list(r.out) for r in got.collect()} == want
 
 
@@ -72,18 +75,27 @@ def test_zero_steps_and_diversity(spark):
 def test_context_missing_from_table_ends_sequence(spark):
     df = spark.createDataFrame([(0, "a b"), (1, "zzz")], "doc_id long, text string")
     table = dec.bigram_table(df.filter("doc_id = 0"))  # no row for context 'zzz'
-    for cap in (0, dec.MAX_GROUP_ROWS):
-        out = dec.decode(dec.document_prompts(df), table, num_samples=2, max_steps=3, max_group_rows=cap)
-        got = {(r.group_id, r.g): (list(r.out), r.finished) for r in out.collect()}
-        assert got[(1, 0)] == ([], True) and got[(1, 1)] == ([], True)
-        assert got[(0, 0)][0] == ["b", dec.END_TOKEN]
-
-
-def test_step_limit_applies_to_lattice_only(spark):
-    import pytest
-
-    df = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
-    with pytest.raises(ValueError):
-        dec.decode(dec.document_prompts(df), dec.bigram_table(df), num_samples=1, max_steps=dec.MAX_STEPS + 1)
-    out = dec.decode(dec.document_prompts(df), dec.bigram_table(df), num_samples=1, max_steps=dec.MAX_STEPS + 1, method="iid")
-    assert [list(r.out) for r in out.collect()] == [["b", dec.END_TOKEN]]
+    out = dec.decode(dec.document_prompts(df), table, num_samples=2, max_steps=3)
+    got = {(r.group_id, r.g): (list(r.out), r.finished) for r in out.collect()}
+    assert got[(1, 0)] == ([], True) and got[(1, 1)] == ([], True)
+    assert got[(0, 0)][0] == ["b", dec.END_TOKEN]
+
+
+def test_lattice_decode_has_no_step_limit(spark):
+    # one successor per context: the only path is the ring a -> b -> a, for as many steps as asked
+    ring = spark.createDataFrame([("a", "b", 0.0, 1.0), ("b", "a", 0.0, 1.0)], "context string, token string, lo double, hi double")
+    prompts = spark.createDataFrame([(0, "a")], "group_id long, context string")
+    out = dec.decode(prompts, ring, num_samples=1, max_steps=66).collect()
+    assert [list(r.out) for r in out] == [["b", "a"] * 33] and not out[0].finished
+
+
+def test_interval_lookup_ties_and_edges(spark):
+    rows = [("x", "a", 0.0, 0.5), ("x", "b", 0.5, 0.5), ("x", "c", 0.5, 1.0)]
+    pts = spark.createDataFrame([("x", i, c) for i, c in enumerate([0.0, 0.3, 0.5, 0.75, 1.0])] + [("y", 9, 0.5)], "context string, i int, c double")
+    for order in (rows, rows[::-1]):
+        t = spark.createDataFrame(order, "context string, token string, lo double, hi double")
+        got = {r.i: r.token for r in lookup.lookup_intervals(pts, lookup.interval_table(t)).collect()}
+        assert got == {0: "a", 1: "a", 2: "a", 3: "c", 4: "c", 9: None}
+        for slices in (1, 3):
+            scan = {r.i: r.token for r in inverse_cdf(pts.where("context = 'x'"), t, ["context"], slices=slices).collect()}
+            assert scan == {0: "a", 1: "a", 2: "a", 3: "c", 4: "c"}
