@@ -46,8 +46,8 @@ def temperature_targets(cells: DataFrame, powers: dict[str, float] = TEMPERATURE
     out = {}
     for d, p in powers.items():
         m = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(p))).alias("raw"))
-        whole = m.agg(F.sum("raw").alias("whole"))  # one row
-        out[d] = m.join(F.broadcast(whole), F.lit(True)).select("value", (F.col("raw") / F.col("whole")).alias("share"))
+        whole = m.agg(F.sum("raw")).first()[0]
+        out[d] = m.select("value", (F.col("raw") / F.lit(whole)).alias("share"))
     return out
 
 
