@@ -157,7 +157,7 @@ def train_toxicity(
     )
     names = list(dict.fromkeys([r["f"] for r in best] + [f for t in IDENTITY_TERMS for f in word_features(t)]))
     at = {f: i for i, f in enumerate(names)}
-    own = F.array(*[F.lit(x).cast("long") for x in names])
+    own = F.expr(f"array({', '.join(f'{x}L' for x in names)})")
     got = rows.select("y", F.array_intersect("f", own).alias("f")).collect()
     sets = [{at[f] for f in r["f"]} for r in got]
     order = sorted(range(len(got)), key=lambda i: (got[i]["y"], sorted(sets[i])))  # whatever the partitions
