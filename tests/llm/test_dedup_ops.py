@@ -122,17 +122,17 @@ def test_mixing_margins_and_edges(spark):
     rows = [(i, "w " * int(rng.integers(1, 60)), "hot" if i % 3 else f"s{i % 5}", ["en", "de", None][i % 3], i % 2) for i in range(900)]
     rows += [(None, None, None, None, 0), (1, "", "hot", "en", 0), (1, "", "hot", "en", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
-    out = mixing.mix_to_targets(df, sweeps=4).collect()
+    out = mixing.mix_to_targets(df, sweeps=2).collect()
     assert len(out) == len(rows)
     total = sum(r.tokens for r in out)
     assert abs(sum(r.tokens * r.probability for r in out) / total - mixing.FRACTION) < 0.02
     assert abs(sum(r.tokens for r in out if r.selected) / total - mixing.FRACTION) < 0.06
-    cells = spark.createDataFrame([("a", "x", "1", 90), ("a", "y", "1", 5), ("b", "x", "1", 5), ("b", "y", "2", 20)], "source string, lang string, topic string, tokens long")
+    cells = spark.createDataFrame([(a, x, t, n) for (a, x, t), n in zip([(a, x, t) for a in "ab" for x in "xy" for t in "12"], [90, 5, 7, 12, 5, 20, 9, 4], strict=True)], "source string, lang string, topic string, tokens long")
     goal = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.6), ("y", 0.4)], "topic": [("1", 0.7), ("2", 0.3)]}
-    fitted = mixing.rake(cells, {d: spark.createDataFrame(g, "value string, share double") for d, g in goal.items()}, 12).collect()
+    fitted = mixing.rake(cells, {d: spark.createDataFrame(g, "value string, share double") for d, g in goal.items()}, 3).collect()
     for d, g in goal.items():
         for value, share in g:
-            assert abs(sum(r.weight for r in fitted if r[d] == value) / 120 - share) < 1e-2
+            assert abs(sum(r.weight for r in fitted if r[d] == value) / 152 - share) < 1e-2
     assert mixing.mix_to_targets(df.limit(0)).count() == 0
 
 
