@@ -16,18 +16,34 @@ PASS_THRESHOLD = 0.5
 
 
 def score_expr(completion: Column, answer: Column) -> Column:
+    """P3 on raw texts."""
+    return score_normalized(normalize(completion), normalize(answer))
+
+
+def score_normalized(c_norm: Column, a_norm: Column) -> Column:
     """1 when the normalised texts are equal and non-empty, else numeric comparison of the
     last numbers of the normalised texts (1 when close), else 0. Returns DOUBLE."""
-    c_norm = normalize(completion)
-    a_norm = normalize(answer)
-    c_num = parse_number(last_number(c_norm))
-    a_num = parse_number(last_number(a_norm))
-    numeric = F.when(F.coalesce(is_close(c_num, a_num), F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
-    return (
-        F.when((c_norm == a_norm) & (a_norm != F.lit("")), F.lit(1.0))
-        .when(last_number(c_norm).isNotNull() & last_number(a_norm).isNotNull(), numeric)
-        .otherwise(F.lit(0.0))
-    )
+    return _ladder((c_norm == a_norm) & (a_norm != F.lit("")), last_number(c_norm), last_number(a_norm))
+
+
+def _ladder(equal: Column, c_last: Column, a_last: Column) -> Column:
+    near = F.coalesce(is_close(parse_number(c_last), parse_number(a_last)), F.lit(False))
+    numeric = F.when(near, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(equal, F.lit(1.0)).when(c_last.isNotNull() & a_last.isNotNull(), numeric).otherwise(F.lit(0.0))
+
+
+def score_key(text: Column) -> Column:
+    """What P3 needs of a text, in a few bytes: the digest of its normal form (null when that is
+    empty) and its last number. Join on these instead of whole texts."""
+    norm = normalize(text)
+    digest = F.when(norm != F.lit(""), F.sha2(norm, 256))
+    return F.struct(digest.alias("digest"), last_number(norm).alias("last"))
+
+
+def score_keys(completion: Column, answer: Column) -> Column:
+    """P3 on two ``score_key`` structs (a null struct is an empty text)."""
+    equal = F.coalesce(completion["digest"] == answer["digest"], F.lit(False))
+    return _ladder(equal, completion["last"], answer["last"])
 
 
 def is_correct(score: Column) -> Column:
@@ -45,15 +61,17 @@ def score(
     prompt: str = "prompt",
     scorer: ScorerFn | None = None,
     out: str = "score",
+    builtin: Column | None = None,
 ) -> tuple[DataFrame, str]:
     """Add a score column and return ``(df, backend_name)``.
 
     ``scorer`` is any callable ``(prompt, completion, answer) -> Column`` — a column expression
     or a pandas UDF applied to the three columns. A null from it (the plug-in failed for that
     sample) falls back to the built-in score for that row (X2). ``scorer=None`` uses the built-in
-    score (X3).
+    score (X3), which is ``builtin`` where the caller has it at hand.
     """
-    builtin = score_expr(F.col(completion), F.col(answer))
+    if builtin is None:
+        builtin = score_expr(F.col(completion), F.col(answer))
     if scorer is None:
         return df.withColumn(out, builtin), BUILTIN_BACKEND
     p = F.col(prompt) if prompt in df.columns else F.lit("")

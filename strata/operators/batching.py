@@ -41,10 +41,11 @@ def batch_token_counts(df: DataFrame, arm: str, ids: str, order: Sequence[Column
     """Per arm the padded new-token count (per batch: longest row x rows, summed) and the
     effective count (sum of row lengths). Columns: arm, num_rows, num_batches, total_new_tokens,
     effective_new_tokens."""
-    b = batch_ids(df, order, batch_size, by=[arm])
+    lengths = df.withColumn("_len", F.size(ids)).drop(ids)  # the arrays themselves are not moved
+    b = batch_ids(lengths, order, batch_size, by=[arm])
     per_batch = b.groupBy(arm, "batch_id").agg(
-        (F.max(F.size(ids)).cast("long") * F.count(F.lit(1))).alias("_padded"),
-        F.sum(F.size(ids)).cast("long").alias("_eff"),
+        (F.max("_len").cast("long") * F.count(F.lit(1))).alias("_padded"),
+        F.sum("_len").cast("long").alias("_eff"),
         F.count(F.lit(1)).alias("_n"),
     )
     return per_batch.groupBy(arm).agg(

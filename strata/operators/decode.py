@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.hashing import keyed_uniform
-from strata.functions.text import WS_CLASS, WS_RUN_PATTERN
-from strata.operators.distribution import cdf
+from strata.functions.text import WS_RUN_PATTERN
+from strata.operators.distribution import cdf, shape
 from strata.operators.lookup import IntervalTable, interval_table, lookup_intervals
 from strata.operators.sampling import DEFAULT_SEED, iid_points, lattice_points, renormalise
 from strata.session import cut_lineage
@@ -45,9 +45,24 @@ def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return pairs.groupBy("context", "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def bigram_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """R8 + W2: bigram counts with their CDF interval per context in token order."""
-    return cdf(bigram_counts(docs, text), ["context"], weight="cnt", token="token")
+def bigram_table(docs: DataFrame, text: str = "text", contexts: DataFrame | None = None) -> DataFrame:
+    """R8 + W2: bigram counts with their CDF interval per context in token order. ``contexts``
+    (column ``context``) keeps only the contexts that a one-step lookup will ask for."""
+    counts = bigram_counts(docs, text)
+    if contexts is not None:
+        counts = counts.join(contexts.select("context").distinct(), "context", "left_semi")
+    return cdf(counts, ["context"], weight="cnt", token="token")
+
+
+def shaped_bigram_table(
+    docs: DataFrame, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, text: str = "text"
+) -> DataFrame:
+    """R6 in R7 and R9: the bigram table after temperature, top-k and top-p, a pair's logit being
+    the logarithm of its count. The distribution of a context is the same at every step, so it is
+    shaped once for both arms."""
+    logits = bigram_counts(docs, text).withColumn("logit", F.log("cnt"))
+    shaped = shape(logits, ["context"], temperature=temperature, top_k=top_k, top_p=top_p, normalize=False)
+    return cdf(shaped, ["context"], weight="weight", token="token").select("context", "token", "lo", "hi")
 
 
 def decode(
@@ -116,20 +131,22 @@ def decode(
     return result.select("group_id", "g", "out", "finished", F.size("out").cast("int").alias("steps"))
 
 
-FIRST_WORD_PATTERN = "[^" + WS_CLASS[1:] + "+"
+# Share of a document's words, in percent, that a decode has to continue to (rounded down).
+TAIL_PERCENT = 10
 
 
-def first_word(text) -> F.Column:
-    """The first element of ``words(text)`` without splitting the whole text ('' when none)."""
-    return F.regexp_extract(F.lower(text), FIRST_WORD_PATTERN, 0)
+def split_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", tail_percent: int = TAIL_PERCENT) -> DataFrame:
+    """(group_id, head ARRAY, tail ARRAY): each document with at least one word, its words split
+    into the prompt (never empty) and the whole rest."""
+    w = docs.select(F.col(id_col).alias("group_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    n_tail = F.floor(F.size("w") * tail_percent / 100).cast("int")
+    head = F.slice("w", 1, F.size("w") - n_tail)
+    return w.select("group_id", head.alias("head"), F.slice("w", F.size("w") - n_tail + 1, n_tail).alias("tail"))
 
 
 def document_prompts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Prompts of the decode queries: every document with at least one word, prompted by its
-    first word."""
-    return docs.select(F.col(id_col).alias("group_id"), first_word(F.col(text)).alias("context")).filter(
-        F.col("context") != F.lit("")
-    )
+    """Prompts of the decode queries: the context of a document is the last word of its head."""
+    return split_documents(docs, text, id_col).select("group_id", F.element_at("head", -1).alias("context"))
 
 
 def diversity(decoded: DataFrame, num_samples: int) -> DataFrame:
@@ -167,4 +184,6 @@ __all__ = [
     "document_prompts",
     "generate_batch",
     "iid_points",
+    "shaped_bigram_table",
+    "split_documents",
 ]

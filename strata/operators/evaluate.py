@@ -7,8 +7,8 @@ Shape of the flagship computation (``evaluate``):
    exchange, so a prompt that owns a third of all rows still ships only k rows per task.
 2. completions are joined with the prompts' answers (one row per prompt; AQE broadcasts it when the
    measured size is small, otherwise a sort-merge join) and scored with JVM expressions.
-3. ``groupBy(arm, prompt_id)`` — at most k rows per key after step 1 — gives per-prompt hits,
-   distinct normalised completions (built in place from the k values), score sums and tokens.
+3. ``groupBy(arm, prompt_id)`` gives per-prompt hits, distinct normalised completions (a distinct
+   aggregate, no collected list), score moments and tokens.
 4. ``groupBy(arm, batch)`` then ``groupBy(arm)`` reduce algebraic sums (partial aggregation).
    Prompts without completions only enter the denominators, which come from one prompt count per
    arm — no (arm x prompt) grid is materialised. Per-prompt outputs (``per_prompt_outcomes``,
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.scoring import ScorerFn, is_correct, score
+from strata.functions.scoring import ScorerFn, is_correct, score, score_normalized
 from strata.functions.text import normalize
 
 # Fields of the per-arm result record, in order (fixed schema of the reference's result).
@@ -71,23 +71,26 @@ def score_completions(
     k: int,
     scorer: ScorerFn | None = None,
 ) -> tuple[DataFrame, str]:
-    """J1 (inner part) + X1: attach the answer to each of the first k samples and score it."""
-    answers = prompts.select("prompt_id", "prompt", "answer")
-    kept = completions.filter(F.col("sample_idx") < k)
+    """J1 (inner part) + X1: attach the answer to each of the first k samples and score it. The
+    answer's normal form is built once per prompt, the completion's once per sample (``norm``)."""
+    answers = prompts.select("prompt_id", "prompt", "answer", normalize(F.col("answer")).alias("answer_norm"))
+    kept = completions.filter(F.col("sample_idx") < k).withColumn("norm", normalize(F.col("completion")))
     joined = kept.join(answers, "prompt_id", "inner")
-    return score(joined, scorer=scorer)
+    return score(joined, scorer=scorer, builtin=score_normalized(F.col("norm"), F.col("answer_norm")))
 
 
 def per_prompt_stats(scored: DataFrame) -> DataFrame:
-    """A1, A2, A5 and sums for A3/A4/A8/A9 per (arm, prompt_id)."""
+    """A1, A2, A5 and moments for A3/A4/A8/A9 per (arm, prompt_id)."""
     hit = is_correct(F.col("score"))
+    if "norm" not in scored.columns:
+        scored = scored.withColumn("norm", normalize(F.col("completion")))
     aggs = [
         F.max(F.when((F.col("sample_idx") == 0) & hit, 1).otherwise(0)).alias("first_hit"),
         F.max(F.when(hit, 1).otherwise(0)).alias("any_hit"),
-        # a group holds at most k samples (sample_idx < k), so the distinct set is built in place
-        F.size(F.array_distinct(F.collect_list(normalize(F.col("completion"))))).alias("n_unique"),
+        F.count_distinct("norm").alias("n_unique"),
         F.sum("score").alias("score_sum"),
-        F.sum(F.col("score") * F.col("score")).alias("score_sq"),
+        # squared deviations from the prompt's own mean: no cancellation, unlike sum of squares
+        (F.var_pop("score") * F.count("score")).alias("score_m2"),
         F.count(F.lit(1)).alias("n_scores"),
     ]
     cols = set(scored.columns)
@@ -105,31 +108,43 @@ def evaluate(
     arms: Sequence[str],
     *,
     batch_size: int | None = 8,
+    slice_start: int = 0,
+    strict: bool = False,
     scorer: ScorerFn | None = None,
     model_paths: dict[str, str] | None = None,
 ) -> DataFrame:
     """One result row per arm with the 14 fields of ``RESULT_FIELDS``.
 
-    ``prompts``: (prompt_id, prompt, answer) — prompt_id is the slice ordinal.
+    ``prompts``: (prompt_id, prompt, answer) — prompt_id is the ordinal in the dataset and the slice
+    begins at ``slice_start``, where the first batch begins too.
     ``completions``: (arm, prompt_id, sample_idx, completion[, new_tokens][, ts]).
     ``total_new_tokens`` follows the padded-batch definition: per (arm, batch) the longest
     completion times the number of completions; wall time is the span of ``ts`` per arm.
+    ``strict`` runs ``assert_aligned`` first (one job). Otherwise samples from index k on and
+    completions without a prompt do not count; ``alignment_violations`` reports them.
     """
+    if strict:
+        assert_aligned(prompts, completions, k, arms)
     scored, _backend = score_completions(prompts, completions, k, scorer)
     pp = per_prompt_stats(scored)
+    # Spread round the arm's mean = spread within prompts + spread of the prompts' means. The means
+    # are one row per arm, hence the broadcast; both readers of ``pp`` share its exchange.
+    arm_mean = pp.groupBy("arm").agg((F.sum("score_sum") / F.sum("n_scores")).alias("_mu"))
+    off = F.col("score_sum") / F.col("n_scores") - F.col("_mu")
+    pp = pp.join(F.broadcast(arm_mean), "arm").withColumn("_m2", F.col("score_m2") + F.col("n_scores") * off * off)
 
     has_tokens = "max_new_tokens" in pp.columns and bool(batch_size)
     has_ts = "ts_min" in pp.columns
     # One chain over prompts that have completions: (arm, prompt) -> (arm, batch) -> arm. The
     # batch level carries the padded token count (longest completion x completions). Prompts
     # without completions only add to the denominator, which comes from the prompt count.
-    names = ["_h1", "_hk", "_uniq", "_ssum", "_ssq", "_n"]
+    names = ["_h1", "_hk", "_uniq", "_ssum", "_m2", "_n"]
     sums = [
         F.sum("first_hit").alias("_h1"),
         F.sum("any_hit").alias("_hk"),
         F.sum("n_unique").alias("_uniq"),
         F.sum("score_sum").alias("_ssum"),
-        F.sum("score_sq").alias("_ssq"),
+        F.sum("_m2").alias("_m2"),
         F.sum("n_scores").alias("_n"),
     ]
     extra_b, extra_a = [], []
@@ -140,10 +155,9 @@ def evaluate(
         extra_b += [F.min("ts_min").alias("_t0"), F.max("ts_max").alias("_t1")]
         extra_a += [F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1")]
     if batch_size:
-        # Consecutive prompts form a generation batch; the prompt id is the slice ordinal.
-        per_batch = pp.withColumn("batch_id", F.floor(F.col("prompt_id") / F.lit(batch_size)).cast("long")).groupBy(
-            "arm", "batch_id"
-        ).agg(*sums, *extra_b)
+        # Consecutive prompts, counted from the start of the slice, form a generation batch.
+        batch = F.floor((F.col("prompt_id") - F.lit(slice_start)) / F.lit(batch_size)).cast("long")
+        per_batch = pp.withColumn("batch_id", batch).groupBy("arm", "batch_id").agg(*sums, *extra_b)
         per_arm = per_batch.groupBy("arm").agg(*[F.sum(c).alias(c) for c in names], *extra_a)
     else:
         per_arm = pp.groupBy("arm").agg(*sums, *extra_b)
@@ -163,7 +177,7 @@ def evaluate(
 
     n = F.col("_n")
     mean = F.col("_ssum") / n
-    var = (F.col("_ssq") - F.col("_ssum") * F.col("_ssum") / n) / n
+    var = F.col("_m2") / n
     if has_ts:
         span = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) / F.lit(1e6)
         wall = F.greatest(span.cast("double"), F.lit(MIN_WALL_SEC))
@@ -184,7 +198,7 @@ def evaluate(
         (F.col("_h1") / num_prompts).alias("pass_at_1"),
         (F.col("_hk") / num_prompts).alias("pass_at_k"),
         F.when(n > 0, mean).otherwise(F.lit(0.0)).alias("reward_mean"),
-        F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("reward_std"),
+        F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0)).alias("reward_std"),
         avg_unique.alias("avg_unique_completions"),
         (F.lit(1.0) - avg_unique / F.lit(float(max(k, 1)))).alias("duplicate_rate"),
         F.col("total_new_tokens"),
@@ -212,19 +226,30 @@ def per_prompt_outcomes(prompts: DataFrame, completions: DataFrame, k: int, arms
 
 def paired_outcomes(per_prompt: DataFrame, base: str, other: str) -> DataFrame:
     """Pair the two arms on the same prompts; wins/losses/ties on pass@k and the paired mean
-    difference of per-prompt mean scores. One row."""
-    b = per_prompt.filter(F.col("arm") == base).select(
-        "prompt_id", F.col("pass_k").alias("b_pass"), F.col("mean_score").alias("b_score")
+    difference of per-prompt mean scores. One row per call; ``per_prompt`` has one row per (arm,
+    prompt) and is read once."""
+    def of(arm: str, value: str) -> Column:
+        return F.max(F.when(F.col("arm") == arm, F.col(value)))
+
+    pairs = (
+        per_prompt.groupBy("prompt_id")
+        .agg(
+            of(base, "pass_k").alias("b_pass"),
+            of(other, "pass_k").alias("o_pass"),
+            of(base, "mean_score").alias("b_score"),
+            of(other, "mean_score").alias("o_score"),
+        )
+        .filter(F.col("b_pass").isNotNull() & F.col("o_pass").isNotNull())
     )
-    o = per_prompt.filter(F.col("arm") == other).select(
-        "prompt_id", F.col("pass_k").alias("o_pass"), F.col("mean_score").alias("o_score")
-    )
-    j = b.join(o, "prompt_id", "inner")
-    return j.agg(
+
+    def number(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
+
+    return pairs.agg(
         F.count(F.lit(1)).cast("long").alias("n_pairs"),
-        F.sum(F.when(F.col("o_pass") > F.col("b_pass"), 1).otherwise(0)).cast("long").alias("wins"),
-        F.sum(F.when(F.col("o_pass") < F.col("b_pass"), 1).otherwise(0)).cast("long").alias("losses"),
-        F.sum(F.when(F.col("o_pass") == F.col("b_pass"), 1).otherwise(0)).cast("long").alias("ties"),
+        number(F.col("o_pass") > F.col("b_pass")).alias("wins"),
+        number(F.col("o_pass") < F.col("b_pass")).alias("losses"),
+        number(F.col("o_pass") == F.col("b_pass")).alias("ties"),
         F.avg(F.col("o_score") - F.col("b_score")).alias("mean_score_diff"),
     )
 

@@ -82,6 +82,7 @@ def metric_log(summary: DataFrame, base: str, other: str) -> DataFrame:
 
     One pass over the summary: each (arm, field, value) row emits its own key and, for logged
     fields, a signed contribution to the delta key (+other, -base); one ``groupBy`` adds them.
+    A delta with one arm missing is null.
     """
     fields = numeric_fields(summary)
     long = (
@@ -89,23 +90,30 @@ def metric_log(summary: DataFrame, base: str, other: str) -> DataFrame:
         .select("label", *[F.col(f).cast("double").alias(f) for f in fields])
         .unpivot("label", fields, "field", "value")
     )
-    own = F.struct(F.concat_ws("/", F.lit(LOG_PREFIX), F.col("label"), F.col("field")).alias("metric"), F.col("value"))
+    own = F.struct(F.concat_ws("/", F.lit(LOG_PREFIX), F.col("label"), F.col("field")).alias("metric"), F.col("value"), F.lit(1).alias("terms"))
     sign = F.when(F.col("label") == F.lit(other), F.lit(1.0)).otherwise(F.lit(-1.0))
     delta = F.struct(
-        F.concat_ws("/", F.lit(LOG_PREFIX), F.lit(DELTA_KEY), F.col("field")).alias("metric"), (sign * F.col("value")).alias("value")
+        F.concat_ws("/", F.lit(LOG_PREFIX), F.lit(DELTA_KEY), F.col("field")).alias("metric"), (sign * F.col("value")).alias("value"),
+        F.lit(2).alias("terms"),
     )
     parts = F.when(F.col("field").isin(*LOGGED_DELTA), F.array(own, delta)).otherwise(F.array(own))
-    flat = long.select(F.explode(parts).alias("e")).select("e.metric", "e.value")
+    flat = long.select(F.explode(parts).alias("e")).select("e.metric", "e.value", "e.terms")
     # per-arm keys get one term; a delta key gets other + (-base), which is exactly other - base
-    return flat.groupBy("metric").agg(F.sum("value").alias("value"))
+    whole = F.count("value") == F.max("terms")
+    return flat.groupBy("metric").agg(F.when(whole, F.sum("value")).alias("value"))
 
 
 def fixed6(x: Column) -> Column:
     """``'%.6f' % x`` as a JVM expression: ``format_number`` rounds the exact binary value
     half-even (like C and Python formatting; ``format_string`` rounds the shortest decimal text
-    half-up and differs on ties), then the grouping commas are removed. Equal to Python's output
-    for |x| <= 1e9 (property-tested); beyond, Java keeps only 17 significant digits."""
-    return F.regexp_replace(F.format_number(x, 6), ",", "")
+    half-up and differs on ties), then the grouping commas are removed. Java keeps only 17
+    significant digits, so from 1e9 on the whole part and the fraction (both exact) are formatted
+    apart; right for |x| < 2**63, beyond it as Java prints it."""
+    whole = F.abs(x).cast("long")
+    frac = F.format_number(F.abs(x) - whole, 6).cast("decimal(7,6)")
+    large = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), (whole.cast("decimal(19,0)") + frac).cast("string"))
+    in_range = (F.abs(x) >= 1e9) & (F.abs(x) < 2.0**63)
+    return F.when(in_range, large).otherwise(F.regexp_replace(F.format_number(x, 6), ",", ""))
 
 
 def signed_fixed6(x: Column) -> Column:
@@ -154,18 +162,19 @@ class RunMeta:
 
 
 def report_struct(summary: DataFrame, meta: RunMeta, base: str, other: str) -> DataFrame:
-    """S7 + S10: one row ``report`` = struct(meta, baseline, arithmetic, delta)."""
+    """S7 + S10: one row ``report`` = struct(meta, baseline, arithmetic, delta). The block of an arm
+    that the summary does not hold is null, and so are the deltas."""
     rec = F.struct(*[F.col(f) for f in RESULT_FIELDS])
     agg = summary.agg(
-        F.max_by(rec, F.col("label") == F.lit(base)).alias("b"),
-        F.max_by(rec, F.col("label") == F.lit(other)).alias("o"),
+        F.max(F.when(F.col("label") == F.lit(base), rec)).alias("b"),
+        F.max(F.when(F.col("label") == F.lit(other), rec)).alias("o"),
     )
     meta_struct = F.struct(
         F.lit(meta.dataset).alias("dataset"),
         F.lit(meta.dataset_config).cast("string").alias("dataset_config"),
         F.lit(meta.split).alias("split"),
         F.lit(meta.start).cast("long").alias("start"),
-        F.col("b.num_prompts").alias("count"),
+        F.coalesce(F.col("b.num_prompts"), F.col("o.num_prompts")).alias("count"),
         F.lit(meta.prompt_column).alias("prompt_column"),
         F.lit(meta.answer_column).alias("answer_column"),
         F.lit(meta.num_samples).cast("int").alias("num_samples"),

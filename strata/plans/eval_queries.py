@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.text import last_number, normalize, parse_number
 from strata.operators import report
 from strata.operators.report import COMPARED, LOGGED_DELTA
 from strata.operators.evaluate import alignment_violations, evaluate, paired_outcomes, per_prompt_outcomes
 from strata.plans import sql
-from strata.plans.fixtures import ARMS, BATCH_SIZE, K, eval_completions, eval_prompts
+from strata.plans.fixtures import ARMS, BATCH_SIZE, K, eval_completions, eval_prompts, raw_samples
 
 # --- Spark side ----------------------------------------------------------------------------
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: per-arm result record (A1-A11) of two arms built from lineitem x part."""
-    return evaluate(eval_prompts(spark, sf_dir), eval_completions(spark, sf_dir), K, ARMS, batch_size=BATCH_SIZE)
+    return _rounded(evaluate(eval_prompts(spark, sf_dir), eval_completions(spark, sf_dir), K, ARMS, batch_size=BATCH_SIZE))
+
+
+def _rounded(record: DataFrame) -> DataFrame:
+    """The last bits of moments depend on the order of summation."""
+    return record.withColumns({c: F.round(c, 12) for c in ("reward_mean", "reward_std")})
 
 
 def eval_per_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,7 @@ def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the JSON report, read back from its text."""
     prompts = eval_prompts(spark, sf_dir)
     meta = report.RunMeta(
         dataset="part x lineitem",
@@ -45,7 +52,31 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         answer_column="p_size",
         num_samples=K,
     )
-    return report.report_json(eval_summary(spark, sf_dir), prompts, meta, ARMS[0], ARMS[1])
+    text = report.report_json(eval_summary(spark, sf_dir), prompts, meta, ARMS[0], ARMS[1])
+    paths = [f"meta.{c}" for c in _META_NUMERIC]
+    paths += [f"{block}.{c}" for block in ARMS for c in _NUMERIC] + [f"delta.{m}" for m, _ in COMPARED]
+    pairs = [F.struct(F.lit(p).alias("path"), F.get_json_object("report", f"$.{p}").cast("double").alias("value")) for p in paths]
+    return text.select(F.explode(F.array(*pairs)).alias("e")).select("e.path", "e.value")
+
+
+#: Ordinal of the first prompt of the custom_scorer slice, not a multiple of the batch size.
+CUSTOM_START = 100
+
+
+def closeness(prompt: Column, completion: Column, answer: Column) -> Column:
+    """Example plug-in scorer: 1 / (1 + |number - answer|); no score (null: built-in) for multiples of 7."""
+    number = parse_number(last_number(normalize(completion)))
+    return F.when(number % 7 != 0, 1 / (1 + F.abs(number - answer.cast("double"))))
+
+
+def custom_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X2: the record under a plug-in scorer with fallbacks, on a slice that starts at CUSTOM_START."""
+    shifted = F.col("prompt_id") + CUSTOM_START
+    prompts = eval_prompts(spark, sf_dir).withColumn("prompt_id", shifted)
+    completions = eval_completions(spark, sf_dir).withColumn("prompt_id", shifted)
+    return _rounded(
+        evaluate(prompts, completions, K, ARMS, batch_size=BATCH_SIZE, slice_start=CUSTOM_START, scorer=closeness)
+    )
 
 
 def paired_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +86,8 @@ def paired_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment_violations(eval_prompts(spark, sf_dir), eval_completions(spark, sf_dir), K, ARMS)
+    """J2 on the raw lines, the order as sample index: an order that takes a part twice repeats it."""
+    return alignment_violations(eval_prompts(spark, sf_dir), raw_samples(spark, sf_dir), K, ARMS)
 
 
 # --- DuckDB oracle -------------------------------------------------------------------------
@@ -95,7 +127,7 @@ pp AS (
          max(CASE WHEN sample_idx = 0 AND score > 0.5::DOUBLE THEN 1 ELSE 0 END) AS first_hit,
          max(CASE WHEN score > 0.5::DOUBLE THEN 1 ELSE 0 END) AS any_hit,
          count(DISTINCT norm) AS n_unique,
-         sum(score) AS score_sum, sum(score * score) AS score_sq, count(*) AS n_scores,
+         sum(score) AS score_sum, count(*) AS n_scores,
          max(new_tokens) AS max_new_tokens, min(ts) AS ts_min, max(ts) AS ts_max
   FROM scored GROUP BY arm, prompt_id
 ),
@@ -103,33 +135,34 @@ grid AS (
   SELECT prompt_id, unnest(['baseline', 'arithmetic']) AS arm FROM prompts
 ),
 joined AS (
-  SELECT g.arm, g.prompt_id, pp.first_hit, pp.any_hit, pp.n_unique, pp.score_sum, pp.score_sq,
+  SELECT g.arm, g.prompt_id, pp.first_hit, pp.any_hit, pp.n_unique, pp.score_sum,
          pp.n_scores, pp.max_new_tokens, pp.ts_min, pp.ts_max
   FROM grid g LEFT JOIN pp ON g.arm = pp.arm AND g.prompt_id = pp.prompt_id
 ),
 per_batch AS (
   SELECT arm, CAST(floor(prompt_id / {BATCH_SIZE}) AS BIGINT) AS batch_id,
          count(*) AS num_prompts, sum(coalesce(first_hit, 0)) AS h1, sum(coalesce(any_hit, 0)) AS hk,
-         sum(coalesce(n_unique, 0)) AS uniq, sum(score_sum) AS ssum, sum(score_sq) AS ssq,
+         sum(coalesce(n_unique, 0)) AS uniq, sum(score_sum) AS ssum,
          sum(coalesce(n_scores, 0)) AS n,
          coalesce(max(max_new_tokens) * sum(n_scores), 0) AS bt, min(ts_min) AS t0, max(ts_max) AS t1
   FROM joined GROUP BY 1, 2
 ),
 per_arm AS (
   SELECT arm, sum(num_prompts) AS num_prompts, sum(h1) AS h1, sum(hk) AS hk, sum(uniq) AS uniq,
-         sum(ssum) AS ssum, sum(ssq) AS ssq, sum(n) AS n, CAST(sum(bt) AS BIGINT) AS total_new_tokens,
+         sum(ssum) AS ssum, sum(n) AS n, CAST(sum(bt) AS BIGINT) AS total_new_tokens,
          min(t0) AS t0, max(t1) AS t1
   FROM per_batch GROUP BY arm
 ),
+spread AS (SELECT arm, stddev_pop(score) AS sd FROM scored GROUP BY arm),
 wall AS (
-  SELECT *, greatest(CAST(datediff('microsecond', t0, t1) AS DOUBLE) / 1e6, 1e-9) AS w FROM per_arm
+  SELECT per_arm.*, sd, greatest(CAST(datediff('microsecond', t0, t1) AS DOUBLE) / 1e6, 1e-9) AS w FROM per_arm LEFT JOIN spread USING (arm)
 ),
 summary AS (
   SELECT arm AS label, arm AS model_path, CAST(num_prompts AS BIGINT) AS num_prompts,
          CAST({K} AS INTEGER) AS num_samples,
          h1 / num_prompts AS pass_at_1, hk / num_prompts AS pass_at_k,
-         CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END AS reward_mean,
-         CASE WHEN n > 1 THEN sqrt(greatest((ssq - ssum * ssum / n) / n, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END AS reward_std,
+         round(CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END, 12) AS reward_mean,
+         round(CASE WHEN n > 1 THEN sd ELSE 0.0::DOUBLE END, 12) AS reward_std,
          uniq / num_prompts AS avg_unique_completions,
          1.0::DOUBLE - (uniq / num_prompts) / {float(max(K, 1))!r} AS duplicate_rate,
          total_new_tokens, w AS wall_time_sec, total_new_tokens / w AS new_tokens_per_sec,
@@ -148,6 +181,7 @@ _NUMERIC = (
     "avg_unique_completions", "duplicate_rate", "total_new_tokens", "wall_time_sec",
     "new_tokens_per_sec", "prompts_per_sec",
 )
+_META_NUMERIC = ("start", "count", "num_samples", "max_new_tokens", "temperature", "top_p", "top_k")
 _VALUES = ", ".join(f"({i}, {sql.q(m)}, {sql.q(n)})" for i, (m, n) in enumerate(COMPARED))
 _LONG = " UNION ALL ".join(
     f"SELECT label, {sql.q(m)} AS metric, CAST({m} AS DOUBLE) AS value FROM summary" for m, _ in COMPARED
@@ -201,7 +235,7 @@ FROM (SELECT * FROM ppo WHERE arm = 'baseline') b JOIN (SELECT * FROM ppo WHERE
     ),
     "alignment_check": _with(
         f"""
-, counts AS (SELECT arm, prompt_id, count(*) AS n, count(DISTINCT sample_idx) AS nd FROM comp GROUP BY 1, 2),
+, counts AS (SELECT arm, prompt_id, count(*) AS n, count(DISTINCT l_orderkey) AS nd FROM li GROUP BY 1, 2),
 g2 AS (SELECT g.arm, g.prompt_id, coalesce(c.n, 0) AS n, c.nd FROM grid g
        LEFT JOIN counts c ON g.arm = c.arm AND g.prompt_id = c.prompt_id),
 k AS (SELECT arm, prompt_id, CASE WHEN n = 0 THEN 'missing' WHEN nd < n THEN 'dup_index'
@@ -213,6 +247,34 @@ WHERE prompt_id NOT IN (SELECT prompt_id FROM prompts)"""
     ),
 }
 
+# the batches of custom_scorer begin at the slice's first ordinal, so shifting both leaves them as they are
+_CLOSE = (
+    f"CASE WHEN num % 7 <> 0 THEN 1 / (1 + abs(num - CAST(p.answer AS DOUBLE))) "
+    f"ELSE {sql.score('c.completion', 'p.answer')} END"
+)
+_SCORED = f"""scored AS (
+  SELECT c.*, p.answer, {sql.score("c.completion", "p.answer")} AS score,
+         {sql.normalize("c.completion")} AS norm
+  FROM comp2 c JOIN prompts p USING (prompt_id)
+)"""
+_SCORED_CLOSE = f"""scored AS (
+  SELECT c.*, p.answer, {_CLOSE} AS score, {sql.normalize("c.completion")} AS norm
+  FROM (SELECT *, CAST(regexp_extract(completion, '[0-9]+') AS DOUBLE) AS num FROM comp2) c JOIN prompts p USING (prompt_id)
+)"""
+assert _SCORED in BASE_CTES
+ORACLE["custom_scorer"] = "WITH " + BASE_CTES.strip().replace(_SCORED, _SCORED_CLOSE) + "\nSELECT * FROM summary"
+
+_REPORT_ROWS = [f"SELECT 'meta.{c}' AS path, CAST({v} AS DOUBLE) AS value{f}" for c, v, f in (
+    ("start", "0", ""), ("count", "max(num_prompts)", " FROM summary"), ("num_samples", str(K), ""),
+    ("max_new_tokens", "256", ""), ("temperature", "0.8", ""), ("top_p", "1", ""), ("top_k", "0", ""),
+)]
+_REPORT_ROWS += [
+    f"SELECT label || '.{c}' AS path, CAST({c} AS DOUBLE) AS value FROM summary WHERE label IN ('baseline', 'arithmetic')" for c in _NUMERIC
+]
+ORACLE["report_json"] = _with(
+    CMP_CTE + " UNION ALL ".join([*_REPORT_ROWS, "SELECT 'delta.' || metric AS path, delta AS value FROM cmp"])
+)
+
 QUERIES = {
     "eval_summary": eval_summary,
     "eval_per_prompt": eval_per_prompt,
@@ -220,6 +282,7 @@ QUERIES = {
     "metric_log": metric_log,
     "summary_text": summary_text,
     "report_json": report_json,
+    "custom_scorer": custom_scorer,
     "paired_outcome": paired_outcome,
     "alignment_check": alignment_check,
 }

@@ -36,6 +36,14 @@ def arm_of(status):
     return expr.otherwise(status)
 
 
+def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(arm, prompt_id, sample_idx) of every line with a part, the order key as sample index."""
+    li = read_table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL")
+    return li.select(
+        arm_of(F.col("l_linestatus")).alias("arm"), F.col("l_partkey").alias("prompt_id"), F.col("l_orderkey").alias("sample_idx")
+    )
+
+
 def eval_completions(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(arm, prompt_id, sample_idx, completion, new_tokens, ts) from ``lineitem``.
 

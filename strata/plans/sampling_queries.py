@@ -64,7 +64,7 @@ def cdf_dist(spark, sf_dir):
     s = dist.shape(
         logit_rows(spark, sf_dir), ["context"], temperature=TEMPERATURE, top_k=TOP_K, top_p=TOP_P, normalize=False
     )
-    c = dist.cdf(s, ["context"], weight="weight", token="token", bounded=True, prob="prob")  # <= k rows per context
+    c = dist.cdf(s, ["context"], weight="weight", token="token", prob="prob")
     return c.select("context", "token", _r("prob"), _r("lo"), _r("hi"))
 
 
@@ -79,8 +79,8 @@ def systematic_sample_q(spark, sf_dir):
     return s.select("lang", "doc_id", "n_chars", "g", "u")
 
 
-def _bigram(spark, sf_dir) -> DataFrame:
-    return dec.bigram_table(read_table(spark, sf_dir, "documents"))
+def _bigram(spark, sf_dir, contexts=None) -> DataFrame:
+    return dec.bigram_table(read_table(spark, sf_dir, "documents"), contexts=contexts)
 
 
 def _doc_prompts(spark, sf_dir) -> DataFrame:
@@ -92,15 +92,17 @@ def bigram_table_q(spark, sf_dir):
 
 
 def inverse_cdf_join(spark, sf_dir):
-    pts = smp.lattice_points(_doc_prompts(spark, sf_dir), "group_id", DECODE_G, SEED).select("group_id", "context", "g", "c")
-    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir)))
+    prompts = _doc_prompts(spark, sf_dir)
+    pts = smp.lattice_points(prompts, "group_id", DECODE_G, SEED).select("group_id", "context", "g", "c")
+    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir, prompts)))
     hit = hit.withColumn("c_next", smp.renormalise(F.col("c"), F.col("lo"), F.col("hi")))
     return hit.select("group_id", "g", "c", "token", "c_next")
 
 
 def iid_sample(spark, sf_dir):
-    pts = smp.iid_points(_doc_prompts(spark, sf_dir), "group_id", DECODE_G, SEED, 0).select("group_id", "context", "g", "c")
-    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir)))
+    prompts = _doc_prompts(spark, sf_dir)
+    pts = smp.iid_points(prompts, "group_id", DECODE_G, SEED, 0).select("group_id", "context", "g", "c")
+    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir, prompts)))
     return hit.select("group_id", "g", "c", "token")
 
 
@@ -136,13 +138,11 @@ EVAL_BATCH = 8
 
 def decode_eval(spark, sf_dir):
     """The A/B the reference runs, end to end: decode DECODE_G completions per document prompt
-    with i.i.d. and with lattice sampling, score each against the document's true continuation
-    (the next DECODE_STEPS - 1 words, end marker included) and reduce to the per-arm record."""
+    with i.i.d. and with lattice sampling, score each against the whole rest of the document and
+    reduce to the per-arm record. The end marker is no part of a completion's text."""
     docs = read_table(spark, sf_dir, "documents")
-    w = docs.select("doc_id", dec.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    truth = F.slice(F.concat("w", F.array(F.lit(dec.END_TOKEN))), 2, DECODE_STEPS - 1)
-    prompts = w.select(
-        F.col("doc_id").alias("prompt_id"), F.element_at("w", 1).alias("prompt"), F.array_join(truth, " ").alias("answer")
+    prompts = dec.split_documents(docs).select(
+        F.col("group_id").alias("prompt_id"), F.array_join("head", " ").alias("prompt"), F.array_join("tail", " ").alias("answer")
     )
     bg = _bigram(spark, sf_dir)
     table = interval_table(bg)  # shared by both arms
@@ -152,10 +152,28 @@ def decode_eval(spark, sf_dir):
         out = dec.decode(_doc_prompts(spark, sf_dir), bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
         c = out.select(
             F.lit(m).alias("arm"), F.col("group_id").alias("prompt_id"), F.col("g").alias("sample_idx"),
-            F.array_join("out", " ").alias("completion"), F.size("out").cast("long").alias("new_tokens"),
+            F.array_join(F.array_remove("out", dec.END_TOKEN), " ").alias("completion"),
+            F.size("out").cast("long").alias("new_tokens"),
         )
         comps = c if comps is None else comps.unionByName(c)
-    return evaluate(prompts, comps, DECODE_G, arms, batch_size=EVAL_BATCH)
+    record = evaluate(prompts, comps, DECODE_G, arms, batch_size=EVAL_BATCH)
+    return record.withColumn("reward_mean", F.round("reward_mean", ROUND)).withColumn("reward_std", F.round("reward_std", ROUND))
+
+
+SHAPE_T, SHAPE_K, SHAPE_P = 0.8, 20, 0.9
+
+
+def decode_shaped(spark, sf_dir):
+    """Both arms over the bigram table shaped by temperature, top-k and top-p."""
+    prompts = _doc_prompts(spark, sf_dir)
+    dist_ = dec.shaped_bigram_table(read_table(spark, sf_dir, "documents"), SHAPE_T, SHAPE_K, SHAPE_P)
+    table = interval_table(dist_)  # shared by both arms
+    arms = [
+        dec.decode(prompts, dist_, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
+        .select(F.lit(m).alias("arm"), "group_id", "g", F.array_join("out", " ").alias("completion"))
+        for m in ("iid", "lattice")
+    ]
+    return arms[0].unionByName(arms[1])
 
 
 def sampler_variance(spark, sf_dir):
@@ -182,6 +200,7 @@ QUERIES = {
     "sampler_diversity": sampler_diversity,
     "sampler_variance": sampler_variance,
     "decode_eval": decode_eval,
+    "decode_shaped": decode_shaped,
 }
 
 # --- DuckDB oracle -------------------------------------------------------------------------
@@ -223,7 +242,7 @@ pairs AS (
   FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE len(w) > 0)
 ),
 bg AS (SELECT context, token, CAST(count(*) AS BIGINT) AS cnt FROM pairs GROUP BY 1, 2),
-dist AS (
+dist AS MATERIALIZED (
   SELECT context, token, cnt,
     coalesce(sum(cnt) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
       / sum(cnt) OVER (PARTITION BY context) AS lo,
@@ -231,7 +250,7 @@ dist AS (
       / sum(cnt) OVER (PARTITION BY context) AS hi
   FROM bg
 ),
-prompts AS (SELECT doc_id AS group_id, w[1] AS context FROM docs WHERE len(w) > 0)
+prompts AS (SELECT doc_id AS group_id, w[len(w) - len(w) * {dec.TAIL_PERCENT} // 100] AS context FROM docs WHERE len(w) > 0)
 """
 
 _MATCH = "(s.c > d.lo OR d.lo = 0) AND s.c <= d.hi"
@@ -259,12 +278,12 @@ def _decode_sql(method: str) -> str:
     ctes = [f"s0 AS ({init})"]
     for i in range(DECODE_STEPS):
         c_expr = "s.c" if method == "lattice" else _iid_c(i)
-        step = f"""s{i + 1} AS (
+        step = f"""s{i + 1} AS MATERIALIZED (
   SELECT s.group_id, s.g,
-         least(greatest(({c_expr} - d.lo) / greatest(d.hi - d.lo, 1e-10), 0.0::DOUBLE), 1.0::DOUBLE) AS c,
+         least(greatest((s.x - d.lo) / greatest(d.hi - d.lo, 1e-10), 0.0::DOUBLE), 1.0::DOUBLE) AS c,
          d.token AS cur, list_append(s.out, d.token) AS out, d.token = '{dec.END_TOKEN}' AS finished
-  FROM s{i} s JOIN dist d ON d.context = s.cur AND ({c_expr} > d.lo OR d.lo = 0) AND {c_expr} <= d.hi
-  WHERE NOT s.finished
+  FROM (SELECT s.*, {c_expr} AS x FROM s{i} s WHERE NOT s.finished) s
+  ASOF JOIN dist d ON d.context = s.cur AND s.x <= d.hi
   UNION ALL SELECT * FROM s{i} WHERE finished)"""
         ctes.append(step)
     return "WITH " + _BIGRAM_CTES.strip() + ",\n" + ",\n".join(ctes) + f"\n"
@@ -332,10 +351,10 @@ ORACLE = {
     "inverse_cdf_join": "WITH " + _BIGRAM_CTES.strip() + f""",
 pts AS ({_lattice_state(DECODE_G)})
 SELECT s.group_id, s.g, s.c, d.token, {_RENORM} AS c_next
-FROM pts s JOIN dist d ON d.context = s.context AND {_MATCH}""",
+FROM pts s ASOF JOIN dist d ON d.context = s.context AND s.c <= d.hi""",
     "iid_sample": "WITH " + _BIGRAM_CTES.strip() + f""",
 pts AS (SELECT group_id, context, g, {_iid_c(0, 'x')} AS c FROM (SELECT group_id, context, {_g_seq(DECODE_G)} AS g FROM prompts) x)
-SELECT s.group_id, s.g, s.c, d.token FROM pts s JOIN dist d ON d.context = s.context AND {_MATCH}""",
+SELECT s.group_id, s.g, s.c, d.token FROM pts s ASOF JOIN dist d ON d.context = s.context AND s.c <= d.hi""",
     "decode_lattice": _decode_out("lattice"),
     "decode_iid": _decode_out("iid"),
     "sampler_variance": _VAR,
@@ -349,10 +368,10 @@ def _two_decodes() -> str:
     # rename the step CTEs of each decode so both can live in one statement
     lat_body = lat[len("WITH ") :].replace("s0 AS", "l0 AS")
     for i in range(DECODE_STEPS, -1, -1):
-        lat_body = lat_body.replace(f"s{i} AS (", f"l{i} AS (").replace(f"FROM s{i} ", f"FROM l{i} ")
+        lat_body = lat_body.replace(f"s{i} AS MATERIALIZED (", f"l{i} AS MATERIALIZED (").replace(f"FROM s{i} ", f"FROM l{i} ")
     iid_steps = iid[len("WITH ") + len(_BIGRAM_CTES.strip()) + 2 :]
     for i in range(DECODE_STEPS, -1, -1):
-        iid_steps = iid_steps.replace(f"s{i} AS (", f"r{i} AS (").replace(f"FROM s{i} ", f"FROM r{i} ")
+        iid_steps = iid_steps.replace(f"s{i} AS MATERIALIZED (", f"r{i} AS MATERIALIZED (").replace(f"s{i} AS (", f"r{i} AS (").replace(f"FROM s{i} ", f"FROM r{i} ")
     return (
         "WITH "
         + lat_body.rstrip().rstrip(",")
@@ -375,30 +394,32 @@ FROM per GROUP BY arm"""
 
 def _decode_eval_sql() -> str:
     return _two_decodes() + f"""
-, comp AS (SELECT arm, group_id AS prompt_id, g AS sample_idx, array_to_string(out, ' ') AS completion,
+, comp AS (SELECT arm, group_id AS prompt_id, g AS sample_idx, 
+                  array_to_string(list_filter(out, lambda t: t <> '{dec.END_TOKEN}'), ' ') AS completion,
                   CAST(len(out) AS BIGINT) AS new_tokens FROM dec),
-ans AS (SELECT doc_id AS prompt_id, array_to_string(list_concat(w, ['{dec.END_TOKEN}'])[2:{DECODE_STEPS}], ' ') AS answer
+ans AS (SELECT doc_id AS prompt_id, array_to_string(w[len(w) - len(w) * {dec.TAIL_PERCENT} // 100 + 1:], ' ') AS answer
         FROM docs WHERE len(w) > 0),
 scored AS (SELECT c.*, {sql.score("c.completion", "a.answer")} AS score, {sql.normalize("c.completion")} AS norm
            FROM comp c JOIN ans a USING (prompt_id)),
 pp AS (SELECT arm, prompt_id,
               max(CASE WHEN sample_idx = 0 AND score > 0.5::DOUBLE THEN 1 ELSE 0 END) AS first_hit,
               max(CASE WHEN score > 0.5::DOUBLE THEN 1 ELSE 0 END) AS any_hit, count(DISTINCT norm) AS n_unique,
-              sum(score) AS ssum, sum(score * score) AS ssq, count(*) AS n, max(new_tokens) AS mt
+              sum(score) AS ssum, count(*) AS n, max(new_tokens) AS mt
        FROM scored GROUP BY 1, 2),
 pb AS (SELECT arm, sum(first_hit) AS h1, sum(any_hit) AS hk, sum(n_unique) AS uniq, sum(ssum) AS ssum,
-              sum(ssq) AS ssq, sum(n) AS n, max(mt) * sum(n) AS bt
+              sum(n) AS n, max(mt) * sum(n) AS bt
        FROM pp GROUP BY arm, floor(prompt_id / {EVAL_BATCH})),
-pa AS (SELECT arm, sum(h1) AS h1, sum(hk) AS hk, sum(uniq) AS uniq, sum(ssum) AS ssum, sum(ssq) AS ssq, sum(n) AS n,
+pa AS (SELECT arm, sum(h1) AS h1, sum(hk) AS hk, sum(uniq) AS uniq, sum(ssum) AS ssum, sum(n) AS n,
               CAST(sum(bt) AS BIGINT) AS bt FROM pb GROUP BY arm),
+spread AS (SELECT arm, stddev_pop(score) AS sd FROM scored GROUP BY arm),
 cnt AS (SELECT count(*) AS num_prompts FROM ans),
 x AS (SELECT a.arm, c.num_prompts, coalesce(h1, 0) AS h1, coalesce(hk, 0) AS hk, coalesce(uniq, 0) AS uniq,
-             coalesce(ssum, 0) AS ssum, coalesce(ssq, 0) AS ssq, coalesce(n, 0) AS n, coalesce(bt, 0) AS bt
-      FROM (VALUES ('iid'), ('lattice')) a(arm) CROSS JOIN cnt c LEFT JOIN pa USING (arm))
+             coalesce(ssum, 0) AS ssum, sd, coalesce(n, 0) AS n, coalesce(bt, 0) AS bt
+      FROM (VALUES ('iid'), ('lattice')) a(arm) CROSS JOIN cnt c LEFT JOIN pa USING (arm) LEFT JOIN spread USING (arm))
 SELECT arm AS label, arm AS model_path, CAST(num_prompts AS BIGINT) AS num_prompts, CAST({DECODE_G} AS INTEGER) AS num_samples,
        h1 / num_prompts AS pass_at_1, hk / num_prompts AS pass_at_k,
-       CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END AS reward_mean,
-       CASE WHEN n > 1 THEN sqrt(greatest((ssq - ssum * ssum / n) / n, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END AS reward_std,
+       round(CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END, {ROUND}) AS reward_mean,
+       round(CASE WHEN n > 1 THEN sd ELSE 0.0::DOUBLE END, {ROUND}) AS reward_std,
        uniq / num_prompts AS avg_unique_completions,
        1.0::DOUBLE - (uniq / num_prompts) / {float(DECODE_G)!r} AS duplicate_rate,
        bt AS total_new_tokens, NULL::DOUBLE AS wall_time_sec, NULL::DOUBLE AS new_tokens_per_sec,
@@ -408,3 +429,23 @@ FROM x"""
 
 ORACLE["sampler_diversity"] = _diversity_sql()
 ORACLE["decode_eval"] = _decode_eval_sql()
+
+_SHAPED_DIST = f"""tmp AS (SELECT context, token, ln(cnt) / {SHAPE_T!r}::DOUBLE AS logit FROM bg),
+cut AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY context)) AS e
+        FROM (SELECT *, rank() OVER (PARTITION BY context ORDER BY logit DESC) AS rk FROM tmp) WHERE rk <= {SHAPE_K}),
+nuc AS (SELECT context, token, e FROM (SELECT *, coalesce(sum(e) OVER (PARTITION BY context ORDER BY logit DESC, token
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY context) AS pe FROM cut)
+        WHERE pe <= {SHAPE_P!r}),
+dist AS MATERIALIZED (
+  SELECT context, token,
+    coalesce(sum(e) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      / sum(e) OVER (PARTITION BY context) AS lo,
+    sum(e) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      / max(tot) OVER (PARTITION BY context) AS hi
+  FROM (SELECT *, sum(e) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tot FROM nuc)
+),
+"""
+_COUNT_DIST = _BIGRAM_CTES[_BIGRAM_CTES.index("dist AS MATERIALIZED") : _BIGRAM_CTES.index("prompts AS")]
+ORACLE["decode_shaped"] = _two_decodes().replace(_COUNT_DIST, _SHAPED_DIST) + (
+    "SELECT arm, group_id, g, array_to_string(out, ' ') AS completion FROM dec"
+)

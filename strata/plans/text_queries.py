@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata.functions import tokens as tk
-from strata.functions.scoring import score_expr
-from strata.functions.text import last_number, normalize, parse_number
+from strata.functions.scoring import score_key, score_keys
+from strata.functions.text import as_text, last_number, normalize, parse_number
 from strata.operators import batching
-from strata.operators.decode import generate_batch as run_generator
 from strata.operators.decode import words
-from strata.operators.evaluate import per_prompt_stats
-from strata.functions.scoring import score as score_df
 from strata.plans import sql
 from strata.sources import dataset as ds
 from strata.sources.tables import read_table, spread
@@ -28,7 +23,6 @@ PAD_ID = 0
 SPECIAL_IDS = (1, 2)
 MAX_PROMPT_IDS = 256
 BATCH = 8
-GEN_SAMPLES = 4
 
 
 def _docs(spark, sf_dir) -> DataFrame:
@@ -59,10 +53,10 @@ def last_number_q(spark, sf_dir):
 
 def score_ladder(spark, sf_dir):
     """Each document scored as a completion against the next document's text as the answer."""
-    d = _docs_spread(spark, sf_dir).select("doc_id", "text")
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("answer"))
+    d = _docs_spread(spark, sf_dir).select("doc_id", score_key(F.col("text")).alias("completion"))
+    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("completion").alias("answer"))
     j = d.join(nxt, "doc_id", "left")
-    return j.select("doc_id", score_expr(F.col("text"), F.coalesce(F.col("answer"), F.lit(""))).alias("score"))
+    return j.select("doc_id", score_keys(F.col("completion"), F.col("answer")).alias("score"))
 
 
 def chat_as_text(spark, sf_dir):
@@ -77,12 +71,14 @@ CHAT_BLOCK = 64
 
 
 def chat_text(conv: DataFrame, block: int = CHAT_BLOCK) -> DataFrame:
-    """(conv_id, n_turns, text): non-empty turn texts joined by newline in turn order."""
-    keep = F.when(F.coalesce(F.col("text"), F.lit("")) != F.lit(""), F.struct("turn", "text"))
-    blocks = conv.groupBy("conv_id", F.floor(F.col("turn") / F.lit(block)).alias("blk")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(keep)), lambda x: x["text"]), "\n").alias("bt"),
+    """(conv_id, n_turns, text): each block is a chat cell, flattened by ``as_text``; the blocks'
+    non-empty texts are joined by newline in order."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    cell = F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    cells = conv.groupBy("conv_id", F.floor(F.col("turn") / F.lit(block)).alias("blk")).agg(
+        F.count(F.lit(1)).alias("n"), cell.alias("messages")
     )
+    blocks = cells.select("conv_id", "blk", "n", as_text(cells, "messages").alias("bt"))
     nonempty = F.when(F.col("bt") != F.lit(""), F.struct("blk", "bt"))
     return blocks.groupBy("conv_id").agg(
         F.sum("n").cast("long").alias("n_turns"),
@@ -92,23 +88,39 @@ def chat_text(conv: DataFrame, block: int = CHAT_BLOCK) -> DataFrame:
 
 def ordinal_slice_q(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    out, _, _ = ds.load_eval_slice(d, ["doc_id"], SLICE_START, SLICE_COUNT, prompt_column="text", answer_column="source")
+    out, _, _ = ds.load_eval_slice(d, ["doc_id"], SLICE_START, SLICE_COUNT, prompt_column="text", answer_column="source", key=["doc_id"])
     return out
 
 
-def _split(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+def inferred_columns(spark, sf_dir):
+    """S6 + P1 + T8 end to end: each turn's chat cell (its text as user message, its role as system
+    message) and the turn number, under column names that the resolver has to find."""
+    conv = read_table(spark, sf_dir, "conversations")
+
+    def message(role, content):
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    cells = conv.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"),
+        F.array(message("system", F.col("role")), message("user", F.col("text"))).alias("Messages"),
+        F.struct(F.col("turn").alias("value")).alias("my_target"),
+    )
+    return ds.project_prompts(cells)[0]
+
+
+def _split(d):
     n = d.count()  # parquet footers
     ranges = {k: (int(a * n) if a < 1 else n, int(b * n) if b < 1 else n) for k, (a, b) in SPLIT_FRACTIONS.items()}
     return ds.holdout_split(d, ["doc_id"], ranges)
 
 
 def holdout_split_q(spark, sf_dir):
-    return _split(spark, sf_dir).select("doc_id", "ordinal", "split")
+    return _split(_docs(spark, sf_dir).select("doc_id"))
 
 
 def split_leakage(spark, sf_dir):
-    return ds.leakage(_split(spark, sf_dir), "text").select("doc_id", "ordinal")
+    d = _docs(spark, sf_dir).select("doc_id", ds.text_digest(F.col("text")).alias("digest"))
+    return ds.leakage(_split(d), "digest", digest=True).select("doc_id", "ordinal")
 
 
 def _ids(spark, sf_dir):
@@ -181,65 +193,6 @@ def throughput_q(spark, sf_dir):
     return batching.throughput(ev, "event_type", "ts", F.floor("value"))
 
 
-# --- plug-ins (rows-only: user Python, no SQL equivalent) -----------------------------------
-
-GEN_SCHEMA = "prompt_id long, sample_idx int, completion string"
-
-
-def echo_generator(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A stand-in model: sample g repeats the last g+1 words of the prompt."""
-    rows = []
-    for pid, prompt in zip(pdf["prompt_id"], pdf["prompt"]):
-        w = str(prompt).split()
-        for g in range(GEN_SAMPLES):
-            rows.append((int(pid), g, " ".join(w[-(g + 1):])))
-    return pd.DataFrame(rows, columns=["prompt_id", "sample_idx", "completion"])
-
-
-def chat_prompts(spark, sf_dir) -> DataFrame:
-    """(prompt_id, prompt, answer): the conversation without its last turn (the whole of a
-    one-turn conversation) flattened in two levels, and the last turn's text."""
-    conv = read_table(spark, sf_dir, "conversations")
-    last = conv.groupBy("conv_id").agg(
-        F.max("turn").alias("_last"), F.count(F.lit(1)).alias("_n"), F.max_by("text", "turn").alias("answer")
-    )
-    j = conv.join(last, "conv_id", "inner")
-    head = chat_text(j.filter((F.col("turn") < F.col("_last")) | (F.col("_n") == 1)).select("conv_id", "turn", "text"))
-    return head.join(last.select("conv_id", "answer"), "conv_id", "inner").select(
-        F.col("conv_id").alias("prompt_id"), F.col("text").alias("prompt"), F.coalesce("answer", F.lit("")).alias("answer")
-    )
-
-
-def generate_batch_q(spark, sf_dir):
-    return run_generator(chat_prompts(spark, sf_dir).select("prompt_id", "prompt"), echo_generator, GEN_SCHEMA)
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_scorer(prompt: pd.Series, completion: pd.Series, answer: pd.Series) -> pd.Series:
-    """Example plug-in scorer: share of completion words found in the answer; null (-> built-in
-    fallback) when the completion is empty."""
-    out = []
-    for c, a in zip(completion, answer):
-        cw = str(c).lower().split()
-        if not cw:
-            out.append(None)
-            continue
-        aw = set(str(a).lower().split())
-        out.append(sum(w in aw for w in cw) / len(cw))
-    return pd.Series(out, dtype="float64")
-
-
-overlap_scorer.backend_name = "word_overlap"
-
-
-def custom_scorer(spark, sf_dir):
-    prompts = chat_prompts(spark, sf_dir)
-    gen = run_generator(prompts.select("prompt_id", "prompt"), echo_generator, GEN_SCHEMA)
-    j = gen.join(prompts, "prompt_id", "inner").withColumn("arm", F.lit("echo"))
-    scored, _backend = score_df(j, scorer=overlap_scorer)
-    return per_prompt_stats(scored).select("prompt_id", "first_hit", "any_hit", "n_unique", "score_sum", "n_scores")
-
-
 QUERIES = {
     "normalize_text": normalize_text,
     "last_number": last_number_q,
@@ -255,8 +208,7 @@ QUERIES = {
     "truncate_prompt": truncate_prompt,
     "batch_token_count": batch_token_count,
     "throughput": throughput_q,
-    "generate_batch": generate_batch_q,
-    "custom_scorer": custom_scorer,
+    "inferred_columns": inferred_columns,
 }
 
 # --- DuckDB oracle -------------------------------------------------------------------------
@@ -310,7 +262,12 @@ _SPLIT_CASES = " ".join(
 _SPLIT_CTE = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents),
 s AS (SELECT *, CASE {_SPLIT_CASES} END AS split FROM o)"""
 
+_INFERRED = """SELECT conv_id * 1000 + turn AS prompt_id,
+       concat_ws(chr(10), nullif(role, ''), nullif(text, '')) AS prompt, coalesce(CAST(turn AS VARCHAR), '') AS answer
+FROM conversations"""
+
 ORACLE = {
+    "inferred_columns": _INFERRED,
     "normalize_text": f"SELECT doc_id, {_N} AS norm FROM documents",
     "last_number": f"SELECT doc_id, {sql.last_number(_N)} AS last_num, try_cast({sql.last_number(_N)} AS DOUBLE) AS value FROM documents",
     "score_ladder": (

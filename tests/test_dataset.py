@@ -16,7 +16,7 @@ def docs(spark):
 def test_slice_paths_agree(docs):
     a = {r.doc_id: r.ordinal for r in ds.ordinal_slice(docs, ["doc_id"], 5, 10).collect()}
     b = {r.doc_id: r.ordinal for r in ds.ordinal_slice(docs, ["doc_id"], 5, 10, dense_key="doc_id").collect()}
-    c = {r.doc_id: r.ordinal for r in ds.ordinal_slice(docs, ["doc_id"], 5, 10, small_slice_rows=0).collect()}
+    c = {r.doc_id: r.ordinal for r in ds.ordinal_slice(docs, ["doc_id"], 5, 10, key=["doc_id"]).collect()}
     assert a == b == c == {i: i for i in range(5, 15)}
     plan = ds.ordinal_slice(docs, ["doc_id"], 5, 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
