@@ -78,7 +78,7 @@ def test_context_missing_from_table_ends_sequence(spark):
     out = dec.decode(dec.document_prompts(df), table, num_samples=2, max_steps=3)
     got = {(r.group_id, r.g): (list(r.out), r.finished) for r in out.collect()}
     assert got[(1, 0)] == ([], True) and got[(1, 1)] == ([], True)
-    assert got[(0, 0)][0] == ["b", dec.END_TOKEN]
+    assert got[(0, 0)][0] == [dec.END_TOKEN]  # prompted by the last word, "b"
 
 
 def test_lattice_decode_has_no_step_limit(spark):
@@ -99,3 +99,43 @@ def test_interval_lookup_ties_and_edges(spark):
         for slices in (1, 3):
             scan = {r.i: r.token for r in inverse_cdf(pts.where("context = 'x'"), t, ["context"], slices=slices).collect()}
             assert scan == {0: "a", 1: "a", 2: "a", 3: "c", 4: "c"}
+
+
+def test_tail_is_the_whole_rest(spark):
+    df = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(25))), (1, "One"), (2, " "), (3, None)], "doc_id long, text string")
+    got = {r.group_id: (r.head, r.tail) for r in dec.split_documents(df).collect()}
+    assert got == {0: ([f"w{i}" for i in range(23)], ["w23", "w24"]), 1: (["one"], [])}
+
+
+def test_long_lattice_decode_against_sql(spark):
+    """256 steps over a cycle that never ends, held against a recursive SQL query."""
+    import duckdb
+
+    rows = [("a", "a", 3), ("a", "b", 2), ("b", "a", 1), ("b", "b", 4)]
+    counts = spark.createDataFrame(rows, "context string, token string, cnt long")
+    prompts = spark.createDataFrame([(0, "a"), (1, "b")], "group_id long, context string")
+    table = dec.cdf(counts, ["context"], weight="cnt")
+    got = dec.decode(prompts, table, num_samples=2, max_steps=256, seed=3, checkpoint_every=16)
+    con = duckdb.connect()
+    start = dec.lattice_points(prompts, "group_id", 2, 3).toPandas()  # noqa: F841 - read by DuckDB
+    dist = table.toPandas()  # noqa: F841
+    want = con.execute(
+        """WITH RECURSIVE s AS (
+             SELECT group_id, g, c, context AS cur, []::VARCHAR[] AS out FROM start
+             UNION ALL
+             SELECT s.group_id, s.g, least(greatest((s.c - d.lo) / greatest(d.hi - d.lo, 1e-10), 0::DOUBLE), 1::DOUBLE),
+                    d.token, list_append(s.out, d.token)
+             FROM s JOIN dist d ON d.context = s.cur AND (s.c > d.lo OR (s.c <= 0 AND d.lo = 0)) AND s.c <= d.hi
+             WHERE len(s.out) < 256)
+           SELECT group_id, g, out FROM s WHERE len(out) = 256"""
+    ).fetchall()
+    assert {(r.group_id, r.g): r.out for r in got.collect()} == {(a, b): c for a, b, c in want}
+
+
+def test_generate_batch(spark):
+    def twice(pdf):
+        return pdf.loc[pdf.index.repeat(2)].assign(completion=pdf["prompt"].str.upper())
+
+    df = spark.createDataFrame([(0, "a"), (1, "b")], "prompt_id long, prompt string")
+    out = dec.generate_batch(df, twice, "prompt_id long, prompt string, completion string")
+    assert sorted((r.prompt_id, r.completion) for r in out.collect()) == [(0, "A"), (0, "A"), (1, "B"), (1, "B")]

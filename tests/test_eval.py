@@ -139,3 +139,62 @@ def test_assert_aligned(spark, data):
     with pytest.raises(ValueError, match="missing=2"):
         assert_aligned(prompts, comps, 2, ARMS)
     assert_aligned(prompts.filter("prompt_id < 2"), comps, 2, ARMS)
+
+
+def _two_prompts(spark, scores, start=0, n=2):
+    """``n`` prompts from ordinal ``start`` on; the scorer below reads the score from the completion."""
+    prompts = spark.createDataFrame([(start + i, "p", "-") for i in range(n)], "prompt_id long, prompt string, answer string")
+    rows = [(a, start + i, g, str(s), 1 + i) for a in ARMS for i in range(n) for g, s in enumerate(scores)]
+    return prompts, spark.createDataFrame(rows, "arm string, prompt_id long, sample_idx int, completion string, new_tokens long")
+
+
+def _as_score(prompt, completion, answer):
+    return completion.cast("double")
+
+
+def test_reward_std_keeps_its_digits(spark):
+    import statistics
+
+    from strata.operators.evaluate import evaluate
+
+    values = [0.9999999, 0.99999991]
+    prompts, comps = _two_prompts(spark, values)
+    r = evaluate(prompts, comps, 2, ARMS, scorer=_as_score).first()
+    assert r.reward_std == pytest.approx(statistics.pstdev(values), rel=1e-6)
+
+
+def test_batches_start_with_the_slice(spark):
+    from strata.operators.evaluate import evaluate
+
+    prompts, comps = _two_prompts(spark, [1.0], start=100, n=8)
+    r = evaluate(prompts, comps, 1, ARMS, slice_start=100, scorer=_as_score).first()
+    assert r.total_new_tokens == 8 * 8  # one batch of eight, the longest row has eight tokens
+
+
+def test_strict_raises_on_surplus_and_duplicates(spark):
+    from strata.operators.evaluate import evaluate
+
+    prompts, comps = _two_prompts(spark, [1.0, 0.0])
+    evaluate(prompts, comps, 2, ARMS, strict=True, scorer=_as_score)
+    with pytest.raises(ValueError, match="long=4"):
+        evaluate(prompts, comps, 1, ARMS, strict=True, scorer=_as_score)
+    with pytest.raises(ValueError, match="dup_index=4"):
+        evaluate(prompts, comps.withColumn("sample_idx", F.lit(0)), 2, ARMS, strict=True, scorer=_as_score)
+
+
+def test_absent_arm_is_null_in_the_reports(spark):
+    from strata.operators.evaluate import evaluate
+
+    prompts, comps = _two_prompts(spark, [1.0])
+    s = evaluate(prompts, comps, 1, ["baseline"], scorer=_as_score)
+    meta = report.RunMeta("d", "s", 0, "prompt", "answer", 1)
+    rep = report.report_struct(s, meta, *ARMS).first().report
+    assert rep.arithmetic is None and rep.delta.pass_at_1 is None and rep.baseline.pass_at_1 == 1.0
+    log = {r.metric: r.value for r in report.metric_log(s, *ARMS).collect()}
+    assert log["eval/delta/pass_at_1"] is None and log["eval/baseline/pass_at_1"] == 1.0
+
+
+def test_fixed6_of_large_values(spark):
+    xs = [1e9 + 0.1, -123456789012.34567, 4e15 + 0.5, 2.0**62, 1e9, 1234567890.9999999]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r.s for r in df.select(report.fixed6(F.col("x")).alias("s")).collect()] == ["%.6f" % x for x in xs]
