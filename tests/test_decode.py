@@ -107,27 +107,31 @@ def test_tail_is_the_whole_rest(spark):
     assert got == {0: ([f"w{i}" for i in range(23)], ["w23", "w24"]), 1: (["one"], [])}
 
 
+# More steps than a double has bits; 256 and more need minutes (one checkpoint a step).
+LONG_STEPS = 70
+
+
 def test_long_lattice_decode_against_sql(spark):
-    """256 steps over a cycle that never ends, held against a recursive SQL query."""
+    """LONG_STEPS steps over a cycle that never ends, held against a recursive SQL query."""
     import duckdb
 
     rows = [("a", "a", 3), ("a", "b", 2), ("b", "a", 1), ("b", "b", 4)]
     counts = spark.createDataFrame(rows, "context string, token string, cnt long")
     prompts = spark.createDataFrame([(0, "a"), (1, "b")], "group_id long, context string")
     table = dec.cdf(counts, ["context"], weight="cnt")
-    got = dec.decode(prompts, table, num_samples=2, max_steps=256, seed=3, checkpoint_every=16)
+    got = dec.decode(prompts, table, num_samples=2, max_steps=LONG_STEPS, seed=3)
     con = duckdb.connect()
     start = dec.lattice_points(prompts, "group_id", 2, 3).toPandas()  # noqa: F841 - read by DuckDB
     dist = table.toPandas()  # noqa: F841
     want = con.execute(
-        """WITH RECURSIVE s AS (
+        f"""WITH RECURSIVE s AS (
              SELECT group_id, g, c, context AS cur, []::VARCHAR[] AS out FROM start
              UNION ALL
              SELECT s.group_id, s.g, least(greatest((s.c - d.lo) / greatest(d.hi - d.lo, 1e-10), 0::DOUBLE), 1::DOUBLE),
                     d.token, list_append(s.out, d.token)
              FROM s JOIN dist d ON d.context = s.cur AND (s.c > d.lo OR (s.c <= 0 AND d.lo = 0)) AND s.c <= d.hi
-             WHERE len(s.out) < 256)
-           SELECT group_id, g, out FROM s WHERE len(out) = 256"""
+             WHERE len(s.out) < {LONG_STEPS})
+           SELECT group_id, g, out FROM s WHERE len(out) = {LONG_STEPS}"""
     ).fetchall()
     assert {(r.group_id, r.g): r.out for r in got.collect()} == {(a, b): c for a, b, c in want}
 
