@@ -3,7 +3,8 @@
 1. Documents are pre-aggregated to cells (source, language, topic) with their token counts; the cell
    table is the only thing the fitting moves.
 2. Raking: each sweep scales the cell weights to the target share of every source, then language,
-   then topic. A step is one partial aggregation by the margin and one join with its few rows.
+   then topic. The shares are joined to the cells once; a step is one partial aggregation by the
+   margin and one join with its few rows.
 3. The fitted weights, divided by the tokens at hand, give each cell its sampling probability,
    capped at one; what the cap takes away is spread over the other cells until the expected tokens
    meet the budget (``fraction`` of all) or every cell is full.
@@ -55,17 +56,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     """``cells`` with the column weight: token weights whose margins are the targets' shares of all
     tokens. A value without a target gets weight zero; a target without a cell is not met."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    targets = {d: cut_lineage(t) for d, t in targets.items()}
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d, target in targets.items():
+        out = out.join(target.select(F.col("value").alias(d), F.col("share").alias(f"share_{d}")), d, "left")
+    out = cut_lineage(out)
     for _ in range(sweeps):
-        for d, target in targets.items():
-            now = out.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
-            step = now.join(target, "value").select(
-                F.col("value").alias(d), F.when(F.col("now") > 0, F.col("share") * total / F.col("now")).otherwise(0.0).alias("ratio")
-            )
-            out = out.join(step, d, "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(0.0))).drop("ratio")
-        out = cut_lineage(out)
-    return out
+        for d in targets:
+            now = out.groupBy(d).agg(F.sum("weight").alias("now"))
+            ratio = F.when(F.col("now") > 0, F.coalesce(f"share_{d}", F.lit(0.0)) * total / F.col("now")).otherwise(0.0)
+            # each step reads its input twice (margin and join), so lineage is cut step by step
+            out = cut_lineage(out.join(now, d).withColumn("weight", F.col("weight") * ratio).drop("now"))
+    return out.drop(*[f"share_{d}" for d in targets])
 
 
 def calibrate(fitted: DataFrame, fraction: float = FRACTION, rounds: int = CAPS) -> DataFrame:
