@@ -7,10 +7,13 @@ and five numbers (length, words, share inside links, position, end mark). A bidi
 numpy reads the blocks of the whole page in order, so every decision sees the document on both
 sides; a logistic output says main text or not.
 
-Training labels come from structure: on a bounded sample of the pages and on generated pages of
-known layout (menus, notices, adverts, sidebars, forms, reader comments), a block is main text if an
-article or main element holds it and no boilerplate element does. The model is small (about 30,000
-weights) and is broadcast; each task labels the pages of a batch together, grouped by length.
+Training labels come from structure where it tells: on the pages of a bounded sample that have an
+article or main element and on generated ones (menus, notices, adverts, sidebars, forms, reader
+comments), a block is main text if such an element holds it and no boilerplate element does. Sampled
+pages without one teach nothing. Layouts whose text sits in div, section, table cells or directly in
+the body are generated too; their labels are known by construction, not by a tag rule. The model is
+small (about 30,000 weights) and is broadcast; each task labels the pages of a batch together,
+grouped by length.
 """
 
 from __future__ import annotations
@@ -288,9 +291,8 @@ def _padded(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return (*arrays, mask)
 
 
-def generated_pages(n: int, seed: int) -> list[str]:
-    """Pages of known layout around a main element, with the boilerplate that the samples may lack."""
-    rng = np.random.default_rng(seed)
+def _makers(rng: np.random.Generator):
+    """Makers of words, paragraphs, link lists and boilerplate elements."""
     vocabulary = ["".join(rng.choice(list("abcdefghilmnoprstuv"), int(rng.integers(2, 9)))) for _ in range(400)]
     words = lambda k: " ".join(rng.choice(vocabulary, int(k)))
     para = lambda: f"<p>{words(rng.integers(3, 80)).capitalize()}.</p>"
@@ -311,6 +313,14 @@ def generated_pages(n: int, seed: int) -> list[str]:
             return f"<form action='/x'><p>{words(4)}</p><button>{words(1)}</button></form>"
         return f"<div class='{mark}{rng.choice(['', ' box', '-wrap', '_1'])}'>{body}</div>"
 
+    return words, para, links, junk
+
+
+def generated_pages(n: int, seed: int) -> list[str]:
+    """Pages of known layout around a main element, with the boilerplate that the samples may lack."""
+    rng = np.random.default_rng(seed)
+    words, para, links, junk = _makers(rng)
+
     out = []
     for _ in range(n):
         some = lambda k: "".join(junk() for _ in range(int(rng.integers(0, k))))
@@ -328,11 +338,71 @@ def generated_pages(n: int, seed: int) -> list[str]:
     return out
 
 
+def generated_layouts(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
+    """(blocks, labels) of pages without article or main: the text is in div, section, a table cell
+    or directly in the body. Each block of it is made with a mark, which is taken out again."""
+    rng = np.random.default_rng(seed)
+    words, _, links, junk = _makers(rng)
+    mark = "\ue000"
+    names = ["content", "post", "story", "entry", "text", "body", "page", "container", "wrapper", "column", "prose", "copy"]
+
+    def opened() -> tuple[str, str]:
+        kind = int(rng.integers(6))
+        name = f" {rng.choice(['class', 'id'])}='{rng.choice([*names, words(1)])}{rng.choice(['', '-body', ' wide'])}'" if rng.random() < 0.6 else ""
+        if kind < 2:
+            return f"<div{name}>", "</div>"
+        if kind == 2:
+            return f"<div><div{name}>", "</div></div>"
+        if kind == 3:
+            return f"<section{name}>", "</section>"
+        if kind == 4:
+            return f"<table><tr><td{name}>", "</td></tr></table>"
+        return "", ""
+
+    def sentence() -> str:
+        end = str(rng.choice([".", ".", "", "!"])) if rng.random() < 0.5 else "."
+        link = f" <a href='/{words(1)}'>{words(2)}</a>" if rng.random() < 0.2 else ""
+        return f"{mark}{words(rng.integers(1, 80)).capitalize()}{link}{end}"
+
+    def block() -> str:
+        kind = int(rng.integers(9))
+        if kind == 0:
+            return f"<h{(k := int(rng.integers(1, 4)))}>{mark}{words(rng.integers(1, 8))}</h{k}>"
+        if kind == 1:
+            return f"<ul><li>{mark}{words(9)}</li><li>{mark}{words(5)}</li></ul>"
+        if kind == 2:
+            return f"<blockquote>{sentence()}</blockquote>"
+        if kind == 3:
+            return f"<div>{sentence()}</div>"
+        return f"<p>{sentence()}</p>"
+
+    out = []
+    for _ in range(n):
+        bare = lambda: f"<div>{links()}</div>" if rng.random() < 0.5 else f"<p><a href='/{words(1)}'>{words(3)}</a></p>"
+        some = lambda k: "".join(junk() if rng.random() < 0.8 else bare() for _ in range(int(rng.integers(0, k))))
+        content = [block() for _ in range(int(rng.integers(1, 12)))]
+        if rng.random() < 0.5:
+            content.insert(0, f"<h1>{mark}{words(rng.integers(1, 8))}</h1>")
+        if rng.random() < 0.1:
+            content = [sentence()]  # text without an element of its own
+        if rng.random() < 0.4:
+            content.insert(int(rng.integers(len(content) + 1)), junk())
+        head = f"<header><h1>{words(3)}</h1>{links()}</header>" if rng.random() < 0.5 else ""
+        foot = f"<footer><p>{words(6)}</p></footer>" if rng.random() < 0.5 else ""
+        a, z = opened()
+        page = blocks(f"<html><head><title>{words(5)}</title></head><body>{head}{some(4)}{a}{''.join(content)}{z}{some(4)}{foot}</body></html>")
+        labels = np.array([mark in b.text for b in page], np.float32)
+        out.append(([Block(b.text.replace(mark, ""), b.path, b.link_chars) for b in page], labels))
+    return out
+
+
 def train_labeller(
-    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 240, generated: int = 480, epochs: int = 6, seed: int = 3
-) -> BlockLabeller:
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 240, generated: int = 480, epochs: int = 6, seed: int = 3,
+    layouts: int = 480,
+) -> BlockLabeller:
     """Train on the blocks of ``sample_pages`` pages (smallest hashes of the id; of each at most 400
-    blocks) and of ``generated`` made ones, labelled by structure."""
+    blocks; pages without article or main left out) and of ``generated`` made ones, labelled by
+    structure, and of ``layouts`` made ones without such an element, labelled by construction."""
     ids = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
     chosen = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(sample_pages).distinct())
 
@@ -351,9 +421,11 @@ def train_labeller(
     by: dict[int, list[Block]] = {}
     for r in rows.mapInArrow(extract, "id long, text string, path array<string>, n long").collect():
         by.setdefault(r["id"], []).append(Block(r["text"], tuple(r["path"]), r["n"]))
-    made = [p for p in ([by[k] for k in sorted(by)] + [blocks(p) for p in generated_pages(generated, seed)]) if p]
+    told = [by[k] for k in sorted(by) if any(structure_label(b) for b in by[k])]
+    made = [(p, np.array([structure_label(b) for b in p], np.float32)) for p in told + [blocks(p) for p in generated_pages(generated, seed)] if p]
+    made += generated_layouts(layouts, seed + 1)
     model = BlockLabeller(seed)
-    model.train([features(p) for p in made], [np.array([structure_label(b) for b in p], np.float32) for p in made], epochs, seed)
+    model.train([features(p) for p, _ in made], [y for _, y in made], epochs, seed)
     return model
 
 

@@ -156,6 +156,24 @@ def test_html_main_text(spark):
     assert html_extract.html_main_text(pages.limit(0), epochs=1).count() == 0
 
 
+def test_html_layouts_without_article(spark):
+    ship_package(spark)
+    story = [
+        "The river rose again on Tuesday night.",
+        "Two bridges were closed, and the school stayed shut until the water fell.",
+        "Nobody was hurt, the mayor said, but the cellars of the old town are full.",
+    ]
+    body = "".join(f"<p>{t}</p>" for t in story)
+    nav = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+    foot = "<div class='related'><ul><li><a href='/c'>More</a></li></ul></div><footer><p>All rights reserved</p></footer>"
+    holds = ["<div class='content'>{}</div>", "<section>{}</section>", "<div><div id='story'>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "{}"]
+    rows = [(k, "u", f"<html><body>{nav}{h.format(body)}{foot}</body></html>") for k, h in enumerate(holds)]
+    pages = read_table(spark, SMALL, "pages")
+    df = spark.createDataFrame(rows, pages.schema)
+    got = {r.page_id: r.text for r in html_extract.html_main_text(pages.unionByName(df.withColumn("page_id", -1 - df.page_id))).collect()}
+    assert [got[-1 - k] for k in range(len(holds))] == ["\n\n".join(story)] * len(holds)
+
+
 def test_license_windows_and_edges(spark, edge):
     ship_package(spark)
     body = "alpha beta gamma delta " * 40
