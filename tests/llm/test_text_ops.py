@@ -183,3 +183,33 @@ def test_license_windows_and_edges(spark, edge):
     got = {(r.doc_id, r.license): r.containment for r in license_scan.license_scan(df).collect()}
     assert got == {(10, "CC-BY-NC-4.0"): 1.0, (11, "MIT"): 1.0}
     assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def test_license_headers_and_bodies(spark):
+    ship_package(spark)
+    body = "alpha beta gamma delta " * 40
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"
+    )
+    cc0 = (
+        "To the extent possible under law, the author(s) has dedicated all copyright and related and neighboring rights to this software to the "
+        "public domain worldwide. This software is distributed without any warranty. "
+    )
+    rows = [
+        (1, body + gpl + body),
+        (2, body + gpl.replace("GNU General", "GNU Affero General")),
+        (3, "// SPDX-License-Identifier: Apache-2.0\n" + body),
+        (4, "It is free under the terms of the MIT License. " + body),
+        (5, body + cc0 + body),  # near: "has" for "have"
+        (6, body + "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+         "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial."),
+        (7, body + cc0[: len(cc0) // 2]),  # half a text is none
+    ]
+    found = {}
+    for r in license_scan.license_scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r.doc_id, {})[r.license] = r.containment
+    assert max(found[1], key=found[1].get) == "GPL-3.0" and found[1]["GPL-3.0"] == 1.0
+    assert max(found[2], key=found[2].get) == "AGPL-3.0"
+    assert set(found[3]) == {"Apache-2.0"} and set(found[4]) == {"MIT"} and set(found[6]) == {"Unlicense"}
+    assert 0.8 <= found[5]["CC0-1.0"] < 1.0 and 7 not in found
