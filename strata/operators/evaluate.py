@@ -8,7 +8,7 @@ Shape of the flagship computation (``evaluate``):
 2. completions are joined with the prompts' answers (one row per prompt; AQE broadcasts it when the
    measured size is small, otherwise a sort-merge join) and scored with JVM expressions.
 3. ``groupBy(arm, prompt_id)`` gives per-prompt hits, distinct normalised completions (a distinct
-   aggregate, no collected list), score moments and tokens.
+   aggregate, no collected list), exact score moments (integer digit sums) and tokens.
 4. ``groupBy(arm, batch)`` then ``groupBy(arm)`` reduce algebraic sums (partial aggregation).
    Prompts without completions only enter the denominators, which come from one prompt count per
    arm — no (arm x prompt) grid is materialised. Per-prompt outputs (``per_prompt_outcomes``,
@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.exact import LIMBS, limbs, spread_digits, square_limbs, summable, sums, to_double
 from strata.functions.scoring import ScorerFn, is_correct, score, score_normalized
 from strata.functions.text import normalize
 
@@ -44,6 +45,9 @@ RESULT_FIELDS = (
 )
 # Floor for elapsed time, seconds.
 MIN_WALL_SEC = 1e-9
+# Digit sums of the scores and of their squares (``functions.exact``).
+SUM_COLS = [f"_s{i}" for i in range(LIMBS)]
+SQUARE_COLS = [f"_q{i}" for i in range(2 * LIMBS - 1)]
 
 
 def first_k_samples(
@@ -80,17 +84,19 @@ def score_completions(
 
 
 def per_prompt_stats(scored: DataFrame) -> DataFrame:
-    """A1, A2, A5 and moments for A3/A4/A8/A9 per (arm, prompt_id)."""
+    """A1, A2, A5 and moments for A3/A4/A8/A9 per (arm, prompt_id). The moments are integer digit
+    sums of the scores and their squares, so they do not depend on the order of the samples."""
     hit = is_correct(F.col("score"))
     if "norm" not in scored.columns:
         scored = scored.withColumn("norm", normalize(F.col("completion")))
+    scored = scored.withColumn("_d", limbs(F.col("score").cast("double"))).withColumn("_dd", square_limbs(F.col("_d")))
     aggs = [
         F.max(F.when((F.col("sample_idx") == 0) & hit, 1).otherwise(0)).alias("first_hit"),
         F.max(F.when(hit, 1).otherwise(0)).alias("any_hit"),
         F.count_distinct("norm").alias("n_unique"),
-        F.sum("score").alias("score_sum"),
-        # squared deviations from the prompt's own mean: no cancellation, unlike sum of squares
-        (F.var_pop("score") * F.count("score")).alias("score_m2"),
+        *sums("_d", LIMBS, "_s"),
+        *sums("_dd", 2 * LIMBS - 1, "_q"),
+        F.sum(F.when(summable(F.col("score")), 0).otherwise(1)).alias("_odd"),
         F.count(F.lit(1)).alias("n_scores"),
     ]
     cols = set(scored.columns)
@@ -127,24 +133,17 @@ def evaluate(
         assert_aligned(prompts, completions, k, arms)
     scored, _backend = score_completions(prompts, completions, k, scorer)
     pp = per_prompt_stats(scored)
-    # Spread round the arm's mean = spread within prompts + spread of the prompts' means. The means
-    # are one row per arm, hence the broadcast; both readers of ``pp`` share its exchange.
-    arm_mean = pp.groupBy("arm").agg((F.sum("score_sum") / F.sum("n_scores")).alias("_mu"))
-    off = F.col("score_sum") / F.col("n_scores") - F.col("_mu")
-    pp = pp.join(F.broadcast(arm_mean), "arm").withColumn("_m2", F.col("score_m2") + F.col("n_scores") * off * off)
-
     has_tokens = "max_new_tokens" in pp.columns and bool(batch_size)
     has_ts = "ts_min" in pp.columns
     # One chain over prompts that have completions: (arm, prompt) -> (arm, batch) -> arm. The
     # batch level carries the padded token count (longest completion x completions). Prompts
     # without completions only add to the denominator, which comes from the prompt count.
-    names = ["_h1", "_hk", "_uniq", "_ssum", "_m2", "_n"]
-    sums = [
+    names = ["_h1", "_hk", "_uniq", *SUM_COLS, *SQUARE_COLS, "_odd", "_n"]
+    totals = [
         F.sum("first_hit").alias("_h1"),
         F.sum("any_hit").alias("_hk"),
         F.sum("n_unique").alias("_uniq"),
-        F.sum("score_sum").alias("_ssum"),
-        F.sum("_m2").alias("_m2"),
+        *[F.sum(c).alias(c) for c in (*SUM_COLS, *SQUARE_COLS, "_odd")],
         F.sum("n_scores").alias("_n"),
     ]
     extra_b, extra_a = [], []
@@ -157,10 +156,10 @@ def evaluate(
     if batch_size:
         # Consecutive prompts, counted from the start of the slice, form a generation batch.
         batch = F.floor((F.col("prompt_id") - F.lit(slice_start)) / F.lit(batch_size)).cast("long")
-        per_batch = pp.withColumn("batch_id", batch).groupBy("arm", "batch_id").agg(*sums, *extra_b)
+        per_batch = pp.withColumn("batch_id", batch).groupBy("arm", "batch_id").agg(*totals, *extra_b)
         per_arm = per_batch.groupBy("arm").agg(*[F.sum(c).alias(c) for c in names], *extra_a)
     else:
-        per_arm = pp.groupBy("arm").agg(*sums, *extra_b)
+        per_arm = pp.groupBy("arm").agg(*totals, *extra_b)
     # |arms| rows: the slice size once per arm (prompts without completions count as misses)
     counts = prompts.agg(F.count(F.lit(1)).alias("num_prompts")).withColumn(
         "arm", F.explode(F.array(*[F.lit(a) for a in arms]))
@@ -176,8 +175,12 @@ def evaluate(
         per_arm = per_arm.withColumn("total_new_tokens", F.coalesce("total_new_tokens", F.lit(0).cast("long")))
 
     n = F.col("_n")
-    mean = F.col("_ssum") / n
-    var = F.col("_m2") / n
+    # One division of exact sums. A score that is not finite, or 2^31 and more, makes both NaN.
+    nan = F.lit(float("nan"))
+    digits = [F.col(c) for c in SUM_COLS]
+    mean = F.when(F.col("_odd") > 0, nan).otherwise(to_double(digits) / n)
+    spread = to_double(spread_digits(digits, [F.col(c) for c in SQUARE_COLS], n))
+    std = F.when(F.col("_odd") > 0, nan).otherwise(F.sqrt(spread) / n)
     if has_ts:
         span = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("_t1")) / F.lit(1e6)
         wall = F.greatest(span.cast("double"), F.lit(MIN_WALL_SEC))
@@ -198,7 +201,7 @@ def evaluate(
         (F.col("_h1") / num_prompts).alias("pass_at_1"),
         (F.col("_hk") / num_prompts).alias("pass_at_k"),
         F.when(n > 0, mean).otherwise(F.lit(0.0)).alias("reward_mean"),
-        F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0)).alias("reward_std"),
+        F.when(n > 1, std).otherwise(F.lit(0.0)).alias("reward_std"),
         avg_unique.alias("avg_unique_completions"),
         (F.lit(1.0) - avg_unique / F.lit(float(max(k, 1)))).alias("duplicate_rate"),
         F.col("total_new_tokens"),
@@ -220,7 +223,10 @@ def per_prompt_outcomes(prompts: DataFrame, completions: DataFrame, k: int, arms
         F.coalesce("any_hit", F.lit(0)).cast("int").alias("pass_k"),
         F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"),
         F.coalesce("n_scores", F.lit(0)).cast("long").alias("n_samples"),
-        F.coalesce(F.col("score_sum") / F.col("n_scores"), F.lit(0.0)).alias("mean_score"),
+        F.coalesce(
+            F.when(F.col("_odd") > 0, F.lit(float("nan"))).otherwise(to_double([F.col(c) for c in SUM_COLS]) / F.col("n_scores")),
+            F.lit(0.0),
+        ).alias("mean_score"),
     )
 
 
@@ -240,6 +246,7 @@ def paired_outcomes(per_prompt: DataFrame, base: str, other: str) -> DataFrame:
             of(other, "mean_score").alias("o_score"),
         )
         .filter(F.col("b_pass").isNotNull() & F.col("o_pass").isNotNull())
+        .withColumn("_d", limbs(F.col("o_score") - F.col("b_score")))
     )
 
     def number(cond: Column) -> Column:
@@ -250,8 +257,8 @@ def paired_outcomes(per_prompt: DataFrame, base: str, other: str) -> DataFrame:
         number(F.col("o_pass") > F.col("b_pass")).alias("wins"),
         number(F.col("o_pass") < F.col("b_pass")).alias("losses"),
         number(F.col("o_pass") == F.col("b_pass")).alias("ties"),
-        F.avg(F.col("o_score") - F.col("b_score")).alias("mean_score_diff"),
-    )
+        *sums("_d", LIMBS, "_s"),
+    ).select("n_pairs", "wins", "losses", "ties", (to_double([F.col(c) for c in SUM_COLS]) / F.col("n_pairs")).alias("mean_score_diff"))
 
 
 def alignment_violations(prompts: DataFrame, completions: DataFrame, k: int, arms: Sequence[str]) -> DataFrame:

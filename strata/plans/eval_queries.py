@@ -17,12 +17,7 @@ from strata.plans.fixtures import ARMS, BATCH_SIZE, K, eval_completions, eval_pr
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: per-arm result record (A1-A11) of two arms built from lineitem x part."""
-    return _rounded(evaluate(eval_prompts(spark, sf_dir), eval_completions(spark, sf_dir), K, ARMS, batch_size=BATCH_SIZE))
-
-
-def _rounded(record: DataFrame) -> DataFrame:
-    """The last bits of moments depend on the order of summation."""
-    return record.withColumns({c: F.round(c, 12) for c in ("reward_mean", "reward_std")})
+    return evaluate(eval_prompts(spark, sf_dir), eval_completions(spark, sf_dir), K, ARMS, batch_size=BATCH_SIZE)
 
 
 def eval_per_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +69,11 @@ def custom_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.col("prompt_id") + CUSTOM_START
     prompts = eval_prompts(spark, sf_dir).withColumn("prompt_id", shifted)
     completions = eval_completions(spark, sf_dir).withColumn("prompt_id", shifted)
-    return _rounded(
-        evaluate(prompts, completions, K, ARMS, batch_size=BATCH_SIZE, slice_start=CUSTOM_START, scorer=closeness)
-    )
+    return evaluate(prompts, completions, K, ARMS, batch_size=BATCH_SIZE, slice_start=CUSTOM_START, scorer=closeness)
 
 
 def paired_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paired_outcomes(eval_per_prompt(spark, sf_dir), ARMS[0], ARMS[1])
-    # per-prompt means are k-ths; their average depends on summation order in the last bits
-    return out.withColumn("mean_score_diff", F.round("mean_score_diff", 12))
+    return paired_outcomes(eval_per_prompt(spark, sf_dir), ARMS[0], ARMS[1])
 
 
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,16 +144,28 @@ per_arm AS (
          min(t0) AS t0, max(t1) AS t1
   FROM per_batch GROUP BY arm
 ),
-spread AS (SELECT arm, stddev_pop(score) AS sd FROM scored GROUP BY arm),
+fixed AS (SELECT arm, CAST(score * 1152921504606846976::DOUBLE AS HUGEINT) AS x FROM scored),
+halves AS (SELECT arm, x, x // 1073741824 AS a, x % 1073741824 AS b FROM fixed),
+moments AS (
+  SELECT arm, count(*)::HUGEINT AS m, sum(x)::HUGEINT AS s, sum(a * a)::HUGEINT AS aa, sum(a * b)::HUGEINT AS ab, sum(b * b)::HUGEINT AS bb
+  FROM halves GROUP BY arm
+),
+parts AS (SELECT *, s // 1099511627776 AS sa, s % 1099511627776 AS sb FROM moments),
+spread AS (
+  SELECT arm, s::DOUBLE / 1152921504606846976::DOUBLE / m::DOUBLE AS mean,
+         sqrt(((536870912 * (m * aa) + m * ab - 562949953421312 * (sa * sa) - 1024 * (sa * sb))::DOUBLE * 2147483648::DOUBLE
+               + (m * bb - sb * sb)::DOUBLE) / power(2::DOUBLE, 120)) / m::DOUBLE AS sd
+  FROM parts
+),
 wall AS (
-  SELECT per_arm.*, sd, greatest(CAST(datediff('microsecond', t0, t1) AS DOUBLE) / 1e6, 1e-9) AS w FROM per_arm LEFT JOIN spread USING (arm)
+  SELECT per_arm.*, mean, sd, greatest(CAST(datediff('microsecond', t0, t1) AS DOUBLE) / 1e6, 1e-9) AS w FROM per_arm LEFT JOIN spread USING (arm)
 ),
 summary AS (
   SELECT arm AS label, arm AS model_path, CAST(num_prompts AS BIGINT) AS num_prompts,
          CAST({K} AS INTEGER) AS num_samples,
          h1 / num_prompts AS pass_at_1, hk / num_prompts AS pass_at_k,
-         round(CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END, 12) AS reward_mean,
-         round(CASE WHEN n > 1 THEN sd ELSE 0.0::DOUBLE END, 12) AS reward_std,
+         CASE WHEN n > 0 THEN mean ELSE 0.0::DOUBLE END AS reward_mean,
+         CASE WHEN n > 1 THEN sd ELSE 0.0::DOUBLE END AS reward_std,
          uniq / num_prompts AS avg_unique_completions,
          1.0::DOUBLE - (uniq / num_prompts) / {float(max(K, 1))!r} AS duplicate_rate,
          total_new_tokens, w AS wall_time_sec, total_new_tokens / w AS new_tokens_per_sec,
@@ -229,7 +232,9 @@ SELECT CAST(count(*) AS BIGINT) AS n_pairs,
        CAST(sum(CASE WHEN o.pass_k > b.pass_k THEN 1 ELSE 0 END) AS BIGINT) AS wins,
        CAST(sum(CASE WHEN o.pass_k < b.pass_k THEN 1 ELSE 0 END) AS BIGINT) AS losses,
        CAST(sum(CASE WHEN o.pass_k = b.pass_k THEN 1 ELSE 0 END) AS BIGINT) AS ties,
-       round(avg(o.mean_score - b.mean_score), 12) AS mean_score_diff
+       sign(sum(CAST((o.mean_score - b.mean_score) * 1152921504606846976::DOUBLE AS HUGEINT)))
+         * abs(sum(CAST((o.mean_score - b.mean_score) * 1152921504606846976::DOUBLE AS HUGEINT)))::DOUBLE
+         / 1152921504606846976::DOUBLE / count(*) AS mean_score_diff
 FROM (SELECT * FROM ppo WHERE arm = 'baseline') b JOIN (SELECT * FROM ppo WHERE arm = 'arithmetic') o
   USING (prompt_id)"""
     ),

@@ -156,8 +156,7 @@ def decode_eval(spark, sf_dir):
             F.size("out").cast("long").alias("new_tokens"),
         )
         comps = c if comps is None else comps.unionByName(c)
-    record = evaluate(prompts, comps, DECODE_G, arms, batch_size=EVAL_BATCH)
-    return record.withColumn("reward_mean", F.round("reward_mean", ROUND)).withColumn("reward_std", F.round("reward_std", ROUND))
+    return evaluate(prompts, comps, DECODE_G, arms, batch_size=EVAL_BATCH)
 
 
 SHAPE_T, SHAPE_K, SHAPE_P = 0.8, 20, 0.9
@@ -411,15 +410,15 @@ pb AS (SELECT arm, sum(first_hit) AS h1, sum(any_hit) AS hk, sum(n_unique) AS un
        FROM pp GROUP BY arm, floor(prompt_id / {EVAL_BATCH})),
 pa AS (SELECT arm, sum(h1) AS h1, sum(hk) AS hk, sum(uniq) AS uniq, sum(ssum) AS ssum, sum(n) AS n,
               CAST(sum(bt) AS BIGINT) AS bt FROM pb GROUP BY arm),
-spread AS (SELECT arm, stddev_pop(score) AS sd FROM scored GROUP BY arm),
+spread AS (SELECT arm, sqrt(count(*) * sum(score * score) - sum(score) * sum(score)) / count(*) AS sd FROM scored GROUP BY arm),
 cnt AS (SELECT count(*) AS num_prompts FROM ans),
 x AS (SELECT a.arm, c.num_prompts, coalesce(h1, 0) AS h1, coalesce(hk, 0) AS hk, coalesce(uniq, 0) AS uniq,
              coalesce(ssum, 0) AS ssum, sd, coalesce(n, 0) AS n, coalesce(bt, 0) AS bt
       FROM (VALUES ('iid'), ('lattice')) a(arm) CROSS JOIN cnt c LEFT JOIN pa USING (arm) LEFT JOIN spread USING (arm))
 SELECT arm AS label, arm AS model_path, CAST(num_prompts AS BIGINT) AS num_prompts, CAST({DECODE_G} AS INTEGER) AS num_samples,
        h1 / num_prompts AS pass_at_1, hk / num_prompts AS pass_at_k,
-       round(CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END, {ROUND}) AS reward_mean,
-       round(CASE WHEN n > 1 THEN sd ELSE 0.0::DOUBLE END, {ROUND}) AS reward_std,
+       CASE WHEN n > 0 THEN ssum / n ELSE 0.0::DOUBLE END AS reward_mean,
+       CASE WHEN n > 1 THEN sd ELSE 0.0::DOUBLE END AS reward_std,
        uniq / num_prompts AS avg_unique_completions,
        1.0::DOUBLE - (uniq / num_prompts) / {float(DECODE_G)!r} AS duplicate_rate,
        bt AS total_new_tokens, NULL::DOUBLE AS wall_time_sec, NULL::DOUBLE AS new_tokens_per_sec,
