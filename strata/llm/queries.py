@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan, simhash, toxicity
+from strata.llm import (
+    byte_bpe,
+    conversation_repair,
+    embedding_dedup,
+    exact_dedup,
+    html_extract,
+    language_id,
+    license_scan,
+    mixing,
+    secret_scan,
+    simhash,
+    source_divergence,
+    token_counts,
+    toxicity,
+)
 from strata.llm.common import read_table
 
 
@@ -53,6 +67,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_repair(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_secret_scan,
@@ -65,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_license_scan,
         op9_byte_bpe,
         op10_mixing,
+        op11_conversation_repair,
+        op12_source_divergence,
+        op13_token_counts,
     ]
     return {f.__name__: f for f in found}
 
@@ -74,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_license_scan": license_scan.oracle_sql(),
         "op10_mixing": mixing.oracle_sql(),
+        "op11_conversation_repair": conversation_repair.oracle_sql(),
+        "op12_source_divergence": source_divergence.ORACLE_SQL,
     }
