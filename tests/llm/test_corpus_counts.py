@@ -56,7 +56,7 @@ def test_divergence_of_an_empty_table(spark):
 def test_top_terms_break_ties_in_utf8_order(spark):
     ship_package(spark)
     words = ["é", "z", "a", "漢", "m"]
-    docs = [(i, " ".join(words), "en", "a") for i in range(3)] + [(9, "q", "en", "b")]
+    docs = [(i, " ".join(words), "en", "a") for i in range(3)] + [(i, "q", "en", "b") for i in range(3, 6)]
     df = spark.createDataFrame(docs, SCHEMA)
     got = [r.item for r in sd.source_divergence(df, top=3).where("part = 'term' AND source = 'a'").orderBy("rank").collect()]
     assert got == sorted(words, key=str.encode)[:3]
