@@ -1,26 +1,31 @@
 """Multi-step decoding against a transition table.
 
 The next-token distribution comes from a table ``(context, token, lo, hi)`` — here bigram counts
-of a corpus (R8) — instead of a model call. Each step joins the *active* sequences with it through
-the inverse-CDF lookup; finished sequences leave the active set and are unioned back at the end.
-The state is checkpointed to the cluster's checkpoint folder every step (reliable: a lost
-executor does not lose it) so the plan does not grow with the step count.
+of a corpus (R8) — instead of a model call. A table of a checked size is broadcast and every task
+decodes its sequences to the end; a larger one is joined step by step with the *open* sequences
+through the inverse-CDF lookup, finished ones leaving the frontier. The frontier is checkpointed to
+the cluster's checkpoint folder every few steps (reliable: a lost executor does not lose it), so the
+plan does not grow with the step count.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.hashing import keyed_uniform
+from strata.functions.hashing import TWO_POW_52, keyed_uniform
 from strata.functions.text import WS_RUN_PATTERN
 from strata.operators.distribution import cdf, shape
-from strata.operators.lookup import IntervalTable, interval_table, lookup_intervals
-from strata.operators.sampling import DEFAULT_SEED, iid_points, lattice_points, renormalise
+from strata.operators.lookup import interval_table, lookup_intervals
+from strata.operators.sampling import DEFAULT_SEED, MIN_PROB, iid_points, lattice_points, renormalise
 from strata.session import cut_lineage
 from strata.sources.tables import spread
 
@@ -54,15 +59,31 @@ def bigram_table(docs: DataFrame, text: str = "text", contexts: DataFrame | None
     return cdf(counts, ["context"], weight="cnt", token="token")
 
 
+#: Weights of a shaped table are whole multiples of 2^-30 of the largest.
+WEIGHT_UNITS = 1 << 30
+
+
 def shaped_bigram_table(
     docs: DataFrame, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, text: str = "text"
 ) -> DataFrame:
     """R6 in R7 and R9: the bigram table after temperature, top-k and top-p, a pair's logit being
     the logarithm of its count. The distribution of a context is the same at every step, so it is
-    shaped once for both arms."""
+    shaped once for both arms. Weights become integers (at least 1): their running sums are exact, so
+    the intervals do not depend on the order of summation, which a lattice point, rescaled at every
+    step, would otherwise magnify to another token after some ten steps."""
     logits = bigram_counts(docs, text).withColumn("logit", F.log("cnt"))
     shaped = shape(logits, ["context"], temperature=temperature, top_k=top_k, top_p=top_p, normalize=False)
-    return cdf(shaped, ["context"], weight="weight", token="token").select("context", "token", "lo", "hi")
+    units = F.greatest(F.round(F.col("weight") * F.lit(float(WEIGHT_UNITS))).cast("long"), F.lit(1))
+    return cdf(shaped.withColumn("weight", units), ["context"], weight="weight", token="token").select("context", "token", "lo", "hi")
+
+
+METHODS = ("lattice", "iid")
+#: Most tokens of a completion (the reference's default).
+MAX_NEW_TOKENS = 256
+#: Largest table, in rows, that is broadcast to the tasks (about 100 bytes a row on the driver).
+LOCAL_ROWS = 6_000_000
+#: Steps between two checkpoints of the frontier when the table is joined.
+STEPS_PER_CHECKPOINT = 4
 
 
 def decode(
@@ -70,65 +91,204 @@ def decode(
     dist: DataFrame,
     *,
     num_samples: int,
-    max_steps: int,
+    max_steps: int = MAX_NEW_TOKENS,
     method: str = "lattice",
     seed: int = DEFAULT_SEED,
     eos: Sequence[str] = (END_TOKEN,),
-    checkpoint_every: int = 1,
-    table: IntervalTable | None = None,
+    checkpoint_every: int = STEPS_PER_CHECKPOINT,
+    local_rows: int = LOCAL_ROWS,
+) -> DataFrame:
+    """``decode_arms`` for one method, without the column ``arm``."""
+    arms = decode_arms(
+        prompts, dist, num_samples=num_samples, max_steps=max_steps, methods=(method,), seed=seed, eos=eos,
+        checkpoint_every=checkpoint_every, local_rows=local_rows,
+    )
+    return arms.drop("arm")
+
+
+def decode_arms(
+    prompts: DataFrame,
+    dist: DataFrame,
+    *,
+    num_samples: int,
+    max_steps: int = MAX_NEW_TOKENS,
+    methods: Sequence[str] = METHODS,
+    seed: int = DEFAULT_SEED,
+    eos: Sequence[str] = (END_TOKEN,),
+    checkpoint_every: int = STEPS_PER_CHECKPOINT,
+    local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
-    """Decode ``num_samples`` sequences per prompt for up to ``max_steps`` steps.
-
-    ``prompts``: (group_id, context) — the context is the prompt's last token.
-    ``dist``: (context, token, lo, hi); not read if ``table`` is given.
-    ``method``: ``lattice`` (one shared shift per group, code point renormalised each step) or
-    ``iid`` (a fresh keyed uniform per group, sample and step).
-    Output: (group_id, g, out ARRAY<STRING> up to and including EOS, finished BOOLEAN, steps INT).
-    0 steps gives empty completions. The transitions are placed once as an interval table (pass
-    ``table`` to share one between arms); a step joins its points with it on (context, cell), the
-    same plan for contexts of any size. There is no limit on the steps: a lattice point that has
-    used up the bits of its double goes on with what renormalisation leaves.
+    """Decode ``num_samples`` sequences per prompt and method until an end marker.
+
+    ``prompts``: (group_id, context[, max_tokens]) — the context is the prompt's last token, and
+    ``max_tokens`` bounds this prompt's steps (as ``max_steps`` bounds all; 0 gives empty completions).
+    ``dist``: (context, token, lo, hi).
+    ``methods``: ``lattice`` (one shared shift per group, code point renormalised each step) and
+    ``iid`` (a fresh keyed uniform per group, sample and step); all are decoded together.
+    Output: (arm, group_id, g, out ARRAY<STRING> up to and including EOS, finished BOOLEAN, steps INT).
+
+    The table is counted first. Up to ``local_rows`` rows it is broadcast as arrays and each task
+    decodes its sequences to the end by binary search, without a shuffle. A larger table stays where it
+    is: see ``_decode_by_joins``. Both give the same tokens. A lattice point that has used up the bits
+    of its double goes on with what renormalisation leaves.
     """
-    if method not in ("lattice", "iid"):
-        raise ValueError("method must be 'lattice' or 'iid'")
+    if not methods or any(m not in METHODS for m in methods):
+        raise ValueError("methods must be 'lattice' or 'iid'")
     G = int(num_samples)
-    if table is None and max_steps > 0:
-        table = interval_table(dist)
-    if method == "lattice":
-        state = lattice_points(prompts, "group_id", G, seed).drop("u")
-    else:
-        state = prompts.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(G - 1)))).withColumn("c", F.lit(0.0))
-    state = state.select(
-        "group_id", "g", "c", F.col("context").alias("cur"),
-        F.array().cast(T.ArrayType(T.StringType())).alias("out"), F.lit(False).alias("finished"),
-    )
-    done: DataFrame | None = None
-    eos_list = list(eos)
-    active = state
-    for step in range(max_steps):
-        if active.isEmpty():  # A12: every sequence has finished
+    limit = F.lit(int(max_steps))
+    if "max_tokens" in prompts.columns:
+        limit = F.least(limit, F.coalesce(F.col("max_tokens").cast("int"), limit))
+    start = lattice_points(prompts, "group_id", G, seed)
+    start = start.select(
+        F.explode(F.array(*[F.lit(m) for m in methods])).alias("arm"), "group_id", "g", "c", F.col("context").alias("cur"),
+        limit.alias("limit"),
+    )
+    if max_steps <= 0:
+        empty = F.array().cast(T.ArrayType(T.StringType()))
+        return start.select("arm", "group_id", "g", empty.alias("out"), F.lit(False).alias("finished"), F.lit(0).alias("steps"))
+    wide = cut_lineage(dist.select("context", "token", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).where("hi > lo"))
+    if wide.count() <= local_rows:
+        return _decode_in_tasks(start, wide, seed, list(eos))
+    return _decode_by_joins(start, wide, seed, list(eos), int(max_steps), int(checkpoint_every))
+
+
+@dataclass
+class _Table:
+    """Transitions sorted by (context, hi): rows of context k are first[k]..first[k + 1]."""
+
+    contexts: list[str]
+    first: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    token: np.ndarray  # number of the token
+    tokens: list[str]
+    leads: np.ndarray  # token number to context number, -1 without one
+
+    @staticmethod
+    def read(wide: DataFrame) -> _Table:
+        t = wide.where("context IS NOT NULL AND token IS NOT NULL").toArrow().combine_chunks()
+        if not t.num_rows:
+            none = np.zeros(0)
+            return _Table([], np.zeros(1, dtype=np.int64), none, none, none.astype(np.int64), [], none.astype(np.int64))
+        context = t.column("context").chunk(0).dictionary_encode()
+        token = t.column("token").chunk(0).dictionary_encode()
+        at, hi, lo = context.indices.to_numpy(), t.column("hi").to_numpy(), t.column("lo").to_numpy()
+        order = np.lexsort((hi, at))
+        contexts, tokens = context.dictionary.to_pylist(), token.dictionary.to_pylist()
+        first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(contexts)))])
+        place = {c: i for i, c in enumerate(contexts)}
+        leads = np.array([place.get(x, -1) for x in tokens], dtype=np.int64)
+        return _Table(contexts, first, lo[order], hi[order], token.indices.to_numpy()[order].astype(np.int64), tokens, leads)
+
+    def find(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The row of each context whose interval holds ``c``; -1 where there is none."""
+        known = context >= 0
+        low, end = self.first[np.where(known, context, 0)], self.first[np.where(known, context, 0) + 1]
+        high = end.copy()
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            right = open_ & (self.hi[np.minimum(mid, len(self.hi) - 1)] < c)
+            low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
+        at = np.minimum(low, len(self.hi) - 1)
+        held = known & (low < end) & ((c > self.lo[at]) | ((c <= 0) & (self.lo[at] <= 0)))
+        return np.where(held, low, -1)
+
+
+def _uniforms(seed: int, keys: list[str], step: int) -> np.ndarray:
+    """``functions.hashing.keyed_uniform`` of (seed, group, g, step)."""
+    return np.array([int(hashlib.md5(f"{seed}:{k}:{step}".encode()).hexdigest()[:13], 16) for k in keys], dtype=np.float64) / TWO_POW_52
+
+
+def _decode_in_tasks(start: DataFrame, wide: DataFrame, seed: int, eos: list[str]) -> DataFrame:
+    """Every task decodes its own sequences; the table comes by broadcast (its size is checked)."""
+    table = _Table.read(wide)
+    shared = start.sparkSession.sparkContext.broadcast((table, frozenset(eos)))
+    kind = start.schema["group_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, ends = shared.value
+        number = {c: i for i, c in enumerate(t.contexts)}
+        end_token = np.array([x in ends for x in t.tokens], dtype=bool)
+        for b in batches:
+            n = b.num_rows
+            arm, key, limit = b.column(0).to_pylist(), b.column(5).to_pylist(), b.column(6).to_numpy()
+            fresh = np.array([a == "iid" for a in arm], dtype=bool)
+            c = b.column(3).to_numpy().copy()
+            cur = np.array([number.get(x, -1) for x in b.column(4).to_pylist()], dtype=np.int64)
+            finished = np.zeros(n, dtype=bool)
+            said: list[tuple[np.ndarray, np.ndarray]] = []  # sequences and their tokens, step by step
+            active, step = np.flatnonzero(limit > 0), 0
+            while len(active) and len(t.hi):
+                drawn = active[fresh[active]]
+                c[drawn] = _uniforms(seed, [key[i] for i in drawn], step)
+                row = t.find(cur[active], c[active])
+                finished[active[row < 0]] = True
+                active, row = active[row >= 0], row[row >= 0]
+                token, lo, hi = t.token[row], t.lo[row], t.hi[row]
+                c[active] = np.minimum(np.maximum((c[active] - lo) / np.maximum(hi - lo, MIN_PROB), 0.0), 1.0)
+                said.append((active, token))
+                cur[active] = t.leads[token]
+                finished[active] = end_token[token]
+                step += 1
+                active = active[~end_token[token] & (limit[active] > step)]
+            if not len(t.hi):
+                finished |= limit > 0
+            owner = np.concatenate([x for x, _ in said]) if said else np.zeros(0, dtype=np.int64)
+            order = np.argsort(owner, kind="stable")
+            tokens = (np.concatenate([x for _, x in said]) if said else np.zeros(0, dtype=np.int64))[order]
+            ends_at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+            out = pa.ListArray.from_arrays(ends_at, pa.array([t.tokens[i] for i in tokens.tolist()], pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), out, pa.array(finished)], ["arm", "group_id", "g", "out", "finished"])
+
+    # the key of a fresh draw, and points in as many partitions as there are slots
+    key = F.concat_ws(":", F.col("group_id").cast("string"), F.col("g").cast("string"))
+    rows = spread(start).select("arm", "group_id", "g", F.col("c").cast("double"), "cur", key.alias("key"), "limit")
+    found = rows.mapInArrow(run, f"arm string, group_id {kind}, g int, out array<string>, finished boolean")
+    return found.withColumn("steps", F.size("out").cast("int"))
+
+
+def _decode_by_joins(start: DataFrame, wide: DataFrame, seed: int, eos: list[str], max_steps: int, every: int) -> DataFrame:
+    """The table stays distributed: placed once as an interval table, joined on (context, cell).
+
+    The frontier is narrow (one row per open sequence: its code point, its last token and the tokens of
+    the last ``every`` steps). Every ``every`` steps it is checkpointed; that checkpoint is at the same
+    time the log of these steps, so a token is written once and the bytes grow with the tokens, not
+    with their square. The logs are put together by sequence at the end."""
+    table = interval_table(wide)
+    strings = T.ArrayType(T.StringType())
+    front = start.select("*", F.array().cast(strings).alias("recent"), (F.col("limit") > 0).alias("open"), F.lit(False).alias("finished"))
+    logs, step = [], 0
+    while step < max_steps:
+        first = step
+        for step in range(first, min(first + every, max_steps)):
+            fresh = F.when(F.col("arm") == "iid", keyed_uniform(seed, "group_id", "g", F.lit(step))).otherwise(F.col("c"))
+            asked = front.withColumn("c", fresh).withColumn("context", F.when(F.col("open"), F.col("cur")))
+            hit = lookup_intervals(asked, table)
+            none, token = F.col("token").isNull(), F.col("token")
+            ended = F.col("open") & (none | token.isin(*eos))
+            front = hit.select(
+                "arm", "group_id", "g",
+                F.coalesce(renormalise(F.col("c"), F.col("lo"), F.col("hi")), F.col("c")).alias("c"),
+                F.coalesce(token, F.col("cur")).alias("cur"),
+                "limit",
+                F.when(none, F.col("recent")).otherwise(F.array_append("recent", token)).alias("recent"),
+                (F.col("open") & ~ended & (F.col("limit") > step + 1)).alias("open"),
+                (F.col("finished") | ended).alias("finished"),
+            )
+        step += 1
+        front = cut_lineage(front)
+        logs.append(front.select("arm", "group_id", "g", F.lit(first).alias("at"), "recent", "finished"))
+        front = front.where("open").withColumn("recent", F.array().cast(strings))
+        if front.isEmpty():  # A12: every sequence has finished
             break
-        if method == "iid":
-            active = active.withColumn("c", keyed_uniform(seed, "group_id", "g", F.lit(step)))
-        pts = active.select(F.col("cur").alias("context"), "group_id", "g", "c", "out")
-        hit = lookup_intervals(pts, table)
-        # a context absent from the table has no continuation: the sequence ends as it is
-        none = F.col("token").isNull()
-        nxt = hit.select(
-            "group_id",
-            "g",
-            F.coalesce(renormalise(F.col("c"), F.col("lo"), F.col("hi")), F.col("c")).alias("c"),
-            F.coalesce(F.col("token"), F.col("context")).alias("cur"),
-            F.when(none, F.col("out")).otherwise(F.array_append("out", F.col("token"))).alias("out"),
-            (none | F.col("token").isin(*eos_list)).alias("finished"),
-        )
-        if (step + 1) % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        fin = nxt.filter("finished")
-        done = fin if done is None else done.unionByName(fin)
-        active = nxt.filter(~F.col("finished"))
-    result = active if done is None else done.unionByName(active)
-    return result.select("group_id", "g", "out", "finished", F.size("out").cast("int").alias("steps"))
+    log = logs[0]
+    for more in logs[1:]:
+        log = log.unionByName(more)
+    whole = log.groupBy("arm", "group_id", "g").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "recent"))), lambda x: x["recent"])).alias("out"),
+        F.max("finished").alias("finished"),
+    )
+    return whole.withColumn("steps", F.size("out").cast("int"))
 
 
 # Share of a document's words, in percent, that a decode has to continue to (rounded down).
@@ -145,10 +305,17 @@ def split_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def document_prompts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Prompts of the decode queries: the context of a document is the last word of its head."""
+    """(group_id, context): the context of a document is the last word of its head."""
     return split_documents(docs, text, id_col).select("group_id", F.element_at("head", -1).alias("context"))
 
 
+def continuation_prompts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``document_prompts`` with ``max_tokens``, so that a completion can reach the end of the tail:
+    its words and the end marker."""
+    parts = split_documents(docs, text, id_col)
+    return parts.select("group_id", F.element_at("head", -1).alias("context"), (F.size("tail") + 1).alias("max_tokens"))
+
+
 def diversity(decoded: DataFrame, num_samples: int) -> DataFrame:
     """R11 (+ A5-A7): per arm, mean unique completions per prompt and the duplicate rate."""
     per = decoded.groupBy("arm", "group_id").agg(F.count_distinct(F.array_join("out", " ")).alias("n_unique"))
@@ -179,7 +346,9 @@ __all__ = [
     "END_TOKEN",
     "bigram_counts",
     "bigram_table",
+    "continuation_prompts",
     "decode",
+    "decode_arms",
     "diversity",
     "document_prompts",
     "generate_batch",

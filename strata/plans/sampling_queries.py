@@ -9,7 +9,6 @@ from strata.operators import decode as dec
 from strata.operators import distribution as dist
 from strata.operators import sampling as smp
 from strata.operators.evaluate import evaluate
-from strata.operators.lookup import interval_table, lookup_intervals
 from strata.plans import sql
 from strata.sources.tables import read_table
 
@@ -21,7 +20,8 @@ SEED = 42
 LATTICE_G = 8
 SYSTEMATIC_G = 16
 DECODE_G = 4
-DECODE_STEPS = 8
+# most tokens of a completion; a prompt's own bound is the length of its tail
+DECODE_STEPS = dec.MAX_NEW_TOKENS
 VARIANCE_G = 8
 VARIANCE_SEEDS = 32
 ROUND = 9  # order-dependent double sums are compared at 9 decimals
@@ -84,7 +84,7 @@ def _bigram(spark, sf_dir, contexts=None) -> DataFrame:
 
 
 def _doc_prompts(spark, sf_dir) -> DataFrame:
-    return dec.document_prompts(read_table(spark, sf_dir, "documents"))
+    return dec.continuation_prompts(read_table(spark, sf_dir, "documents"))
 
 
 def bigram_table_q(spark, sf_dir):
@@ -94,22 +94,19 @@ def bigram_table_q(spark, sf_dir):
 def inverse_cdf_join(spark, sf_dir):
     prompts = _doc_prompts(spark, sf_dir)
     pts = smp.lattice_points(prompts, "group_id", DECODE_G, SEED).select("group_id", "context", "g", "c")
-    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir, prompts)))
-    hit = hit.withColumn("c_next", smp.renormalise(F.col("c"), F.col("lo"), F.col("hi")))
+    hit = smp.lookup(pts, _bigram(spark, sf_dir, prompts), ["context"])
     return hit.select("group_id", "g", "c", "token", "c_next")
 
 
 def iid_sample(spark, sf_dir):
     prompts = _doc_prompts(spark, sf_dir)
     pts = smp.iid_points(prompts, "group_id", DECODE_G, SEED, 0).select("group_id", "context", "g", "c")
-    hit = lookup_intervals(pts, interval_table(_bigram(spark, sf_dir, prompts)))
+    hit = smp.lookup(pts, _bigram(spark, sf_dir, prompts), ["context"])
     return hit.select("group_id", "g", "c", "token")
 
 
 def _decode(spark, sf_dir, method):
-    out = dec.decode(
-        _doc_prompts(spark, sf_dir), _bigram(spark, sf_dir), num_samples=DECODE_G, max_steps=DECODE_STEPS, method=method, seed=SEED
-    )
+    out = dec.decode(_doc_prompts(spark, sf_dir), _bigram(spark, sf_dir), num_samples=DECODE_G, max_steps=DECODE_STEPS, method=method, seed=SEED)
     return out.select("group_id", "g", F.array_join("out", " ").alias("completion"), "finished", "steps")
 
 
@@ -121,16 +118,15 @@ def decode_iid(spark, sf_dir):
     return _decode(spark, sf_dir, "iid")
 
 
+ARMS = ("iid", "lattice")
+
+
+def _both_arms(spark, sf_dir, table) -> DataFrame:
+    return dec.decode_arms(_doc_prompts(spark, sf_dir), table, num_samples=DECODE_G, max_steps=DECODE_STEPS, methods=ARMS, seed=SEED)
+
+
 def sampler_diversity(spark, sf_dir):
-    prompts = _doc_prompts(spark, sf_dir)
-    bg = _bigram(spark, sf_dir)
-    table = interval_table(bg)  # shared by both arms
-    parts = [
-        dec.decode(prompts, bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
-        .withColumn("arm", F.lit(m))
-        for m in ("iid", "lattice")
-    ]
-    return dec.diversity(parts[0].unionByName(parts[1]), DECODE_G)
+    return dec.diversity(_both_arms(spark, sf_dir, _bigram(spark, sf_dir)), DECODE_G)
 
 
 EVAL_BATCH = 8
@@ -144,19 +140,12 @@ def decode_eval(spark, sf_dir):
     prompts = dec.split_documents(docs).select(
         F.col("group_id").alias("prompt_id"), F.array_join("head", " ").alias("prompt"), F.array_join("tail", " ").alias("answer")
     )
-    bg = _bigram(spark, sf_dir)
-    table = interval_table(bg)  # shared by both arms
-    arms = ("iid", "lattice")
-    comps = None
-    for m in arms:
-        out = dec.decode(_doc_prompts(spark, sf_dir), bg, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
-        c = out.select(
-            F.lit(m).alias("arm"), F.col("group_id").alias("prompt_id"), F.col("g").alias("sample_idx"),
-            F.array_join(F.array_remove("out", dec.END_TOKEN), " ").alias("completion"),
-            F.size("out").cast("long").alias("new_tokens"),
-        )
-        comps = c if comps is None else comps.unionByName(c)
-    return evaluate(prompts, comps, DECODE_G, arms, batch_size=EVAL_BATCH)
+    comps = _both_arms(spark, sf_dir, _bigram(spark, sf_dir)).select(
+        "arm", F.col("group_id").alias("prompt_id"), F.col("g").alias("sample_idx"),
+        F.array_join(F.array_remove("out", dec.END_TOKEN), " ").alias("completion"),
+        F.size("out").cast("long").alias("new_tokens"),
+    )
+    return evaluate(prompts, comps, DECODE_G, ARMS, batch_size=EVAL_BATCH)
 
 
 SHAPE_T, SHAPE_K, SHAPE_P = 0.8, 20, 0.9
@@ -164,15 +153,9 @@ SHAPE_T, SHAPE_K, SHAPE_P = 0.8, 20, 0.9
 
 def decode_shaped(spark, sf_dir):
     """Both arms over the bigram table shaped by temperature, top-k and top-p."""
-    prompts = _doc_prompts(spark, sf_dir)
-    dist_ = dec.shaped_bigram_table(read_table(spark, sf_dir, "documents"), SHAPE_T, SHAPE_K, SHAPE_P)
-    table = interval_table(dist_)  # shared by both arms
-    arms = [
-        dec.decode(prompts, dist_, num_samples=DECODE_G, max_steps=DECODE_STEPS, method=m, seed=SEED, table=table)
-        .select(F.lit(m).alias("arm"), "group_id", "g", F.array_join("out", " ").alias("completion"))
-        for m in ("iid", "lattice")
-    ]
-    return arms[0].unionByName(arms[1])
+    table = dec.shaped_bigram_table(read_table(spark, sf_dir, "documents"), SHAPE_T, SHAPE_K, SHAPE_P)
+    out = _both_arms(spark, sf_dir, table)
+    return out.select("arm", "group_id", "g", F.array_join("out", " ").alias("completion"))
 
 
 def sampler_variance(spark, sf_dir):
@@ -249,7 +232,8 @@ dist AS MATERIALIZED (
       / sum(cnt) OVER (PARTITION BY context) AS hi
   FROM bg
 ),
-prompts AS (SELECT doc_id AS group_id, w[len(w) - len(w) * {dec.TAIL_PERCENT} // 100] AS context FROM docs WHERE len(w) > 0)
+prompts AS (SELECT doc_id AS group_id, w[len(w) - len(w) * {dec.TAIL_PERCENT} // 100] AS context,
+                   least(len(w) * {dec.TAIL_PERCENT} // 100 + 1, {dec.MAX_NEW_TOKENS}) AS lim FROM docs WHERE len(w) > 0)
 """
 
 _MATCH = "(s.c > d.lo OR d.lo = 0) AND s.c <= d.hi"
@@ -269,29 +253,31 @@ def _iid_c(step: int | str, alias: str = "s") -> str:
     return sql.keyed_uniform(f"concat_ws(':', '{SEED}', {alias}.group_id, {alias}.g, {step})")
 
 
-def _decode_sql(method: str) -> str:
-    if method == "lattice":
-        init = f"SELECT group_id, g, c, context AS cur, []::VARCHAR[] AS out, false AS finished FROM ({_lattice_state(DECODE_G)})"
-    else:
-        init = f"SELECT group_id, {_g_seq(DECODE_G)} AS g, 0.0::DOUBLE AS c, context AS cur, []::VARCHAR[] AS out, false AS finished FROM prompts"
-    ctes = [f"s0 AS ({init})"]
-    for i in range(DECODE_STEPS):
-        c_expr = "s.c" if method == "lattice" else _iid_c(i)
-        step = f"""s{i + 1} AS MATERIALIZED (
-  SELECT s.group_id, s.g,
-         least(greatest((s.x - d.lo) / greatest(d.hi - d.lo, 1e-10), 0.0::DOUBLE), 1.0::DOUBLE) AS c,
-         d.token AS cur, list_append(s.out, d.token) AS out, d.token = '{dec.END_TOKEN}' AS finished
-  FROM (SELECT s.*, {c_expr} AS x FROM s{i} s WHERE NOT s.finished) s
-  ASOF JOIN dist d ON d.context = s.cur AND s.x <= d.hi
-  UNION ALL SELECT * FROM s{i} WHERE finished)"""
-        ctes.append(step)
-    return "WITH " + _BIGRAM_CTES.strip() + ",\n" + ",\n".join(ctes) + f"\n"
+def _decode_sql(methods: tuple[str, ...]) -> str:
+    """``dec(arm, group_id, g, out, finished)``: a recursive query whose rows are the tokens, one per
+    open sequence and step."""
+    u = sql.keyed_uniform(f"concat_ws(':', '{SEED}', group_id)")
+    arms = ", ".join(f"'{m}'" for m in methods)
+    return "WITH RECURSIVE " + _BIGRAM_CTES.strip() + f""",
+points AS (SELECT group_id, context, lim, u, {_g_seq(DECODE_G)} AS g FROM (SELECT *, {u} AS u FROM prompts)),
+walk AS (
+  SELECT unnest([{arms}]) AS arm, group_id, g, lim, 0 AS step, (g + u) / {float(DECODE_G)!r} AS c, context AS cur, NULL::VARCHAR AS token
+  FROM points
+  UNION ALL
+  SELECT s.arm, s.group_id, s.g, s.lim, s.step + 1 AS step,
+         least(greatest((s.x - d.lo) / greatest(d.hi - d.lo, 1e-10), 0.0::DOUBLE), 1.0::DOUBLE) AS c, d.token AS cur, d.token AS token
+  FROM (SELECT w.*, CASE WHEN w.arm = 'iid' THEN {_iid_c("w.step", "w")} ELSE w.c END AS x
+        FROM walk w WHERE w.step < w.lim AND w.cur <> '{dec.END_TOKEN}') s
+  JOIN dist d ON d.context = s.cur AND s.x <= d.hi AND (s.x > d.lo OR (s.x <= 0 AND d.lo = 0))),
+dec AS (SELECT arm, group_id, g, coalesce(list(token ORDER BY step) FILTER (token IS NOT NULL), []) AS out,
+               max(CASE WHEN token = '{dec.END_TOKEN}' THEN 1 ELSE 0 END) = 1 AS finished
+        FROM walk GROUP BY ALL)
+"""
 
 
 def _decode_out(method: str) -> str:
-    return _decode_sql(method) + (
-        f"SELECT group_id, g, array_to_string(out, ' ') AS completion, finished, CAST(len(out) AS INTEGER) AS steps "
-        f"FROM s{DECODE_STEPS}"
+    return _decode_sql((method,)) + (
+        "SELECT group_id, g, array_to_string(out, ' ') AS completion, finished, CAST(len(out) AS INTEGER) AS steps FROM dec"
     )
 
 
@@ -359,32 +345,8 @@ SELECT s.group_id, s.g, s.c, d.token FROM pts s ASOF JOIN dist d ON d.context =
     "sampler_variance": _VAR,
 }
 
-def _two_decodes() -> str:
-    """Both unrolled decodes in one WITH list (lattice steps l0.., i.i.d. steps r0..) plus
-    ``dec(arm, group_id, g, out)``."""
-    lat = _decode_sql("lattice")
-    iid = _decode_sql("iid")
-    # rename the step CTEs of each decode so both can live in one statement
-    lat_body = lat[len("WITH ") :].replace("s0 AS", "l0 AS")
-    for i in range(DECODE_STEPS, -1, -1):
-        lat_body = lat_body.replace(f"s{i} AS MATERIALIZED (", f"l{i} AS MATERIALIZED (").replace(f"FROM s{i} ", f"FROM l{i} ")
-    iid_steps = iid[len("WITH ") + len(_BIGRAM_CTES.strip()) + 2 :]
-    for i in range(DECODE_STEPS, -1, -1):
-        iid_steps = iid_steps.replace(f"s{i} AS MATERIALIZED (", f"r{i} AS MATERIALIZED (").replace(f"s{i} AS (", f"r{i} AS (").replace(f"FROM s{i} ", f"FROM r{i} ")
-    return (
-        "WITH "
-        + lat_body.rstrip().rstrip(",")
-        + ",\n"
-        + iid_steps.strip()
-        + f""",
-dec AS (SELECT 'lattice' AS arm, group_id, g, out FROM l{DECODE_STEPS}
-        UNION ALL SELECT 'iid' AS arm, group_id, g, out FROM r{DECODE_STEPS})
-"""
-    )
-
-
 def _diversity_sql() -> str:
-    return _two_decodes() + f"""
+    return _decode_sql(ARMS) + f"""
 , per AS (SELECT arm, group_id, count(DISTINCT array_to_string(out, ' ')) AS n_unique FROM dec GROUP BY 1, 2)
 SELECT arm, CAST(count(*) AS BIGINT) AS num_prompts, sum(n_unique) / count(*) AS avg_unique_completions,
        1.0::DOUBLE - (sum(n_unique) / count(*)) / {float(DECODE_G)!r} AS duplicate_rate
@@ -392,7 +354,7 @@ FROM per GROUP BY arm"""
 
 
 def _decode_eval_sql() -> str:
-    return _two_decodes() + f"""
+    return _decode_sql(ARMS) + f"""
 , comp AS (SELECT arm, group_id AS prompt_id, g AS sample_idx, 
                   array_to_string(list_filter(out, lambda t: t <> '{dec.END_TOKEN}'), ' ') AS completion,
                   CAST(len(out) AS BIGINT) AS new_tokens FROM dec),
@@ -432,7 +394,7 @@ ORACLE["decode_eval"] = _decode_eval_sql()
 _SHAPED_DIST = f"""tmp AS (SELECT context, token, ln(cnt) / {SHAPE_T!r}::DOUBLE AS logit FROM bg),
 cut AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY context)) AS e
         FROM (SELECT *, rank() OVER (PARTITION BY context ORDER BY logit DESC) AS rk FROM tmp) WHERE rk <= {SHAPE_K}),
-nuc AS (SELECT context, token, e FROM (SELECT *, coalesce(sum(e) OVER (PARTITION BY context ORDER BY logit DESC, token
+nuc AS (SELECT context, token, greatest(round(e * {dec.WEIGHT_UNITS}::DOUBLE), 1)::BIGINT AS e FROM (SELECT *, coalesce(sum(e) OVER (PARTITION BY context ORDER BY logit DESC, token
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY context) AS pe FROM cut)
         WHERE pe <= {SHAPE_P!r}),
 dist AS MATERIALIZED (
@@ -445,6 +407,6 @@ dist AS MATERIALIZED (
 ),
 """
 _COUNT_DIST = _BIGRAM_CTES[_BIGRAM_CTES.index("dist AS MATERIALIZED") : _BIGRAM_CTES.index("prompts AS")]
-ORACLE["decode_shaped"] = _two_decodes().replace(_COUNT_DIST, _SHAPED_DIST) + (
+ORACLE["decode_shaped"] = _decode_sql(ARMS).replace(_COUNT_DIST, _SHAPED_DIST) + (
     "SELECT arm, group_id, g, array_to_string(out, ' ') AS completion FROM dec"
 )

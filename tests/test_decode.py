@@ -54,8 +54,31 @@ def test_decode_matches_brute_force(spark, monkeypatch):
         want = _brute(docs, [(r.group_id, r.context) for r in prompts.collect()], 4, 5, method, 11)
         for per_cell in (1, 32):  # rows per cell of the interval table
             monkeypatch.setattr(lookup, "ROWS_PER_CELL", per_cell)
-            got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11)
+            got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11, checkpoint_every=2, local_rows=0)
             assert {(r.group_id, r.g): list(r.out) for r in got.collect()} == want
+        got = dec.decode(prompts, table, num_samples=4, max_steps=5, method=method, seed=11)  # broadcast table
+        assert {(r.group_id, r.g): list(r.out) for r in got.collect()} == want
+
+
+def test_both_ways_to_decode_agree(spark):
+    """Prompts with bounds of their own, a null and an unknown context, a string key, both arms."""
+    docs = ["the cat sat on the mat", "the dog sat", "a cat and the dog", "the the the cat"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    prompts = spark.createDataFrame(
+        [("p", "the", 6), ("q", "the", 1), ("r", "cat", 0), ("s", "zzz", 4), ("t", None, 4), ("u", "sat", None)],
+        "group_id string, context string, max_tokens int",
+    )
+    table = dec.bigram_table(df)
+    rows = [
+        sorted(dec.decode_arms(prompts, table, num_samples=3, max_steps=9, seed=5, checkpoint_every=3, local_rows=n).collect(), key=str)
+        for n in (0, 100)
+    ]
+    assert rows[0] == rows[1] and len(rows[0]) == 36
+    ends = {(r.group_id, r.finished) for r in rows[0] if r.group_id in "rst"}
+    assert ends == {("r", False), ("s", True), ("t", True)}
+    assert max(r.steps for r in rows[0] if r.group_id == "q") == 1
+    none = dec.decode_arms(prompts, table.limit(0), num_samples=1, max_steps=3)
+    assert {(r.finished, r.steps) for r in none.where("group_id <> 'r'").collect()} == {(True, 0)}
 
 
 def test_bigram_counts(spark):
@@ -85,8 +108,9 @@ def test_lattice_decode_has_no_step_limit(spark):
     # one successor per context: the only path is the ring a -> b -> a, for as many steps as asked
     ring = spark.createDataFrame([("a", "b", 0.0, 1.0), ("b", "a", 0.0, 1.0)], "context string, token string, lo double, hi double")
     prompts = spark.createDataFrame([(0, "a")], "group_id long, context string")
-    out = dec.decode(prompts, ring, num_samples=1, max_steps=66).collect()
-    assert [list(r.out) for r in out] == [["b", "a"] * 33] and not out[0].finished
+    for rows in (0, 10):  # joined and broadcast
+        out = dec.decode(prompts, ring, num_samples=1, max_steps=66, local_rows=rows, checkpoint_every=6).collect()
+        assert [list(r.out) for r in out] == [["b", "a"] * 33] and not out[0].finished
 
 
 def test_interval_lookup_ties_and_edges(spark):
@@ -107,8 +131,8 @@ def test_tail_is_the_whole_rest(spark):
     assert got == {0: ([f"w{i}" for i in range(23)], ["w23", "w24"]), 1: (["one"], [])}
 
 
-# More steps than a double has bits; 256 and more need minutes (one checkpoint a step).
-LONG_STEPS = 70
+# As many steps as the reference allows a completion, several times the bits of a double.
+LONG_STEPS = dec.MAX_NEW_TOKENS
 
 
 def test_long_lattice_decode_against_sql(spark):
