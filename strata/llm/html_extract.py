@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import sample_rows
+
 # HTML element names by behaviour.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -50,11 +52,17 @@ JUNK_WORDS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 
+# A tag: quotes count only behind an equals sign; if such a quote swallows the rest of the page, the
+# tag ends at the next angle bracket all the same.
+_TAG_NAME = r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noframes|xmp)\b([^>]*)>(.*?)(?:</\1\s*[^>]*>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<]*\Z|([^<]+|<)",
+    rf"|{_TAG_NAME}((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|{_TAG_NAME}([^>]*+)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
+_TAG_START = re.compile("<[A-Za-z/!?]")
+#: Elements opened deeper stand beside the last one, as in browsers' parsers.
+DEEPEST = 512
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PATH_WORD = re.compile("[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -103,8 +111,11 @@ def blocks(page: str) -> list[Block]:
             if among and stack[k][0] in BLOCK_TAGS:
                 return
 
-    for m in _TOKEN.finditer(page):
-        raw, raw_attributes, raw_text, slash, tag, attributes, text = m.groups()
+    cut = _TAG_START.search(page, page.rfind(">") + 1)  # a tag that the end of the page cuts off
+    for m in _TOKEN.finditer(page if cut is None else page[: cut.start()]):
+        raw, raw_attributes, raw_text, slash, tag, attributes, slash_2, tag_2, attributes_2, text = m.groups()
+        if tag_2 is not None:
+            slash, tag, attributes = slash_2, tag_2, attributes_2
         if text is not None:
             parts.append(text)
             if any(t == "a" for t, _ in stack[-4:]):
@@ -131,6 +142,10 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 parts.append(" ")
             if tag not in VOID_TAGS and not attributes.endswith("/"):
+                if len(stack) >= DEEPEST:
+                    if stack[-1][0] in BLOCK_TAGS:
+                        flush()
+                    stack.pop()
                 stack.append((tag, names(tag, attributes)))
     flush()
     return out
@@ -398,26 +413,25 @@ def generated_layouts(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]
 
 def train_labeller(
     pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 240, generated: int = 480, epochs: int = 6, seed: int = 3,
-    layouts: int = 480,
+    layouts: int = 480, page_blocks: int = 400, block_chars: int = 2000,
 ) -> BlockLabeller:
-    """Train on the blocks of ``sample_pages`` pages (smallest hashes of the id; of each at most 400
-    blocks; pages without article or main left out) and of ``generated`` made ones, labelled by
-    structure, and of ``layouts`` made ones without such an element, labelled by construction."""
-    ids = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
-    chosen = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(sample_pages).distinct())
+    """Train on the blocks of ``sample_pages`` pages (smallest hashes of the id, one row each; of each at
+    most ``page_blocks`` blocks with at most ``block_chars`` characters; pages without article or main
+    left out) and of ``generated`` made ones, labelled by structure, and of ``layouts`` made ones without
+    such an element, labelled by construction. These bounds hold for training only."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for page, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = blocks(text or "")[:400]
+                got = blocks(text or "")[:page_blocks]
                 yield pa.RecordBatch.from_pydict(
-                    {"id": [page] * len(got), "text": [x.text[:2000] for x in got], "path": [list(x.path) for x in got], "n": [x.link_chars for x in got]},
+                    {"id": [page] * len(got), "text": [x.text[:block_chars] for x in got], "path": [list(x.path) for x in got], "n": [x.link_chars for x in got]},
                     schema=kind,
                 )
 
     kind = pa.schema([("id", pa.int64()), ("text", pa.string()), ("path", pa.list_(pa.string())), ("n", pa.int64())])
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.join(chosen.select(F.col("id").cast("long").alias("id")), "id", "left_semi")
+    rows = sample_rows(rows, "html", sample_pages)
     by: dict[int, list[Block]] = {}
     for r in rows.mapInArrow(extract, "id long, text string, path array<string>, n long").collect():
         by.setdefault(r["id"], []).append(Block(r["text"], tuple(r["path"]), r["n"]))

@@ -77,13 +77,47 @@ def test_secret_base_findings(spark, docs, edge):
     assert secret_scan.secret_scan(docs.limit(0), generated=60, epochs=1).count() == 0
 
 
-def test_secret_network_on_held_out_formats():
-    made = secret_scan.generated_findings(1200, 1)
-    codes = np.stack([secret_scan.window_codes(t, s, e) for t, s, e, _ in made])
-    y = np.array([m[3] for m in made], dtype=np.float32)
-    m = secret_scan._calibrate(secret_scan._train(codes[:900], y[:900], 6, 0), codes[700:900], y[700:900], 0.98)
-    p = m.score(codes[900:])
-    assert (p[y[900:] == 1] >= m.threshold).mean() >= 0.9 and (p[y[900:] == 0] >= m.threshold).mean() <= 0.05
+def secret_network():
+    made, fresh = secret_scan.generated_findings(1600, 1), secret_scan.generated_findings(600, 2, held_out=True)
+    codes = [np.stack([secret_scan.windows(t, s, e)[0] for t, s, e, _ in part]) for part in (made, fresh)]
+    y = [np.array([m[3] for m in part], dtype=np.float32) for part in (made, fresh)]
+    return secret_scan._calibrate(secret_scan._train(codes[0], y[0], 6, 0), codes[1], y[1], 0.98)
+
+
+def test_secret_network_on_formats_it_has_not_seen():
+    m = secret_network()
+    fresh = secret_scan.generated_findings(800, 3, held_out=True)
+    best = np.array([m.score(np.stack(secret_scan.windows(t, s, e))).max() for t, s, e, _ in fresh])
+    y = np.array([f[3] for f in fresh])
+    assert (best[y == 1] >= m.threshold).mean() >= 0.95 and (best[y == 0] >= m.threshold).mean() <= 0.05
+
+
+def test_secret_candidates_are_whole_and_windows_cover_them():
+    key = "X7b2Kq9LmZ4tRw8VnD3sYc5P"
+    url = f"see //hooks.example.com/services/T00000000/B00000000/{key}. now"
+    (run,) = secret_scan.other_candidates(url, [])
+    assert url[slice(*run)].endswith(key)
+    assert [url[s:e] for s, e in secret_scan.parts_of(url, *run)] == [key]
+    for text in ("QwErTyUiOpAsDfGhJkLzXcVb", "ghp_" + "abcdefgh" * 4, "a" * 20, "word1word1word1"):
+        assert [f"x {text} y"[s:e] for s, e in secret_scan.other_candidates(f"x {text} y", [])] == [text]
+    for text in ("shortwords only", "-" * 60, "Capitalised words", "abc123"):
+        assert secret_scan.other_candidates(text, []) == []
+    assert secret_scan.other_candidates("a" * 30 + " b", [(5, 2, 21)]) == []
+    long = "q1" * 500
+    found = secret_scan.windows(long, 0, 1000)
+    assert len(found) == 49 and all(len(w) == secret_scan.WINDOW for w in found)
+    assert len(secret_scan.windows(long, 0, 40)) == len(secret_scan.windows(long, 0, 3)) == 1
+
+
+def test_secret_behind_an_address_and_clashing_columns(spark):
+    key = "X7b2Kq9LmZ4tRw8VnD3sYc5P"
+    texts = [f"post to //hooks.example.com/services/T00000000/B00000000/{key} today", f"note {key} end", "use QwErTyUiOpAsDfGhJkLzXcVb here", "Donaudampfschifffahrtsgesellschaft 10.20.30.40 2024-01-02T03"]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).select("*", *[F.lit(1).alias(c) for c in ("id", "base", "spans", "n_cnn", "row")])
+    rows = {r.doc_id: r.spans for r in secret_scan.secret_scan(df, generated=1600, epochs=6).collect()}
+    for i, part in enumerate([key, key, "QwErTyUiOpAsDfGhJkLzXcVb"]):
+        at = texts[i].index(part)
+        assert rows[i] == f"cnn:{at}:{at + len(part)}"
+    assert rows[3] == ""
 
 
 def test_toxicity_held_out_and_edges(spark, docs, edge):
@@ -213,3 +247,17 @@ def test_license_headers_and_bodies(spark):
     assert max(found[2], key=found[2].get) == "AGPL-3.0"
     assert set(found[3]) == {"Apache-2.0"} and set(found[4]) == {"MIT"} and set(found[6]) == {"Unlicense"}
     assert 0.8 <= found[5]["CC0-1.0"] < 1.0 and 7 not in found
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    n = 40_000
+    began = time.time()
+    for page in ('<a "' * n, "<a '" * n + "<p>hi</p>", "<div>" * n + "x" + "</div>" * n, '<div class="a">x' * (n // 8), "<script>" * n, "<!--" * n, '<a b="' * n + ">", "<" * n):
+        html_extract.blocks(page)
+    assert time.time() - began < 20
+    assert [b.text for b in html_extract.blocks('<p title="a>b">T</p> tail <a hre')] == ["T", "tail"]
+    assert [b.text for b in html_extract.blocks('<a href="x>y\n<p>t</p>')] == ["y", "t"]
+    deep = html_extract.blocks("<div>" * 2000 + "in" + "</div>" * 2000 + "<p>out</p>")
+    assert [b.text for b in deep] == ["in", "out"] and len(deep[0].path) == html_extract.DEEPEST
