@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
-from strata.llm.common import keep_ids, read_table
+from strata.llm.common import ROW_KEY, cut_lineage, keep_rows, one_per_group, read_table, with_row_key
 from strata.session import ensure_checkpoint_dir, ship_package
 
 
@@ -28,23 +28,32 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays. Rows that repeat an id with an equal text count as one document and
-    stay together."""
+    """Of equal texts one row stays, whatever the ids are: the one with the most code points, then the
+    smallest id (null ids last). Rows that repeat an id, or have none, are rows of their own."""
     ship_package(spark)
-    return keep_ids(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    keyed = with_row_key(docs)
+    found = exact_dedup.exact_dedup(keyed, id_col=ROW_KEY).select(ROW_KEY, F.col("keep_id").alias("group"))
+    return keep_rows(keyed, one_per_group(keyed, found, -F.length(F.coalesce("text", F.lit("")))))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One row of each near-duplicate group stays: the one with the smallest id (null ids last)."""
     ship_package(spark)
-    found = simhash.simhash_near_dedup(docs)
-    return keep_ids(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    keyed = with_row_key(docs)
+    found = simhash.simhash_near_dedup(keyed, id_col=ROW_KEY).select(ROW_KEY, F.col("component_id").alias("group"))
+    return keep_rows(keyed, one_per_group(keyed, found))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their calibrated probabilities stay."""
+    """Documents drawn by their calibrated probabilities stay. The draw is by the id; a document
+    without one is drawn by a hash of its text, lest all of them go the same way."""
     ship_package(spark)
-    return keep_ids(docs, mixing.mix_to_targets(docs).where("selected").select("doc_id"))
+    cols = {f"__{n}": c for n, c in mixing.cell_columns().items()}
+    rows = cut_lineage(docs.select(*[c.alias(n) for n, c in mixing.cell_columns().items()]))
+    odds = mixing.sampling_odds(rows).toDF(*[f"__{d}" for d in mixing.DIMENSIONS], "__probability")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    drawn = docs.withColumns({**cols, "__key": key}).join(odds, [f"__{d}" for d in mixing.DIMENSIONS])
+    return drawn.where(mixing.uniform(mixing.SEED, F.col("__key")) < F.col("__probability")).select(docs.columns)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
