@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,44 +58,45 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 class Stripes:
-    """(language, term) to [document frequency, {source: count}]."""
+    """Per language: term to [document frequency, {source: count}]."""
 
     def __init__(self):
-        self.held: dict[tuple[str, bytes], list] = {}
+        self.held: dict[str, dict[bytes, list]] = {}
         self.cells = 0
 
     def fold(self, lang: str, source: str, text: str | None) -> None:
-        held = self.held
-        self._add(held, lang, source, b"", 0, 0)
+        held = self.held.setdefault(lang, {})
+        new = 0
+        held.setdefault(b"", [0, {}])[1].setdefault(source, 0)
         for term, n in Counter(terms_of(text)).items():
-            self._add(held, lang, source, term, 1, n)
-
-    def _add(self, held, lang, source, term, df, n) -> None:
-        stripe = held.get((lang, term))
-        if stripe is None:
-            held[lang, term] = stripe = [0, {}]
-        stripe[0] += df
-        counts = stripe[1]
-        if source not in counts:
-            self.cells += 1
-            counts[source] = n
-        else:
-            counts[source] += n
+            stripe = held.get(term)
+            if stripe is None:
+                held[term] = [1, {source: n}]
+                new += 1
+                continue
+            stripe[0] += 1
+            counts = stripe[1]
+            if source in counts:
+                counts[source] += n
+            else:
+                counts[source] = n
+                new += 1
+        self.cells += new
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """The stripes as batches; afterwards none are held."""
-        items = list(self.held.items())
+        items = [(lang, term, stripe) for lang, held in self.held.items() for term, stripe in held.items()]
         self.held, self.cells = {}, 0
         for i in range(0, len(items), 16_384):
             part = items[i : i + 16_384]
-            ends = np.cumsum([0, *(len(s[1]) for _, s in part)], dtype=np.int32)
+            ends = np.cumsum([0, *(len(s[1]) for _, _, s in part)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k[0] for k, _ in part], pa.string()),
-                    pa.array([k[1] for k, _ in part], pa.binary()).cast(pa.string()),
-                    pa.array([s[0] for _, s in part], pa.int64()),
-                    pa.ListArray.from_arrays(ends, pa.array([x for _, s in part for x in s[1]], pa.string())),
-                    pa.ListArray.from_arrays(ends, pa.array([x for _, s in part for x in s[1].values()], pa.int64())),
+                    pa.array([k for k, _, _ in part], pa.string()),
+                    pa.array([k for _, k, _ in part], pa.binary()).cast(pa.string()),
+                    pa.array([s[0] for _, _, s in part], pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array([x for _, _, s in part for x in s[1]], pa.string())),
+                    pa.ListArray.from_arrays(ends, pa.array([x for _, _, s in part for x in s[1].values()], pa.int64())),
                 ],
                 ["lang", "term", "df", "sources", "counts"],
             )
@@ -117,29 +119,62 @@ def term_stripes(docs: DataFrame, lang_col: str = "lang", source_col: str = "sou
     return docs.select(*text).mapInArrow(run, _STRIPE)
 
 
+class _Merged:
+    """Consecutive stripes added up by (lang, term), in arrays: the cells of term i lie side by side."""
+
+    def __init__(self, b: pa.RecordBatch):
+        lang, term = b.column(0), b.column(1)
+        new = np.ones(b.num_rows, dtype=bool)
+        if b.num_rows > 1:
+            moved = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+            new[1:] = moved.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new)
+        self.langs, self.terms = lang.take(pa.array(at)), term.take(pa.array(at))
+        self.df = np.add.reduceat(b.column(2).to_numpy(), at)
+        held = b.column(3).flatten().dictionary_encode()
+        self.names = held.dictionary.to_pylist()
+        group = np.repeat(np.cumsum(new) - 1, pc.list_value_length(b.column(3)).to_numpy())
+        key = group * len(self.names) + held.indices.to_numpy().astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.counts = np.add.reduceat(b.column(4).flatten().to_numpy()[order], first)
+        self.group, self.code = np.divmod(key[first], len(self.names))
+
+    def last(self, schema: pa.Schema) -> pa.RecordBatch:
+        """The last stripe as a row: it may go on in the next batch."""
+        n = len(self.df) - 1
+        mine = self.group == n
+        sources = [[self.names[c] for c in self.code[mine].tolist()]]
+        cols = [self.langs[n:], self.terms[n:], self.df[n:], sources, [self.counts[mine].tolist()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
 class _Block:
     """Merged stripes of one language on their way into a row."""
 
     def __init__(self, lang: str):
-        self.lang, self.terms, self.sizes, self.codes, self.counts = lang, [], [], [], []
-        self.number: dict[str, int] = {}
-        self.sums: list[int] = []
-
-    def add(self, term: str, stripe: dict[str, int], kept: bool) -> None:
-        for source, n in stripe.items():
-            k = self.number.setdefault(source, len(self.number))
-            if k == len(self.sums):
-                self.sums.append(0)
-            if kept:
-                self.sums[k] += n
-                self.codes.append(k)
-                self.counts.append(n)
+        self.lang, self.number = lang, {}
+        self.terms: list[str] = []
+        self.sizes, self.codes, self.counts = [], [], []
+
+    def add(self, m: _Merged, groups: np.ndarray, kept: bool) -> None:
+        """The stripes ``groups`` (ascending) of ``m``; if not ``kept``, only their sources."""
+        mine = np.isin(m.group, groups)
+        place = {c: self.number.setdefault(m.names[c], len(self.number)) for c in np.unique(m.code[mine]).tolist()}
         if kept:
-            self.terms.append(term)
-            self.sizes.append(len(stripe))
+            self.terms += m.terms.take(pa.array(groups)).to_pylist()
+            self.sizes.append(np.bincount(np.searchsorted(groups, m.group[mine]), minlength=len(groups)))
+            number = np.zeros(len(m.names), dtype=np.int64)
+            number[list(place)] = list(place.values())
+            self.codes.append(number[m.code[mine]])
+            self.counts.append(m.counts[mine])
 
     def row(self) -> pa.RecordBatch:
-        cols = [self.lang, self.terms, self.sizes, self.codes, self.counts, list(self.number), self.sums]
+        sizes, codes, counts = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (self.sizes, self.codes, self.counts))
+        sums = np.zeros(len(self.number), dtype=np.int64)
+        np.add.at(sums, codes, counts)
+        cols = [self.lang, self.terms, sizes, codes, counts, list(self.number), sums]
         kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
         names = ["lang", "terms", "sizes", "codes", "counts", "block_sources", "block_sums"]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -149,33 +184,41 @@ def merged_blocks(stripes: DataFrame, min_docs: int = MIN_DOCS, block: int = BLO
     """Step 2: the stripes added up by (lang, term) and packed into blocks of one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_row: pa.RecordBatch | None = None
         now: _Block | None = None
-        key, df, stripe = None, 0, {}
 
-        def close():
-            """The finished term goes into its language's block."""
+        def packed(m: _Merged, upto: int) -> Iterator[pa.RecordBatch]:
+            """The first ``upto`` stripes go into their languages' blocks; full blocks come out."""
             nonlocal now
-            full = []
-            if key is not None:
-                if now is not None and (now.lang != key[0] or len(now.terms) >= block):
-                    full.append(now.row())
+            langs = m.langs[:upto].to_pylist()
+            bounds = [i for i in range(upto) if i == 0 or langs[i] != langs[i - 1]] + [upto]
+            named = m.terms[:upto].to_numpy(zero_copy_only=False) == ""
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if now is not None and now.lang != langs[lo]:
+                    yield now.row()
                     now = None
-                now = now or _Block(key[0])
-                if key[1] == "":
-                    now.add("", stripe, kept=False)
-                elif df >= min_docs:
-                    now.add(key[1], stripe, kept=True)
-            return full
+                now = now or _Block(langs[lo])
+                here = np.arange(lo, hi)
+                now.add(m, here[named[lo:hi]], kept=False)
+                good = here[~named[lo:hi] & (m.df[lo:hi] >= min_docs)]
+                while len(good):
+                    room = block - len(now.terms)
+                    now.add(m, good[:room], kept=True)
+                    good = good[room:]
+                    if len(now.terms) >= block:
+                        yield now.row()
+                        now = _Block(langs[lo])
 
         for b in batches:
-            for lang, term, n_docs, sources, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (lang, term) != key:
-                    yield from close()
-                    key, df, stripe = (lang, term), 0, {}
-                df += n_docs
-                for source, n in zip(sources, counts, strict=True):
-                    stripe[source] = stripe.get(source, 0) + n
-        yield from close()
+            if not b.num_rows:
+                continue
+            if open_row is not None:
+                b = pa.Table.from_batches([open_row, b.cast(open_row.schema)]).combine_chunks().to_batches()[0]
+            m = _Merged(b)
+            yield from packed(m, len(m.df) - 1)
+            open_row = m.last(b.schema)
+        if open_row is not None:
+            yield from packed(_Merged(open_row), 1)
         if now is not None:
             yield now.row()
 
