@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +69,58 @@ def score(
     ``scorer`` is any callable ``(prompt, completion, answer) -> Column`` — a column expression
     or a pandas UDF applied to the three columns. A null from it (the plug-in failed for that
     sample) falls back to the built-in score for that row (X2). ``scorer=None`` uses the built-in
-    score (X3), which is ``builtin`` where the caller has it at hand.
+    score (X3), which is ``builtin`` where the caller has it at hand. A scorer made by ``isolating``
+    also gives the column ``scorer_error`` (null where it did not raise).
     """
     if builtin is None:
         builtin = score_expr(F.col(completion), F.col(answer))
     if scorer is None:
         return df.withColumn(out, builtin), BUILTIN_BACKEND
     p = F.col(prompt) if prompt in df.columns else F.lit("")
-    plug = scorer(p, F.col(completion), F.col(answer)).cast("double")
     name = getattr(scorer, "backend_name", getattr(scorer, "__name__", "custom"))
+    if getattr(scorer, "tells_errors", False):
+        told = df.withColumn("_plug", scorer(p, F.col(completion), F.col(answer)))
+        told = told.withColumn(out, F.coalesce("_plug.score", builtin)).withColumn("scorer_error", F.col("_plug.error"))
+        return told.drop("_plug"), name
+    plug = scorer(p, F.col(completion), F.col(answer)).cast("double")
     return df.withColumn(out, F.coalesce(plug, builtin)), name
+
+
+def isolating(fn: Callable, name: str | None = None) -> ScorerFn:
+    """A plug-in scorer from ``fn(prompts, completions, answers) -> scores`` (pandas Series) that may
+    raise. It runs over Arrow batches. A batch on which it raises is halved until the rows that cause
+    it stand alone (two calls per level, so a few bad rows cost a few logarithms); these get no score
+    (the built-in one takes their place) and the exception as the reason, all others keep theirs. A
+    result of another length counts as a failure too, a null or non-number as a row without score."""
+
+    def scores(prompt: pd.Series, completion: pd.Series, answer: pd.Series) -> pd.DataFrame:
+        values: list[float | None] = [None] * len(prompt)
+        reasons: list[str | None] = [None] * len(prompt)
+        waiting = [(0, len(prompt))]
+        while waiting:
+            lo, hi = waiting.pop()
+            if lo == hi:
+                continue
+            part = [x.iloc[lo:hi].reset_index(drop=True) for x in (prompt, completion, answer)]
+            try:
+                got = list(fn(*part))
+                if len(got) != hi - lo:
+                    raise ValueError(f"{len(got)} scores for {hi - lo} rows")
+                numbers = pd.to_numeric(pd.Series(got, dtype="object"), errors="coerce")
+                values[lo:hi] = [None if pd.isna(x) else float(x) for x in numbers]
+            except Exception as e:  # noqa: BLE001 - whatever the plug-in raises
+                if hi - lo == 1:
+                    reasons[lo] = f"{type(e).__name__}: {e}"
+                else:
+                    mid = (lo + hi) // 2
+                    waiting += [(mid, hi), (lo, mid)]
+        return pd.DataFrame({"score": pd.Series(values, dtype="float64"), "error": pd.Series(reasons, dtype="object")})
+
+    udf = F.pandas_udf(scores, "score double, error string")
+
+    def scorer(prompt: Column, completion: Column, answer: Column) -> Column:
+        return udf(prompt, completion, answer)
+
+    scorer.backend_name = name or getattr(fn, "__name__", "custom")
+    scorer.tells_errors = True
+    return scorer

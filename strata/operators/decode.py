@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,6 +343,56 @@ def generate_batch(prompts: DataFrame, fn: GeneratorFn, schema: str | T.StructTy
     return prompts.mapInPandas(run, schema)
 
 
+def generate_batches(
+    prompts: DataFrame,
+    fn: GeneratorFn,
+    schema: str | T.StructType,
+    *,
+    batch_size: int,
+    log: str | None = None,
+    batches_per_commit: int = 256,
+    slice_start: int = 0,
+) -> DataFrame:
+    """R15 / X5 + W6: run a user generator over whole generation batches.
+
+    ``prompts`` has a column ``prompt_id`` (the ordinal); consecutive prompts from ``slice_start`` on form
+    a batch of ``batch_size``, as in ``evaluate``. A batch is one Arrow group, in the order of its prompts:
+    ``fn`` sees all of it at once, wherever its rows were, so padding to the longest prompt means the
+    same as in the run that is reproduced. ``fn`` returns rows of ``schema``; ``batch_id`` is added.
+
+    With ``log`` (a folder on storage that the cluster shares) the rows are appended there by batch
+    number, ``batches_per_commit`` batches at a time; a commit of Spark's writer is all or nothing, so a
+    batch is in the log with all its rows or not at all. Another run with the same log generates the
+    missing batches only. The result is then the log."""
+    numbered = prompts.withColumn("batch_id", F.floor((F.col("prompt_id") - F.lit(slice_start)) / F.lit(int(batch_size))).cast("long"))
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = T.StructType([T.StructField("batch_id", T.LongType()), *out.fields])
+
+    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        rows = fn(batch.drop(columns="batch_id").sort_values("prompt_id", kind="stable").reset_index(drop=True))
+        return rows.assign(batch_id=int(key[0].as_py() if hasattr(key[0], "as_py") else key[0]))[full.fieldNames()]
+
+    def made(part: DataFrame) -> DataFrame:
+        return part.groupBy("batch_id").applyInPandas(run, full)
+
+    if log is None:
+        return made(numbered)
+    spark = prompts.sparkSession
+    try:
+        done = spark.read.schema(full).parquet(log).select("batch_id").distinct()
+        numbered = numbered.join(done, "batch_id", "left_anti")
+    except AnalysisException:  # no log yet
+        pass
+    # fixed before the first append, which the anti join would otherwise see
+    left = cut_lineage(numbered)
+    ends = left.agg(F.min("batch_id"), F.max("batch_id")).first()
+    if ends[0] is not None:
+        for first in range(ends[0], ends[1] + 1, batches_per_commit):
+            part = left.where((F.col("batch_id") >= first) & (F.col("batch_id") < first + batches_per_commit))
+            made(part).write.mode("append").parquet(log)
+    return spark.read.schema(full).parquet(log)
+
+
 __all__ = [
     "END_TOKEN",
     "bigram_counts",
@@ -352,6 +403,7 @@ __all__ = [
     "diversity",
     "document_prompts",
     "generate_batch",
+    "generate_batches",
     "iid_points",
     "shaped_bigram_table",
     "split_documents",

@@ -83,6 +83,17 @@ def score_completions(
     return score(joined, scorer=scorer, builtin=score_normalized(F.col("norm"), F.col("answer_norm")))
 
 
+def scorer_failures(prompts: DataFrame, completions: DataFrame, k: int, arms: Sequence[str], scorer: ScorerFn) -> DataFrame:
+    """Per arm, how many of the first k samples a scorer made by ``isolating`` was asked for, on how
+    many it raised, and the different reasons. Columns: arm, num_scored, num_failed, num_reasons."""
+    scored, _ = score_completions(prompts, completions, k, scorer)
+    per = scored.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("n"), F.count("scorer_error").alias("bad"), F.count_distinct("scorer_error").alias("kinds")
+    )
+    every = prompts.sparkSession.createDataFrame([(a,) for a in arms], "arm string").join(per, "arm", "left")
+    return every.select("arm", *[F.coalesce(c, F.lit(0)).cast("long").alias(o) for c, o in (("n", "num_scored"), ("bad", "num_failed"), ("kinds", "num_reasons"))])
+
+
 def per_prompt_stats(scored: DataFrame) -> DataFrame:
     """A1, A2, A5 and moments for A3/A4/A8/A9 per (arm, prompt_id). The moments are integer digit
     sums of the scores and their squares, so they do not depend on the order of the samples."""

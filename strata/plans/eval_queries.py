@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.scoring import isolating
 from strata.functions.text import last_number, normalize, parse_number
 from strata.operators import report
 from strata.operators.report import COMPARED, LOGGED_DELTA
-from strata.operators.evaluate import alignment_violations, evaluate, paired_outcomes, per_prompt_outcomes
+from strata.operators.evaluate import alignment_violations, evaluate, paired_outcomes, per_prompt_outcomes, scorer_failures
 from strata.plans import sql
 from strata.plans.fixtures import ARMS, BATCH_SIZE, K, eval_completions, eval_prompts, raw_samples
 
@@ -72,6 +75,26 @@ def custom_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(prompts, completions, K, ARMS, batch_size=BATCH_SIZE, slice_start=CUSTOM_START, scorer=closeness)
 
 
+def _strict_closeness(prompt, completion, answer):
+    """Example of a scorer that raises: as ``closeness``, but multiples of 7 are an error."""
+    out = []
+    for c, a in zip(completion, answer, strict=True):
+        number = int(re.findall("[0-9]+", c)[-1])
+        if number % 7 == 0:
+            raise ValueError(f"no score for {number}")
+        out.append(1 / (1 + abs(number - float(a))))
+    return out
+
+
+def failing_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record under a scorer that raises on some rows, with the failures per arm."""
+    prompts, completions = eval_prompts(spark, sf_dir), eval_completions(spark, sf_dir)
+    scorer = isolating(_strict_closeness)
+    record = evaluate(prompts, completions, K, ARMS, batch_size=BATCH_SIZE, scorer=scorer)
+    failures = scorer_failures(prompts, completions, K, ARMS, scorer).withColumnRenamed("arm", "label")
+    return record.join(failures, "label")
+
+
 def paired_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_outcomes(eval_per_prompt(spark, sf_dir), ARMS[0], ARMS[1])
 
@@ -269,6 +292,13 @@ _SCORED_CLOSE = f"""scored AS (
 assert _SCORED in BASE_CTES
 ORACLE["custom_scorer"] = "WITH " + BASE_CTES.strip().replace(_SCORED, _SCORED_CLOSE) + "\nSELECT * FROM summary"
 
+ORACLE["failing_scorer"] = ORACLE["custom_scorer"].replace(
+    "\nSELECT * FROM summary",
+    """, failed AS (SELECT arm AS label, count(*) AS num_scored, count(*) FILTER (num % 7 = 0) AS num_failed,
+       count(DISTINCT num) FILTER (num % 7 = 0) AS num_reasons FROM scored GROUP BY arm)
+SELECT summary.*, num_scored, num_failed, num_reasons FROM summary JOIN failed USING (label)""",
+)
+
 _REPORT_ROWS = [f"SELECT 'meta.{c}' AS path, CAST({v} AS DOUBLE) AS value{f}" for c, v, f in (
     ("start", "0", ""), ("count", "max(num_prompts)", " FROM summary"), ("num_samples", str(K), ""),
     ("max_new_tokens", "256", ""), ("temperature", "0.8", ""), ("top_p", "1", ""), ("top_k", "0", ""),
@@ -288,6 +318,7 @@ QUERIES = {
     "summary_text": summary_text,
     "report_json": report_json,
     "custom_scorer": custom_scorer,
+    "failing_scorer": failing_scorer,
     "paired_outcome": paired_outcome,
     "alignment_check": alignment_check,
 }

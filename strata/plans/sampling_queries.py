@@ -148,6 +148,19 @@ def decode_eval(spark, sf_dir):
     return evaluate(prompts, comps, DECODE_G, ARMS, batch_size=EVAL_BATCH)
 
 
+def _echo(batch):
+    """Example generator: what it says depends on the whole batch (its longest prompt, the place in it)."""
+    longest = int(batch["prompt"].str.len().max())
+    said = [p.upper().ljust(longest, ".") + f" {i}" for i, p in enumerate(batch["prompt"])]
+    return batch[["prompt_id"]].assign(completion=said, padded_len=longest)
+
+
+def generate_batch(spark, sf_dir):
+    """Completions of the parts' names by a deterministic generator, batch by batch."""
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("prompt_id"), F.col("p_name").alias("prompt"))
+    return dec.generate_batches(part, _echo, "prompt_id long, completion string, padded_len long", batch_size=EVAL_BATCH)
+
+
 SHAPE_T, SHAPE_K, SHAPE_P = 0.8, 20, 0.9
 
 
@@ -183,6 +196,7 @@ QUERIES = {
     "sampler_variance": sampler_variance,
     "decode_eval": decode_eval,
     "decode_shaped": decode_shaped,
+    "generate_batch": generate_batch,
 }
 
 # --- DuckDB oracle -------------------------------------------------------------------------
@@ -388,6 +402,11 @@ SELECT arm AS label, arm AS model_path, CAST(num_prompts AS BIGINT) AS num_promp
 FROM x"""
 
 
+ORACLE["generate_batch"] = f"""
+WITH b AS (SELECT p_partkey AS prompt_id, p_name AS prompt, CAST(floor(p_partkey / {EVAL_BATCH}) AS BIGINT) AS batch_id FROM part),
+n AS (SELECT *, CAST(max(length(prompt)) OVER (PARTITION BY batch_id) AS BIGINT) AS padded_len,
+             row_number() OVER (PARTITION BY batch_id ORDER BY prompt_id) - 1 AS i FROM b)
+SELECT batch_id, prompt_id, rpad(upper(prompt), CAST(padded_len AS INTEGER), '.') || ' ' || i AS completion, padded_len FROM n"""
 ORACLE["sampler_diversity"] = _diversity_sql()
 ORACLE["decode_eval"] = _decode_eval_sql()
 

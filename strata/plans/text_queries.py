@@ -18,7 +18,7 @@ from strata.sources.tables import read_table, spread
 SLICE_START, SLICE_COUNT = 100, 500
 SPLIT_FRACTIONS = {"train": (0.0, 0.5), "eval": (0.5, 1.0)}  # halves of the whole table
 PROMPT_LEN = 4
-EOS_IDS = (1,)
+EOS_IDS = (1, 7)  # a set: whichever comes first ends the sequence
 PAD_ID = 0
 SPECIAL_IDS = (1, 2)
 MAX_PROMPT_IDS = 256
@@ -193,7 +193,18 @@ def throughput_q(spark, sf_dir):
     return batching.throughput(ev, "event_type", "ts", F.floor("value"))
 
 
+#: Rows that positional_slice takes, and those in front of it.
+POSITION_START, POSITION_COUNT = 123, 456
+
+
+def positional_slice(spark, sf_dir):
+    """S2 by position: rows of ``documents`` in file order."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return ds.positional_slice(docs, POSITION_START, POSITION_COUNT)
+
+
 QUERIES = {
+    "positional_slice": positional_slice,
     "normalize_text": normalize_text,
     "last_number": last_number_q,
     "score_ladder": score_ladder,
@@ -228,9 +239,9 @@ def _in_set(x: str, ids) -> str:
 
 _EOS = f"""{_IDS_CTE},
 c AS (SELECT doc_id, ids, ids[{PROMPT_LEN + 1}:] AS comp FROM t),
-p AS (SELECT *, CAST(coalesce(list_position(comp, {EOS_IDS[0]}), 0) AS INTEGER) AS p FROM c),
+p AS (SELECT *, CAST(coalesce(list_min(list_filter([{', '.join(f'list_position(comp, {e})' for e in EOS_IDS)}], lambda x: x > 0)), 0) AS INTEGER) AS p FROM c),
 k AS (SELECT *, CASE WHEN p > 0 THEN comp[1:p] ELSE comp END AS kept FROM p)
-SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, list_contains(comp, {EOS_IDS[0]}) AS has_eos, p AS eos_pos,
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, list_has_any(comp, {list(EOS_IDS)}) AS has_eos, p AS eos_pos,
        CAST(len(kept) AS INTEGER) AS n_kept, {_cks('kept')} AS kept_sum,
        CAST(coalesce(list_sum(list_transform(comp, lambda x, j: CASE WHEN p = 0 OR j - 1 < p THEN 1 ELSE 0 END)), 0) AS INTEGER) AS mask_sum,
        CAST(len(list_concat(ids[1:{PROMPT_LEN}], kept)) AS INTEGER) AS full_len
@@ -267,6 +278,9 @@ _INFERRED = """SELECT conv_id * 1000 + turn AS prompt_id,
 FROM conversations"""
 
 ORACLE = {
+    "positional_slice": f"""
+SELECT doc_id, lang, n_chars, n - 1 AS ordinal FROM (SELECT *, row_number() OVER () AS n FROM documents)
+WHERE n > {POSITION_START} AND n <= {POSITION_START + POSITION_COUNT}""",
     "inferred_columns": _INFERRED,
     "normalize_text": f"SELECT doc_id, {_N} AS norm FROM documents",
     "last_number": f"SELECT doc_id, {sql.last_number(_N)} AS last_num, try_cast({sql.last_number(_N)} AS DOUBLE) AS value FROM documents",
