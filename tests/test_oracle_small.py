@@ -16,7 +16,8 @@ FAST = [
     "score_ladder", "chat_as_text", "ordinal_slice", "split_leakage", "eos_truncate", "pad_strip",
     "batch_token_count", "throughput", "top_p_dist", "cdf_dist", "systematic_sample",
     "inverse_cdf_join", "sampler_variance", "decode_lattice", "decode_eval",
-    "decode_shaped", "custom_scorer", "report_json", "inferred_columns",
+    "decode_shaped", "custom_scorer", "report_json", "inferred_columns", "decode_iid", "sampler_diversity",
+    "failing_scorer", "generate_batch", "positional_slice",
 ]
 
 
