@@ -11,6 +11,7 @@ from strata.functions.text import as_text, last_number, normalize, parse_number
 from strata.operators import batching
 from strata.operators.decode import words
 from strata.plans import sql
+from strata.session import cut_lineage
 from strata.sources import dataset as ds
 from strata.sources.tables import read_table, spread
 
@@ -119,7 +120,8 @@ def holdout_split_q(spark, sf_dir):
 
 
 def split_leakage(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", ds.text_digest(F.col("text")).alias("digest"))
+    # narrow and written once: the range bounds and both sides of the join would each read the texts again
+    d = cut_lineage(_docs_spread(spark, sf_dir).select("doc_id", ds.text_digest(F.col("text")).alias("digest")))
     return ds.leakage(_split(d), "digest", digest=True).select("doc_id", "ordinal")
 
 
