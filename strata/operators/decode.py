@@ -1,7 +1,7 @@
 """Multi-step decoding against a transition table.
 
 The next-token distribution comes from a table ``(context, token, lo, hi)`` — here bigram counts
-of a corpus (R8) — instead of a model call. A table of a checked size is broadcast and every task
+of a corpus (R8; longer contexts with back-off in ``operators.ngram``) — instead of a model call. A table of a checked size is broadcast and every task
 decodes its sequences to the end; a larger one is joined step by step with the *open* sequences
 through the inverse-CDF lookup, finished ones leaving the frontier. The frontier is checkpointed to
 the cluster's checkpoint folder every few steps (reliable: a lost executor does not lose it), so the
@@ -123,13 +123,14 @@ def decode_arms(
 
     ``prompts``: (group_id, context[, max_tokens]) — the context is the prompt's last token, and
     ``max_tokens`` bounds this prompt's steps (as ``max_steps`` bounds all; 0 gives empty completions).
-    ``dist``: (context, token, lo, hi).
+    ``dist``: (context, token, lo, hi[, next]) — ``next`` is the context that follows a row (see
+    ``operators.ngram``), the token itself without it.
     ``methods``: ``lattice`` (one shared shift per group, code point renormalised each step) and
     ``iid`` (a fresh keyed uniform per group, sample and step); all are decoded together.
     Output: (arm, group_id, g, out ARRAY<STRING> up to and including EOS, finished BOOLEAN, steps INT).
 
-    The table is counted first. Up to ``local_rows`` rows it is broadcast as arrays and each task
-    decodes its sequences to the end by binary search, without a shuffle. A larger table stays where it
+    The table is counted first. Up to ``local_rows`` rows (half as many with ``next``) it is broadcast
+    as arrays and each task decodes its sequences to the end by binary search, without a shuffle. A larger table stays where it
     is: see ``_decode_by_joins``. Both give the same tokens. A lattice point that has used up the bits
     of its double goes on with what renormalisation leaves.
     """
@@ -147,8 +148,10 @@ def decode_arms(
     if max_steps <= 0:
         empty = F.array().cast(T.ArrayType(T.StringType()))
         return start.select("arm", "group_id", "g", empty.alias("out"), F.lit(False).alias("finished"), F.lit(0).alias("steps"))
-    wide = cut_lineage(dist.select("context", "token", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).where("hi > lo"))
-    if wide.count() <= local_rows:
+    leads = ["next"] if "next" in dist.columns else []
+    bounds = [F.col(x).cast("double").alias(x) for x in ("lo", "hi")]
+    wide = cut_lineage(dist.select("context", "token", *bounds, *leads).where("hi > lo"))
+    if wide.count() <= local_rows // (1 + len(leads)):
         return _decode_in_tasks(start, wide, seed, list(eos))
     return _decode_by_joins(start, wide, seed, list(eos), int(max_steps), int(checkpoint_every))
 
@@ -163,14 +166,14 @@ class _Table:
     hi: np.ndarray
     token: np.ndarray  # number of the token
     tokens: list[str]
-    leads: np.ndarray  # token number to context number, -1 without one
+    leads: np.ndarray  # the number of the context that follows each row, -1 without one
 
     @staticmethod
     def read(wide: DataFrame) -> _Table:
         t = wide.where("context IS NOT NULL AND token IS NOT NULL").toArrow().combine_chunks()
         if not t.num_rows:
             none = np.zeros(0)
-            return _Table([], np.zeros(1, dtype=np.int64), none, none, none.astype(np.int64), [], none.astype(np.int64))
+            return _Table([], np.zeros(1, dtype=np.int64), none, none, none.astype(np.int32), [], none.astype(np.int32))
         context = t.column("context").chunk(0).dictionary_encode()
         token = t.column("token").chunk(0).dictionary_encode()
         at, hi, lo = context.indices.to_numpy(), t.column("hi").to_numpy(), t.column("lo").to_numpy()
@@ -178,8 +181,9 @@ class _Table:
         contexts, tokens = context.dictionary.to_pylist(), token.dictionary.to_pylist()
         first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(contexts)))])
         place = {c: i for i, c in enumerate(contexts)}
-        leads = np.array([place.get(x, -1) for x in tokens], dtype=np.int64)
-        return _Table(contexts, first, lo[order], hi[order], token.indices.to_numpy()[order].astype(np.int64), tokens, leads)
+        after = t.column("next").chunk(0).dictionary_encode() if "next" in t.column_names else token
+        leads = np.array([place.get(x, -1) for x in after.dictionary.to_pylist()], dtype=np.int32)[after.indices.to_numpy()]
+        return _Table(contexts, first, lo[order], hi[order], token.indices.to_numpy()[order], tokens, leads[order])
 
     def find(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The row of each context whose interval holds ``c``; -1 where there is none."""
@@ -228,7 +232,7 @@ def _decode_in_tasks(start: DataFrame, wide: DataFrame, seed: int, eos: list[str
                 token, lo, hi = t.token[row], t.lo[row], t.hi[row]
                 c[active] = np.minimum(np.maximum((c[active] - lo) / np.maximum(hi - lo, MIN_PROB), 0.0), 1.0)
                 said.append((active, token))
-                cur[active] = t.leads[token]
+                cur[active] = t.leads[row]
                 finished[active] = end_token[token]
                 step += 1
                 active = active[~end_token[token] & (limit[active] > step)]
@@ -255,7 +259,8 @@ def _decode_by_joins(start: DataFrame, wide: DataFrame, seed: int, eos: list[str
     the last ``every`` steps). Every ``every`` steps it is checkpointed; that checkpoint is at the same
     time the log of these steps, so a token is written once and the bytes grow with the tokens, not
     with their square. The logs are put together by sequence at the end."""
-    table = interval_table(wide)
+    leads = "next" if "next" in wide.columns else "token"
+    table = interval_table(wide, take=dict.fromkeys(["token", leads]))
     strings = T.ArrayType(T.StringType())
     front = start.select("*", F.array().cast(strings).alias("recent"), (F.col("limit") > 0).alias("open"), F.lit(False).alias("finished"))
     logs, step = [], 0
@@ -270,7 +275,7 @@ def _decode_by_joins(start: DataFrame, wide: DataFrame, seed: int, eos: list[str
             front = hit.select(
                 "arm", "group_id", "g",
                 F.coalesce(renormalise(F.col("c"), F.col("lo"), F.col("hi")), F.col("c")).alias("c"),
-                F.coalesce(token, F.col("cur")).alias("cur"),
+                F.coalesce(F.col(leads), F.col("cur")).alias("cur"),
                 "limit",
                 F.when(none, F.col("recent")).otherwise(F.array_append("recent", token)).alias("recent"),
                 (F.col("open") & ~ended & (F.col("limit") > step + 1)).alias("open"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import decode as dec
 from strata.operators import distribution as dist
+from strata.operators import ngram
 from strata.operators import sampling as smp
 from strata.operators.evaluate import evaluate
 from strata.operators.lookup import interval_table, lookup_intervals
@@ -173,6 +174,28 @@ def decode_shaped(spark, sf_dir):
     return out.select("arm", "group_id", "g", F.array_join("out", " ").alias("completion"))
 
 
+# Words of an n-gram, and how often a context of several words must occur to be known.
+ORDER, MIN_COUNT = 3, 3
+
+
+def _ngrams(spark, sf_dir) -> DataFrame:
+    return ngram.ngram_counts(read_table(spark, sf_dir, "documents"), ORDER, min_count=MIN_COUNT)
+
+
+def ngram_table_q(spark, sf_dir):
+    """Contexts of one and two words with their intervals and the context that follows each token."""
+    return ngram.ngram_table(_ngrams(spark, sf_dir), ORDER, MIN_COUNT)
+
+
+def decode_ngram(spark, sf_dir):
+    """R7 + R8: both arms over the table of one- and two-word contexts, backing off to the longest known."""
+    counts = _ngrams(spark, sf_dir)
+    prompts = ngram.ngram_prompts(read_table(spark, sf_dir, "documents"), counts, ORDER)
+    table = ngram.ngram_table(counts, ORDER, MIN_COUNT)
+    out = dec.decode_arms(prompts, table, num_samples=DECODE_G, max_steps=DECODE_STEPS, methods=ARMS, seed=SEED)
+    return out.select("arm", "group_id", "g", F.array_join("out", " ").alias("completion"), "finished", "steps")
+
+
 def sampler_variance(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -199,6 +222,8 @@ QUERIES = {
     "decode_eval": decode_eval,
     "decode_shaped": decode_shaped,
     "generate_batch": generate_batch,
+    "ngram_table": ngram_table_q,
+    "decode_ngram": decode_ngram,
 }
 
 # --- DuckDB oracle -------------------------------------------------------------------------
@@ -431,3 +456,48 @@ _COUNT_DIST = _BIGRAM_CTES[_BIGRAM_CTES.index("dist AS MATERIALIZED") : _BIGRAM_
 ORACLE["decode_shaped"] = _decode_sql(ARMS).replace(_COUNT_DIST, _SHAPED_DIST) + (
     "SELECT arm, group_id, g, array_to_string(out, ' ') AS completion FROM dec"
 )
+
+# Contexts of one and two words; the walk below keeps its last two words and looks the pair up at every
+# step, so it does not use the column "next" that the Spark side decodes with.
+_NGRAM_CTES = f"""
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (
+  SELECT unnest([1, 2]) AS m, w, i FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE len(w) > 0)
+),
+pairs AS (
+  SELECT m, CASE m WHEN 1 THEN w[i] ELSE w[i - 1] || ' ' || w[i] END AS context, coalesce(w[i + 1], '{dec.END_TOKEN}') AS token
+  FROM grams WHERE i >= m
+),
+bg AS (SELECT m, context, token, CAST(count(*) AS BIGINT) AS cnt FROM pairs GROUP BY ALL),
+kept AS (SELECT * FROM bg QUALIFY m = 1 OR sum(cnt) OVER (PARTITION BY m, context) >= {MIN_COUNT}),
+known AS MATERIALIZED (SELECT DISTINCT context FROM kept WHERE m = 2),
+dist AS MATERIALIZED (
+  SELECT context, token, cnt,
+    coalesce(sum(cnt) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      / sum(cnt) OVER (PARTITION BY context) AS lo,
+    sum(cnt) OVER (PARTITION BY context ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      / sum(cnt) OVER (PARTITION BY context) AS hi
+  FROM kept
+)"""
+ORACLE["ngram_table"] = "WITH " + _NGRAM_CTES.strip() + f"""
+SELECT d.context, token, cnt, lo, hi,
+       CASE WHEN token = '{dec.END_TOKEN}' THEN token ELSE coalesce(k.context, token) END AS "next"
+FROM dist d LEFT JOIN known k ON k.context = string_split(d.context, ' ')[-1] || ' ' || token"""
+ORACLE["decode_ngram"] = "WITH RECURSIVE " + _NGRAM_CTES.strip() + f""",
+prompts AS (SELECT doc_id AS group_id, w[len(w) - len(w) * {dec.TAIL_PERCENT} // 100 - 1] AS w1,
+                   w[len(w) - len(w) * {dec.TAIL_PERCENT} // 100] AS w2,
+                   least(len(w) * {dec.TAIL_PERCENT} // 100 + 1, {dec.MAX_NEW_TOKENS}) AS lim FROM docs WHERE len(w) > 0),
+points AS (SELECT *, {_g_seq(DECODE_G)} AS g FROM (SELECT *, {sql.keyed_uniform(f"concat_ws(':', '{SEED}', group_id)")} AS u FROM prompts)),
+walk AS (
+  SELECT unnest([{", ".join(f"'{m}'" for m in ARMS)}]) AS arm, group_id, g, lim, 0 AS step, (g + u) / {float(DECODE_G)!r} AS c,
+         w1, w2, NULL::VARCHAR AS token
+  FROM points
+  UNION ALL
+  SELECT s.arm, s.group_id, s.g, s.lim, s.step + 1 AS step,
+         least(greatest((s.x - d.lo) / greatest(d.hi - d.lo, 1e-10), 0.0::DOUBLE), 1.0::DOUBLE) AS c, s.w2 AS w1, d.token AS w2, d.token AS token
+  FROM (SELECT w.*, coalesce(k.context, w.w2) AS known_context, CASE WHEN w.arm = 'iid' THEN {_iid_c("w.step", "w")} ELSE w.c END AS x
+        FROM walk w LEFT JOIN known k ON k.context = w.w1 || ' ' || w.w2 WHERE w.step < w.lim AND w.w2 <> '{dec.END_TOKEN}') s
+  JOIN dist d ON d.context = s.known_context AND s.x <= d.hi AND (s.x > d.lo OR (s.x <= 0 AND d.lo = 0)))
+SELECT arm, group_id, g, coalesce(array_to_string(list(token ORDER BY step) FILTER (token IS NOT NULL), ' '), '') AS completion,
+       max(CASE WHEN token = '{dec.END_TOKEN}' THEN 1 ELSE 0 END) = 1 AS finished, CAST(count(token) AS INTEGER) AS steps
+FROM walk GROUP BY ALL"""
