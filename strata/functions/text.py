@@ -94,10 +94,36 @@ def _field_names(dt: T.StructType) -> list[str]:
     return [f.name for f in dt.fields]
 
 
+#: Levels of nesting that ``variant_text`` follows; what lies deeper is given as JSON text.
+VARIANT_DEPTH = 8
+
+
+def variant_text(v: Column, depth: int = VARIANT_DEPTH) -> Column:
+    """T8 for a VARIANT: the rules of ``as_text_expr``, chosen by the value of each cell at run time, so
+    that strings, chats, dicts, lists and numbers may stand in one column.
+
+    A dict with a text key becomes a list of one, a chat the list of its contents, so each level has
+    one nested expression and the plan grows with ``depth``, not with its power."""
+    plain = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))  # a dict or list: its JSON text
+    if depth <= 0:
+        return plain
+    kind = F.schema_of_variant(v)
+    under_key = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in TEXT_KEYS])
+    chat = F.startswith(kind, F.lit("ARRAY")) & F.try_variant_get(v, "$[0].content", "variant").isNotNull()
+    items = F.try_variant_get(v, "$", "array<variant>")
+    items = F.when(chat, F.transform(items, lambda x: F.try_variant_get(x, "$.content", "variant"))).otherwise(items)
+    parts = F.when(F.startswith(kind, F.lit("ARRAY")), items)
+    parts = parts.when(F.startswith(kind, F.lit("OBJECT")) & under_key.isNotNull(), F.array(under_key))
+    texts = F.transform(parts, lambda x: variant_text(x, depth - 1))
+    kept = F.filter(texts, lambda t: ~chat | (t != F.lit("")))
+    return F.coalesce(F.array_join(kept, "\n"), plain)
+
+
 def as_text_expr(col: Column, dt: T.DataType) -> Column:
     """Build a text expression for a column of static type ``dt``.
 
-    Dispatch happens once, at plan time, on the Spark type (no UDF):
+    Dispatch happens once, at plan time, on the Spark type (no UDF); a VARIANT is dispatched on the
+    value of each cell (``variant_text``):
 
     * null -> ``""``; string -> itself (JSON text is not parsed)
     * array of struct/map holding ``content`` (chat) -> non-empty contents joined by newline
@@ -110,6 +136,8 @@ def as_text_expr(col: Column, dt: T.DataType) -> Column:
         return F.coalesce(col, F.lit(""))
     if isinstance(dt, T.NullType):
         return F.lit("")
+    if isinstance(dt, T.VariantType):
+        return variant_text(col)
     if isinstance(dt, T.StructType):
         names = _field_names(dt)
         for key in TEXT_KEYS:

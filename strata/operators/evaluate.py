@@ -94,6 +94,30 @@ def scorer_failures(prompts: DataFrame, completions: DataFrame, k: int, arms: Se
     return every.select("arm", *[F.coalesce(c, F.lit(0)).cast("long").alias(o) for c, o in (("n", "num_scored"), ("bad", "num_failed"), ("kinds", "num_reasons"))])
 
 
+#: Logarithm of the registers of a distinct-count sketch (4,096: at most 2.5 KB a stored sketch).
+SKETCH_LG_K = 12
+
+
+def unique_sketches(rows: DataFrame, by: Sequence[str], text: str = "completion", lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """A5, mergeable: per group, the number of rows and a HyperLogLog sketch of the normalised texts
+    (columns num_rows, unique_sketch). Sketches are combined in each task before the shuffle. The table can
+    be stored and merged later, over any coarser grouping, without the texts."""
+    normal = rows.withColumn("_norm", normalize(F.col(text)))
+    return normal.groupBy(*by).agg(F.count(F.lit(1)).alias("num_rows"), F.hll_sketch_agg("_norm", lg_k).alias("unique_sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The union of stored sketches per group of ``by``: num_rows, unique_sketch (again mergeable) and
+    num_unique, the estimate. Its relative standard error is ``sketch_error(lg_k)``."""
+    merged = sketches.groupBy(*by).agg(F.sum("num_rows").alias("num_rows"), F.hll_union_agg("unique_sketch").alias("unique_sketch"))
+    return merged.withColumn("num_unique", F.hll_sketch_estimate("unique_sketch"))
+
+
+def sketch_error(lg_k: int = SKETCH_LG_K) -> float:
+    """Relative standard error of a merged estimate: 1.04 / sqrt(registers)."""
+    return 1.04 / (1 << lg_k) ** 0.5
+
+
 def per_prompt_stats(scored: DataFrame) -> DataFrame:
     """A1, A2, A5 and moments for A3/A4/A8/A9 per (arm, prompt_id). The moments are integer digit
     sums of the scores and their squares, so they do not depend on the order of the samples."""

@@ -6,9 +6,11 @@ that the reports stay DataFrames derived from the distributed evaluation, never
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,16 +228,32 @@ class RunConfig:
     arithmetic_model: str
 
 
+#: Partition column of a written log; a text that no reader takes for a number or a date.
+RUN_KEY = "run_key"
+
+
 def write_metric_log(log: DataFrame, path: str, run_name: str, config: RunConfig | None = None) -> bool:
-    """S8 + S11 + S12: append the flat metrics with the run name (and the run configuration as
-    columns); a failing sink only warns."""
+    """S8 + S11 + S12: write the flat metrics with the run name (and the run configuration as columns)
+    as the partition of this run. Only this partition is replaced (dynamic overwrite), so a run that is
+    repeated, after a failure for instance, leaves its rows once and those of other runs as they are. A
+    failing sink only warns."""
     try:
         out = log.withColumn("run", F.lit(run_name)).withColumn("logged_at", F.current_timestamp())
         if config is not None:
             for k, v in config.__dict__.items():
                 out = out.withColumn(f"config_{k}", F.lit(v))
-        out.write.mode("append").parquet(path)
+        out = out.withColumn(RUN_KEY, F.concat(F.lit("run-"), F.md5("run")))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN_KEY).parquet(path)
         return True
     except Exception as exc:  # noqa: BLE001 - logging must never fail the run
         print(f"[warn] metric log failed: {type(exc).__name__}: {exc}")
         return False
+
+
+def read_metric_log(spark: SparkSession, path: str, runs: Sequence[str] | None = None) -> DataFrame:
+    """The rows of a written log; with ``runs`` only the partitions of these runs are read. Runs logged
+    without a configuration have null in the columns of one."""
+    log = spark.read.option("mergeSchema", "true").parquet(path)
+    if runs is not None:
+        log = log.where(F.col(RUN_KEY).isin(*["run-" + hashlib.md5(r.encode()).hexdigest() for r in runs]))
+    return log.drop(RUN_KEY)

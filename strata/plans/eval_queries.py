@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,20 @@ from strata.functions.scoring import isolating
 from strata.functions.text import last_number, normalize, parse_number
 from strata.operators import report
 from strata.operators.report import COMPARED, LOGGED_DELTA
-from strata.operators.evaluate import alignment_violations, evaluate, paired_outcomes, per_prompt_outcomes, scorer_failures
+from strata.operators.evaluate import (
+    alignment_violations,
+    evaluate,
+    merge_sketches,
+    paired_outcomes,
+    per_prompt_outcomes,
+    scorer_failures,
+    sketch_error,
+    unique_sketches,
+)
 from strata.plans import sql
 from strata.plans.fixtures import ARMS, BATCH_SIZE, K, eval_completions, eval_prompts, raw_samples
+from strata.session import cut_lineage, ensure_checkpoint_dir
+from strata.sources.tables import read_table, spread
 
 # --- Spark side ----------------------------------------------------------------------------
 
@@ -35,6 +47,19 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.metric_log(eval_summary(spark, sf_dir), ARMS[0], ARMS[1])
 
 
+def metric_log_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + S12: the log of two runs, the second of which was written twice, read back for that one and
+    as a whole. The log lies in the shared folder of the cluster."""
+    path = f"{ensure_checkpoint_dir(spark)}/metric-log-{uuid.uuid4().hex}"
+    log = cut_lineage(metric_log(spark, sf_dir))
+    for run, scale in (("first", 1.0), ("second", -1.0), ("second", 1.0)):
+        if not report.write_metric_log(log.withColumn("value", F.col("value") * scale), path, run):
+            raise RuntimeError("the metric log was not written")
+    every = report.read_metric_log(spark, path).select(F.lit("all").alias("read"), "run", "metric", "value")
+    one = report.read_metric_log(spark, path, ["second"]).select(F.lit("one").alias("read"), "run", "metric", "value")
+    return every.unionByName(one)
+
+
 def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary_lines(report.compare_arms(eval_summary(spark, sf_dir), ARMS[0], ARMS[1]))
 
@@ -104,6 +129,19 @@ def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_violations(eval_prompts(spark, sf_dir), raw_samples(spark, sf_dir), K, ARMS)
 
 
+def unique_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: distinct normalised texts per language, exact beside the union of stored sketches per
+    (language, source): whether the estimate is within three standard errors."""
+    docs = read_table(spark, sf_dir, "documents").select("lang", "source", "text")
+    stored = cut_lineage(unique_sketches(spread(docs), ["lang", "source"], "text"))
+    merged = merge_sketches(stored, ["lang"]).select("lang", "num_rows", "num_unique")
+    exact = docs.groupBy("lang").agg(F.count_distinct(normalize(F.col("text"))).alias("num_exact"))
+    off = F.abs(F.col("num_unique") - F.col("num_exact")) / F.greatest(F.col("num_exact"), F.lit(1))
+    return merged.join(exact.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).select(
+        "lang", "num_rows", "num_exact", (off <= 3 * sketch_error()).alias("within")
+    )
+
+
 # --- DuckDB oracle -------------------------------------------------------------------------
 
 _ARM_CASE = "CASE l_linestatus WHEN 'F' THEN 'baseline' WHEN 'O' THEN 'arithmetic' ELSE l_linestatus END"
@@ -310,11 +348,22 @@ ORACLE["report_json"] = _with(
     CMP_CTE + " UNION ALL ".join([*_REPORT_ROWS, "SELECT 'delta.' || metric AS path, delta AS value FROM cmp"])
 )
 
+ORACLE["metric_log_rerun"] = (
+    'SELECT "read", run, metric, value FROM (VALUES (\'all\', \'first\'), (\'all\', \'second\'), (\'one\', \'second\')) r("read", run) '
+    f"CROSS JOIN ({ORACLE['metric_log']})"
+)
+ORACLE["unique_sketch"] = (
+    f"SELECT lang, CAST(count(*) AS BIGINT) AS num_rows, CAST(count(DISTINCT {sql.normalize('text')}) AS BIGINT) AS num_exact, "
+    "true AS within FROM documents GROUP BY lang"
+)
+
 QUERIES = {
     "eval_summary": eval_summary,
     "eval_per_prompt": eval_per_prompt,
     "ab_delta": ab_delta,
     "metric_log": metric_log,
+    "metric_log_rerun": metric_log_rerun,
+    "unique_sketch": unique_sketch,
     "summary_text": summary_text,
     "report_json": report_json,
     "custom_scorer": custom_scorer,

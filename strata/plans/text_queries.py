@@ -87,6 +87,28 @@ def chat_text(conv: DataFrame, block: int = CHAT_BLOCK) -> DataFrame:
     )
 
 
+def mixed_cells(spark, sf_dir):
+    """T8 at run time: every turn as one of six kinds of JSON cell (string, chat, nested dict, nested
+    list, dict without a text key, null) in a single VARIANT column, flattened to text."""
+    conv = read_table(spark, sf_dir, "conversations")
+    kind = F.pmod(F.coalesce(F.col("conv_id") + F.col("turn"), F.lit(0)), F.lit(6))
+    text, turn = F.coalesce("text", F.lit("")), F.coalesce("turn", F.lit(0))
+    quoted = F.to_json(F.array(text))  # ["..."]
+    message = F.struct(F.lit("user").alias("role"), text.alias("content"))
+    empty = F.struct(F.lit("system").alias("role"), F.lit("").alias("content"))
+    nested = F.struct(F.struct(turn.alias("answer")).alias("value"), text.alias("question"))
+    cell = (
+        F.when(kind == 0, F.expr("substr(q, 2, length(q) - 2)"))
+        .when(kind == 1, F.to_json(F.array(empty, message)))
+        .when(kind == 2, F.to_json(nested))
+        .when(kind == 3, F.concat(F.lit('[{"text": '), F.expr("substr(q, 2, length(q) - 2)"), F.lit("}, ["), turn.cast("string"), F.lit(", true], null]")))
+        .when(kind == 4, F.concat(F.lit('{"page": '), turn.cast("string"), F.lit("}")))
+        .otherwise(F.lit("null"))
+    )
+    cells = conv.withColumn("q", quoted).select("conv_id", "turn", F.parse_json(cell).alias("cell"))
+    return cells.select("conv_id", "turn", as_text(cells, "cell").alias("text"))
+
+
 def ordinal_slice_q(spark, sf_dir):
     d = _docs(spark, sf_dir)
     out, _, _ = ds.load_eval_slice(d, ["doc_id"], SLICE_START, SLICE_COUNT, prompt_column="text", answer_column="source", key=["doc_id"])
@@ -211,6 +233,7 @@ QUERIES = {
     "last_number": last_number_q,
     "score_ladder": score_ladder,
     "chat_as_text": chat_as_text,
+    "mixed_cells": mixed_cells,
     "ordinal_slice": ordinal_slice_q,
     "holdout_split": holdout_split_q,
     "split_leakage": split_leakage,
@@ -279,7 +302,19 @@ _INFERRED = """SELECT conv_id * 1000 + turn AS prompt_id,
        concat_ws(chr(10), nullif(role, ''), nullif(text, '')) AS prompt, coalesce(CAST(turn AS VARCHAR), '') AS answer
 FROM conversations"""
 
+# The text that the rules give for each kind of cell, written down by kind.
+_MIXED = """
+SELECT conv_id, turn, CASE kind
+    WHEN 0 THEN txt
+    WHEN 1 THEN txt
+    WHEN 2 THEN CAST(n AS VARCHAR)
+    WHEN 3 THEN txt || chr(10) || n || chr(10) || 'true' || chr(10)
+    WHEN 4 THEN '{"page":' || n || '}'
+    ELSE '' END AS text
+FROM (SELECT conv_id, turn, coalesce(text, '') AS txt, coalesce(turn, 0) AS n, coalesce(conv_id + turn, 0) % 6 AS kind FROM conversations)"""
+
 ORACLE = {
+    "mixed_cells": _MIXED,
     "positional_slice": f"""
 SELECT doc_id, lang, n_chars, n - 1 AS ordinal FROM (SELECT *, row_number() OVER () AS n FROM documents)
 WHERE n > {POSITION_START} AND n <= {POSITION_START + POSITION_COUNT}""",

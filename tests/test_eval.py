@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators import report
-from strata.operators.evaluate import alignment_violations, evaluate, paired_outcomes, per_prompt_outcomes
+from strata.operators.evaluate import alignment_violations, evaluate, merge_sketches, paired_outcomes, per_prompt_outcomes, sketch_error, unique_sketches
 
 ARMS = ["baseline", "arithmetic"]
 
@@ -198,3 +198,40 @@ def test_fixed6_of_large_values(spark):
     xs = [1e9 + 0.1, -123456789012.34567, 4e15 + 0.5, 2.0**62, 1e9, 1234567890.9999999]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     assert [r.s for r in df.select(report.fixed6(F.col("x")).alias("s")).collect()] == ["%.6f" % x for x in xs]
+
+
+def test_a_repeated_run_is_logged_once(spark, tmp_path):
+    """Run names that look like numbers, a run without a configuration, and one logged again with fewer rows."""
+    path = str(tmp_path / "log")
+    cfg = report.RunConfig("d", "train", 0, 3, 2, 256, 0.8, 1.0, 0, "b", "m0", "m1")
+
+    def log(n):
+        return spark.range(n).selectExpr("concat('m', id) AS metric", "CAST(id AS DOUBLE) AS value")
+
+    for run, n, config in (("007", 4, None), ("7", 3, cfg), ("7", 2, cfg), ("a b/c=é", 5, None)):
+        assert report.write_metric_log(log(n), path, run, config)
+    back = report.read_metric_log(spark, path)
+    assert {r.run: r.n for r in back.groupBy("run").agg(F.count("*").alias("n")).collect()} == {"007": 4, "7": 2, "a b/c=é": 5}
+    assert {r.config_top_p for r in report.read_metric_log(spark, path, ["7"]).collect()} == {1.0}
+    assert report.read_metric_log(spark, path, ["none"]).count() == 0
+    (tmp_path / "file").write_text("x")
+    assert report.write_metric_log(log(1), str(tmp_path / "file" / "log"), "r") is False  # warns only
+
+
+def test_sketches_merge_to_the_estimate_of_all_rows(spark, tmp_path):
+    """Stored per (arm, prompt), merged per arm: within three standard errors, and the same whatever the
+    grouping they came from. Null texts, repeated rows, an empty table."""
+    rows = spark.range(60_000).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('arm', id % 2)) AS arm", "id % 100 AS prompt_id", "IF(id % 50 = 0, NULL, concat(' Text  ', id % 20011)) AS completion"
+    )
+    stored = unique_sketches(rows, ["arm", "prompt_id"])
+    stored.write.parquet(str(tmp_path / "sketches"))
+    got = {r.arm: r for r in merge_sketches(spark.read.parquet(str(tmp_path / "sketches")), ["arm"]).collect()}
+    want = rows.groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("completion").alias("d")).collect()
+    assert len(got) == 3
+    for r in want:
+        assert got[r.arm].num_rows == r.n
+        assert abs(got[r.arm].num_unique - r.d) <= 3 * sketch_error() * r.d
+    both = merge_sketches(merge_sketches(stored, ["arm"]).drop("num_unique"), []).first()
+    assert both.num_unique == merge_sketches(stored, []).first().num_unique and both.num_rows == 60_000
+    assert merge_sketches(unique_sketches(rows.limit(0), ["arm"]), ["arm"]).count() == 0

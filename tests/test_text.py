@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.scoring import score_expr
-from strata.functions.text import as_text_expr, last_number, normalize
+from strata.functions.text import as_text, as_text_expr, last_number, normalize
 from strata.sources.dataset import ANSWER_CANDIDATES, PROMPT_CANDIDATES, resolve_column
 
 
@@ -99,3 +99,24 @@ def test_chat_text_blocks(spark):
 def test_as_text_map_with_int_keys(spark):
     df = spark.createDataFrame([({1: "a"},)], "m map<int,string>")
     assert _one_col(df, "m") == ['{"1":"a"}']
+
+
+def test_variant_cells_are_dispatched_by_value(spark):
+    """Each cell by its own kind, as the recursive rules give it."""
+    from strata.functions.text import variant_text
+
+    cells = [
+        ('"plain"', "plain"), ('""', ""), ("null", ""), ("12", "12"), ("true", "true"), ("[]", ""), ("{}", "{}"), (None, ""),
+        ('[{"role": "s", "content": ""}, {"content": "a"}, {"role": "x"}, {"content": "b"}]', "a\nb"),
+        ('[{"role": "x"}, {"content": "b"}]', '{"role":"x"}\nb'),
+        ('{"solution": "s", "answer": "a"}', "a"), ('{"text": null, "answer": "a"}', ""),
+        ('{"value": {"content": ["x", {"text": "y"}, ["z", null]]}}', "x\ny\nz\n"),
+        ('["a", "", "b"]', "a\n\nb"), ('{"b": [1, 2]}', '{"b":[1,2]}'), ('"[1, 2]"', "[1, 2]"),
+        ('{"text": "line\\nbreak \\u00e9"}', "line\nbreak é"),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cells)], "id int, c string").withColumn("v", F.parse_json("c"))
+    got = {r.id: r.t for r in df.select("id", as_text(df, "v").alias("t")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cells)}
+    deep = "[" * 12 + '"x"' + "]" * 12
+    one = spark.createDataFrame([(deep,)], "c string").withColumn("v", F.parse_json("c"))
+    assert one.select(variant_text(F.col("v")).alias("t")).first().t == "[" * 4 + '"x"' + "]" * 4
