@@ -47,17 +47,23 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.metric_log(eval_summary(spark, sf_dir), ARMS[0], ARMS[1])
 
 
+#: The logged configuration of the rerun below.
+RERUN_CONFIG = report.RunConfig("part x lineitem", "all", 0, 512, K, 256, 0.8, 1.0, 0, "builtin", *ARMS)
+
+
 def metric_log_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S8 + S12: the log of two runs, the second of which was written twice, read back for that one and
-    as a whole. The log lies in the shared folder of the cluster."""
+    """S8 + S11 + S12: the log of two runs, read back as a whole and for the second one. That one was
+    written twice, with its configuration, and ``kept_going`` says that a sink that cannot be written to
+    did not stop it. The log lies in the shared folder of the cluster."""
     path = f"{ensure_checkpoint_dir(spark)}/metric-log-{uuid.uuid4().hex}"
     log = cut_lineage(metric_log(spark, sf_dir))
-    for run, scale in (("first", 1.0), ("second", -1.0), ("second", 1.0)):
-        if not report.write_metric_log(log.withColumn("value", F.col("value") * scale), path, run):
+    kept_going = not report.write_metric_log(log, "no-such-file-system://log", "second")
+    for run, scale, config in (("first", 1.0, None), ("second", -1.0, RERUN_CONFIG), ("second", 1.0, RERUN_CONFIG)):
+        if not report.write_metric_log(log.withColumn("value", F.col("value") * scale), path, run, config):
             raise RuntimeError("the metric log was not written")
-    every = report.read_metric_log(spark, path).select(F.lit("all").alias("read"), "run", "metric", "value")
-    one = report.read_metric_log(spark, path, ["second"]).select(F.lit("one").alias("read"), "run", "metric", "value")
-    return every.unionByName(one)
+    reads = {"all": report.read_metric_log(spark, path), "one": report.read_metric_log(spark, path, ["second"])}
+    cols = ["run", "metric", "value", "config_dataset", "config_num_samples", "config_temperature", F.lit(kept_going).alias("kept_going")]
+    return reads["all"].select(F.lit("all").alias("read"), *cols).unionByName(reads["one"].select(F.lit("one").alias("read"), *cols))
 
 
 def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,9 +354,10 @@ ORACLE["report_json"] = _with(
     CMP_CTE + " UNION ALL ".join([*_REPORT_ROWS, "SELECT 'delta.' || metric AS path, delta AS value FROM cmp"])
 )
 
+_RUNS = "('all', 'first', NULL, NULL, NULL), " + ", ".join(f"('{r}', 'second', 'part x lineitem', {K}, 0.8::DOUBLE)" for r in ("all", "one"))
 ORACLE["metric_log_rerun"] = (
-    'SELECT "read", run, metric, value FROM (VALUES (\'all\', \'first\'), (\'all\', \'second\'), (\'one\', \'second\')) r("read", run) '
-    f"CROSS JOIN ({ORACLE['metric_log']})"
+    "SELECT r.*, metric, value, true AS kept_going "
+    f'FROM (VALUES {_RUNS}) r("read", run, config_dataset, config_num_samples, config_temperature) CROSS JOIN ({ORACLE["metric_log"]})'
 )
 ORACLE["unique_sketch"] = (
     f"SELECT lang, CAST(count(*) AS BIGINT) AS num_rows, CAST(count(DISTINCT {sql.normalize('text')}) AS BIGINT) AS num_exact, "

@@ -18,6 +18,7 @@ FAST = [
     "inverse_cdf_join", "sampler_variance", "decode_lattice", "decode_eval",
     "decode_shaped", "custom_scorer", "report_json", "inferred_columns", "decode_iid", "sampler_diversity",
     "failing_scorer", "generate_batch", "positional_slice",
+    "ngram_table", "decode_ngram", "mixed_cells", "unique_sketch", "metric_log_rerun",
 ]
 
 
