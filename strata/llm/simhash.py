@@ -2,24 +2,25 @@
 
 1. Fingerprints: 64 bits per document from the XXH64 hashes of its word shingles (Arrow batches,
    one document at a time, long documents in slices of hashes).
-2. Distinct fingerprints get a pivot table: their Hamming distances to ``PIVOTS`` reference
-   fingerprints, one byte each, packed into a long. By the triangle inequality two fingerprints at
-   distance <= d differ by at most d in every coordinate, so a pair whose largest coordinate
-   difference exceeds d is discarded; survivors are verified by the bit count of the XOR.
-3. Pairs to hold against the table come from buckets: the 64 bits are split into d + 2 blocks, and
-   d differing bits leave at least two blocks untouched, so every link shares one of the
-   (d + 2 choose 2) two-block keys. Buckets with up to ``PAIR_BUCKET`` fingerprints are joined.
-4. A larger bucket (a big family of near copies) is never paired: each of its fingerprints names all
-   fingerprints within ceil(d / 2) bits; two fingerprints are linked iff they name a common one (or
-   are compared through it), and the group of a name is bounded by geometry, not by the data. The
-   members of a group are linked to its smallest one, which keeps the components.
+2. Distinct fingerprints get a pivot table: their Hamming distances to reference fingerprints. By the
+   triangle inequality two fingerprints at distance <= d differ by at most d in every coordinate.
+3. Cells: 33 of the references are one fingerprint r and, for each of the 32 pairs of neighbouring
+   bits, r with that pair inverted. If D and D_i are the distances to r and to the i-th of these,
+   (D - D_i) / 2 + 1 is 0, 1 or 2, and one differing bit moves one of these 32 coordinates by one. The
+   cell is the vector of them, two bits each in one long. A fingerprint is written into its own cell and
+   those within ceil(d / 2) steps of it (49 cells on average for d = 2), so two linked fingerprints,
+   at most d steps apart, meet in a cell half way.
+4. Fingerprints that meet are held against ``PIVOTS`` further references: a pair whose largest coordinate
+   difference exceeds d is discarded, survivors are verified by the bit count of the XOR, both inside
+   the join. A family of near copies does not meet as a whole: its members share a cell only if
+   their differences cancel out pair by pair, so few pairs are formed that are no links.
 5. Components of the links over distinct fingerprints; every document takes its fingerprint's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,6 @@ from strata.llm.components import connected_components
 
 SEED = 42
 PIVOTS = 8
-PAIR_BUCKET = 64
 _SLICE = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -79,11 +79,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _blocks(bits: int) -> list[int]:
-    """Masks of all pairs of the bits + 2 blocks that the 64 bits are split into."""
-    cut = [64 * i // (bits + 2) for i in range(bits + 3)]
-    mask = [((1 << (b - a)) - 1) << a for a, b in zip(cut, cut[1:], strict=False)]
-    return [_signed(x | y) for x, y in combinations(mask, 2)]
+def pivot_cell(fp: Column) -> Column:
+    """The 32 coordinates (D - D_i) / 2 + 1 of a fingerprint as two-bit numbers: for each pair of
+    neighbouring bits, how many of them differ from the reference."""
+    x = fp.bitwiseXOR(F.lit(_pivots(1)[0]))
+    low = x.bitwiseAND(F.lit(0x5555555555555555))
+    high = F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x5555555555555555))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def _steps(cell: Column) -> Column:
+    """The cells one step away: a coordinate of 0 or 1 swaps its low bit, one of 1 or 2 both bits."""
+    low = F.array(*[F.lit(1 << 2 * i) for i in range(32)])
+    both = F.array(*[F.lit(_signed(3 << 2 * i)) for i in range(32)])
+    return F.concat(
+        F.transform(F.filter(low, lambda m: cell.bitwiseAND(F.shiftleft(m, 1)) == 0), lambda m: cell.bitwiseXOR(m)),
+        F.transform(F.filter(both, lambda m: cell.bitwiseAND(m) != 0), lambda m: cell.bitwiseXOR(m)),
+    )
+
+
+def _cells(fp: Column, bits: int) -> Column:
+    """The cell of a fingerprint and all within ceil(bits / 2) steps of it."""
+    found = F.array(pivot_cell(fp))
+    for _ in range((bits + 1) // 2):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, _steps))))
+    return found
 
 
 def _coordinates_near(bits: int) -> Column:
@@ -97,50 +117,25 @@ def _coordinates_near(bits: int) -> Column:
 
 
 def links(distinct: DataFrame, bits: int) -> DataFrame:
-    """Edges (u, v) over the distinct fingerprints (column fp) whose components are those of all
-    pairs at Hamming distance <= ``bits``."""
+    """Edges (u, v) of all pairs of the distinct fingerprints (column fp) at Hamming distance <=
+    ``bits``; a pair is named once per cell where it meets. Both sides of the join are one shuffle of
+    (cell, fp, pivots); pairs that share their own cell are taken from that one alone."""
     table = None
-    for j, p in enumerate(_pivots(PIVOTS)):
+    for j, p in enumerate(_pivots(1 + PIVOTS)[1:]):
         d = F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * j)
         table = d if table is None else table.bitwiseOR(d)
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_blocks(bits))])
-    rows = distinct.select("fp", table.alias("pivots"), F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "pivots")
-    sizes = cut_lineage(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    small = cut_lineage(rows.join(sizes.where(F.col("n") <= PAIR_BUCKET).select("t", "key"), ["t", "key"], "left_semi"))
-    a = small.select("t", "key", F.col("fp").alias("u"), F.col("pivots").alias("a_table"))
-    b = small.select("t", "key", F.col("fp").alias("v"), F.col("pivots").alias("b_table"))
-    pairs = (
-        a.join(b, ["t", "key"])
+    rows = distinct.select("fp", table.alias("pivots"), F.explode(_cells(F.col("fp"), bits)).alias("cell"))
+    a = rows.select("cell", F.col("fp").alias("u"), F.col("pivots").alias("a_table"))
+    b = rows.select("cell", F.col("fp").alias("v"), F.col("pivots").alias("b_table"))
+    home = pivot_cell(F.col("u"))
+    return (
+        a.join(b, "cell")
         .where(F.col("u") < F.col("v"))
+        .where((home != pivot_cell(F.col("v"))) | (home == F.col("cell")))
         .where(_coordinates_near(bits))
         .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
         .select("u", "v")
     )
-    large = rows.join(sizes.where(F.col("n") > PAIR_BUCKET).select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
-    return pairs.unionByName(_named_links(large, bits))
-
-
-def _named_links(fps: DataFrame, bits: int) -> DataFrame:
-    """Links of ``fps`` through common names: every fingerprint within ``bits // 2`` bits of a member
-    is a name, and members of one name are at most 2 * (bits // 2) bits apart. For odd ``bits`` the
-    names within bits // 2 + 1 are used and each member is verified against the smallest one."""
-    reach = (bits + 1) // 2
-    flips = [0]
-    for k in range(1, reach + 1):
-        flips += [_signed(sum(1 << i for i in c)) for c in combinations(range(64), k)]
-    names = F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: x.bitwiseXOR(F.col("fp")))
-    named = fps.select("fp", F.explode(names).alias("name"))
-    if bits % 2 == 0:
-        low = named.groupBy("name").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where(F.col("u") < F.col("top"))
-        return named.join(low, "name").where(F.col("u") < F.col("fp")).select("u", F.col("fp").alias("v")).distinct()
-    other = named.select("name", F.col("fp").alias("v"))
-    return (
-        named.select("name", F.col("fp").alias("u"))
-        .join(other, "name")
-        .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits))
-        .select("u", "v")
-        .distinct()
-    )
 
 
 def simhash_near_dedup(

@@ -78,19 +78,36 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.simhash_near_dedup(df.limit(0)).count() == 0
 
 
-def test_simhash_links_in_large_buckets(spark, monkeypatch):
+def test_simhash_links_of_families(spark):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     flips = [sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 5, 400)]
     fps = np.unique(np.array([int(centre[i % 3]) ^ f for i, f in enumerate(flips)], dtype=np.uint64))
     df = spark.createDataFrame([(int(x),) for x in fps.astype(np.int64)], "fp long")
-    for bits in (1, 2, 3):
+    for bits in (0, 1, 2, 3):
         want = near(fps, bits)
-        for most in (4, 10_000):
-            monkeypatch.setattr(simhash, "PAIR_BUCKET", most)
-            node = {r.node: r.root for r in connected_components(simhash.links(df, bits)).collect()}
-            got = [node.get(int(x), int(x)) for x in fps.astype(np.int64)]
-            assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+        found = simhash.links(df, bits).distinct().cache()
+        apart = [(x, y) for x in fps for y in fps if x < y and int(x ^ y).bit_count() <= bits]
+        assert found.count() == len(apart)
+        node = {r.node: r.root for r in connected_components(found).collect()}
+        got = [node.get(int(x), int(x)) for x in fps.astype(np.int64)]
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_simhash_cells_are_pivot_distances(spark):
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 50)] + [0, -1, 1 << 62, -(1 << 63)]
+    ref = simhash._pivots(1)[0]
+    rows = spark.createDataFrame([(x,) for x in fps], "fp long").select("fp", simhash.pivot_cell(F.col("fp")), simhash._cells(F.col("fp"), 2)).collect()
+
+    def distance(x, y):
+        return ((x ^ y) & (1 << 64) - 1).bit_count()
+
+    for fp, cell, cells in rows:
+        at = [cell >> 2 * i & 3 for i in range(32)]
+        assert at == [(distance(fp, ref) - distance(fp, ref ^ 3 << 2 * i)) // 2 + 1 for i in range(32)]
+        steps = [[at[j] + (j == i) * up for j in range(32)] for i in range(32) for up in (-1, 1) if 0 <= at[i] + up <= 2]
+        assert sorted([c >> 2 * i & 3 for i in range(32)] for c in cells) == sorted([at, *steps])
 
 
 def test_embedding_links(spark):
