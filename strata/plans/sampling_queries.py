@@ -11,6 +11,7 @@ from strata.operators import ngram
 from strata.operators import sampling as smp
 from strata.operators.evaluate import evaluate
 from strata.operators.lookup import interval_table, lookup_intervals
+from strata.operators.nucleus import select_top_p
 from strata.plans import sql
 from strata.sources.tables import read_table
 
@@ -18,6 +19,7 @@ from strata.sources.tables import read_table
 TEMPERATURE = 0.8
 TOP_K = 50
 TOP_P = 0.7
+NUCLEUS_SCALE = 20_000.0  # characters of a document per unit of logit
 SEED = 42
 LATTICE_G = 8
 SYSTEMATIC_G = 16
@@ -62,6 +64,13 @@ def top_p_dist(spark, sf_dir):
     return s.select("context", "token", _r("prob"))
 
 
+def top_p_select(spark, sf_dir):
+    """The nucleus of each language's documents, longer ones being likelier, without a sort."""
+    docs = read_table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("lang").alias("context"), F.col("doc_id").alias("token"), (F.col("n_chars") / NUCLEUS_SCALE).alias("logit"))
+    return select_top_p(rows, ["context"], TOP_P).select("context", "token", "weight")
+
+
 def cdf_dist(spark, sf_dir):
     s = dist.shape(
         logit_rows(spark, sf_dir), ["context"], temperature=TEMPERATURE, top_k=TOP_K, top_p=TOP_P, normalize=False
@@ -209,6 +218,7 @@ QUERIES = {
     "top_k_dist": top_k_dist,
     "softmax_dist": softmax_dist,
     "top_p_dist": top_p_dist,
+    "top_p_select": top_p_select,
     "cdf_dist": cdf_dist,
     "lattice_points": lattice_points_q,
     "systematic_sample": systematic_sample_q,
@@ -366,6 +376,14 @@ ORACLE = {
     "top_k_dist": _TOPK,
     "softmax_dist": f"SELECT context, token, round(prob, {ROUND}) AS prob FROM ({_softmax(_ROWS)})",
     "top_p_dist": f"SELECT context, token, round(prob, {ROUND}) AS prob FROM ({_SHAPED})",
+    "top_p_select": f"""
+WITH r AS (SELECT lang AS context, doc_id AS token, n_chars / {NUCLEUS_SCALE!r}::DOUBLE AS logit FROM documents),
+w AS (SELECT context, token, CAST(floor(exp(logit - max(logit) OVER (PARTITION BY context)) * 1073741824::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS weight
+      FROM r WHERE logit IS NOT NULL AND token IS NOT NULL),
+c AS (SELECT *, sum(weight) OVER (PARTITION BY context) AS total,
+             sum(weight) OVER (PARTITION BY context ORDER BY weight DESC, token RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             - sum(weight) OVER (PARTITION BY context, weight, token) AS before FROM w)
+SELECT context, token, weight FROM c WHERE before <= floor({TOP_P!r}::DOUBLE * total::DOUBLE)""",
     "cdf_dist": f"SELECT context, token, round(prob, {ROUND}) AS prob, round(lo, {ROUND}) AS lo, round(hi, {ROUND}) AS hi FROM ({_CDF})",
     "lattice_points": (
         f"SELECT group_id, g, u, (g + u) / {float(LATTICE_G)!r} AS c FROM (SELECT c_custkey AS group_id, "
