@@ -38,8 +38,9 @@ def truncate_at_eos(ids, eos: Sequence[int]) -> Column:
 
 def completion_mask(ids, eos: Sequence[int]) -> Column:
     """mask[j] = 1 for j up to and including the first EOS (all ones without EOS)."""
-    p = first_eos(ids, eos)
-    return F.transform(_c(ids), lambda x, j: F.when((p == 0) | (j < p), F.lit(1)).otherwise(F.lit(0)))
+    p, n = first_eos(ids, eos), F.size(_c(ids))
+    ones = F.when(p > 0, p).otherwise(n)  # one search an array, not one an element
+    return F.when(_c(ids).isNotNull(), F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), n - ones)))
 
 
 def drop_prefix(ids, prompt_len) -> Column:
